@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regionframe.llm import topk
+from regionframe.llm import mixing, topk, urls
 
-QUERIES = {"op3_topk": topk.op3_topk}
+QUERIES = {"op3_topk": topk.op3_topk, "op7_mixing": mixing.op7_mixing, "op8_urls": urls.op8_urls}
 ORACLES = {"op3_topk": topk.ORACLE}
