@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regionframe.llm import bitpack, mixing, packing, topk, urls
+from regionframe.llm import bitpack, mixing, packing, topk, transducer, urls
 
-QUERIES = {"op2_packing": packing.op2_packing, "op10_bitpack": bitpack.op10_bitpack, "op3_topk": topk.op3_topk, "op7_mixing": mixing.op7_mixing, "op8_urls": urls.op8_urls}
+QUERIES = {"op1_token_counts": transducer.op1_token_counts, "op2_packing": packing.op2_packing, "op10_bitpack": bitpack.op10_bitpack, "op3_topk": topk.op3_topk, "op7_mixing": mixing.op7_mixing, "op8_urls": urls.op8_urls}
 ORACLES = {"op3_topk": topk.ORACLE}
