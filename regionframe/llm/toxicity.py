@@ -1,19 +1,19 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learned from documents' labels.
 
-A sentence's probability is logistic in its words; a document is toxic if one sentence at least is. The weights are
-fitted to the documents' labels through that combination, so that they say which sentences offend. Words that may have
-a weight are chosen by how much more documents of one label hold them than the others do.
+A sentence's probability is logistic in its words and their beginnings; a document is toxic if one sentence at least is.
+The weights are fitted to the documents' labels through that combination, so that they say which sentences offend. The
+features that may have a weight are chosen by how much more documents of one label hold them than the others do.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,60 +21,82 @@ from pyspark.sql import functions as F
 from regionframe.llm.shared import table, text_of
 
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
+MOST_WORDS = 300_000  # that a worker remembers
+
+
+def features(word: str) -> list[str]:
+    """The word, and its first four and five letters: endings differ more than stems do."""
+    return [word, *[f"{word[:n]}*" for n in (4, 5) if len(word) >= n]]
 
 
 @dataclass
 class Model:
-    """Weights of words, and what a sentence has without any."""
+    """Weights of features, and what a sentence has without any."""
 
     bias: float = -8.0
-    words: dict[str, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
+    heavy: dict[str, float] = field(default_factory=dict)  # words met that have a weight
+    light: set[str] = field(default_factory=set)  # and some that have none
+
+    def known(self, words: set[str]) -> set[str]:
+        """Those of the words that have a weight."""
+        if new := words - self.light:
+            for w in new - self.heavy.keys():
+                if got := [self.weights[f] for f in features(w) if f in self.weights]:
+                    self.heavy[w] = sum(got)
+                else:
+                    self.light.add(w)
+            new &= self.heavy.keys()
+        if len(self.light) + len(self.heavy) > MOST_WORDS:
+            here = {w: self.heavy[w] for w in new}
+            self.light, self.heavy = set(), here
+        return new
 
     def sentence(self, words: set[str]) -> float:
-        return 1 / (1 + np.exp(-(self.bias + sum(self.words[w] for w in words))))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + sum(self.heavy[w] for w in sorted(words))))))
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The noisy-or of the text's sentences, and those with a probability of one half or more: (start, length, p)."""
-        known, n, clean, found = self.words.keys(), 0, 0.0, []
+        n, clean, found, hit = 0, 0.0, [], False
         words_of = WORD.findall
-        lower = text.lower()
-        for m in SENTENCE.finditer(lower):
+        for m in SENTENCE.finditer(text.lower()):
             if not (words := words_of(m[0])):
                 continue
-            if here := known & set(words):
-                p = self.sentence(here)
-                clean += np.log1p(-min(p, 1 - 1e-12))
+            if here := self.known(set(words)):
+                p, hit = self.sentence(here), True
+                clean += math.log1p(-min(p, 1 - 1e-12))
                 if p >= 0.5:
-                    found.append((m.start(), m.end() - m.start(), float(p)))
+                    found.append((m.start(), m.end() - m.start(), p))
             else:
                 n += 1
-        plain = self.sentence(set())
-        n = max(n, not (found or clean))  # a text without a sentence counts as an empty one
-        return float(min(1.0, max(0.0, -np.expm1(clean + n * np.log1p(-plain))))), found
+        n = max(n, not hit)  # a text without a sentence counts as an empty one
+        return min(1.0, max(0.0, -math.expm1(clean + n * math.log1p(-min(self.sentence(set()), 1 - 1e-12))))), found
 
 
-def fit(texts: list[str], toxic: np.ndarray, most_words: int = 1024, least_docs: int = 3, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, most_features: int = 2048, least_docs: int = 3, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
     """A model of bounded size. Without both labels it gives every document their common one."""
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     if not n0 or not n1:
         return Model(bias=12.0 if n1 else -12.0)
     split = [[WORD.findall(s) for s in SENTENCE.findall(t.lower())] for t in texts]
-    split = [[set(s) for s in d if s] or [set()] for d in split]
+    split = [[Counter(f for w in set(s) for f in features(w)) for s in d if s] or [Counter()] for d in split]
     has = (Counter(), Counter())
     for d, y in zip(split, toxic.tolist(), strict=True):
         has[y].update(set().union(*d))
+
     def z(w: str) -> float:
         a, b = has[1][w] + 0.5, has[0][w] + 0.5
         return (np.log(a / (n1 + 1 - a + 0.5)) - np.log(b / (n0 + 1 - b + 0.5))) / np.sqrt(1 / a + 1 / b)
+
     chosen = sorted((w for w in has[1].keys() | has[0].keys() if has[1][w] + has[0][w] >= least_docs), key=lambda w: (-abs(z(w)), w))
-    chosen = [w for w in chosen[:most_words] if abs(z(w)) > 3]
+    chosen = [w for w in chosen[:most_features] if abs(z(w)) > 3]
     place = {w: i for i, w in enumerate(chosen)}
-    # The sentences with a chosen word, and how many others each document has
+    # The sentences with a chosen feature, and how many others each document has
     doc, sent, word, plain, at = [], [], [], np.zeros(len(split)), 0
     for i, d in enumerate(split):
         for s in d:
-            if here := sorted(place[w] for w in s & place.keys()):
+            if here := sorted(place[w] for w in s if w in place for _ in range(s[w])):
                 doc.append(i)
                 sent += [at] * len(here)
                 word += here
@@ -108,7 +130,7 @@ def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((t, y) for b in batches for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True))
     if rows:
         m = fit([t for t, _ in rows], np.array([y for _, y in rows]))
-        yield pa.RecordBatch.from_arrays([pa.array([*m.words, None], pa.string()), pa.array([*m.words.values(), m.bias], pa.float64())], names=["word", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array([*m.weights, None], pa.string()), pa.array([*m.weights.values(), m.bias], pa.float64())], names=["word", "weight"])
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, seed: int = 7) -> Model:
@@ -118,13 +140,13 @@ def trained(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, seed: int
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     drawn = known.orderBy(F.xxhash64(F.lit(seed), "labelled_id"), "labelled_id").limit(max_docs)
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
-    rows = texts.coalesce(1).mapInArrow(_fit_all, "word string, weight double").collect()  # one row a weight, 1,025 at most
+    rows = texts.coalesce(1).mapInArrow(_fit_all, "word string, weight double").collect()  # one row a weight, 2,049 at most
     m = Model(bias=-12.0)
     for r in rows:
         if r.word is None:
             m.bias = r.weight
         else:
-            m.words[r.word] = r.weight
+            m.weights[r.word] = r.weight
     return m
 
 
