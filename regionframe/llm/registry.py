@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from regionframe.llm import bitpack, mixing, packing, repeats, topk, toxicity, transducer, urls
+from regionframe.llm import bitpack, mixing, neardup, packing, repeats, topk, toxicity, transducer, urls
 
-QUERIES = {"op1_token_counts": transducer.op1_token_counts, "op2_packing": packing.op2_packing, "op10_bitpack": bitpack.op10_bitpack, "op3_topk": topk.op3_topk, "op6_toxicity": toxicity.op6_toxicity, "op9_repeats": repeats.op9_repeats, "op7_mixing": mixing.op7_mixing, "op8_urls": urls.op8_urls}
+QUERIES = {"op1_token_counts": transducer.op1_token_counts, "op2_packing": packing.op2_packing, "op10_bitpack": bitpack.op10_bitpack, "op3_topk": topk.op3_topk, "op4_neardup": neardup.op4_neardup, "op6_toxicity": toxicity.op6_toxicity, "op9_repeats": repeats.op9_repeats, "op7_mixing": mixing.op7_mixing, "op8_urls": urls.op8_urls}
 ORACLES = {"op3_topk": topk.ORACLE}
