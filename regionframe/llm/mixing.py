@@ -44,8 +44,8 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length (ascending, distinct, positive) to take so that their total comes as close below
-    the budget as can be: in proportion and by largest first down to CAPACITY words, then exactly by bounded knapsack."""
+    """How many documents of each length (ascending, distinct, positive) to take so that their total comes close to the
+    budget: in proportion and by largest first down to CAPACITY words, then as close as can be by bounded knapsack."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -57,11 +57,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         n = min(int(counts[i] - take[i]), (left - CAPACITY) // int(lengths[i]) + 1, left // int(lengths[i]))
         take[i] += n
         left -= n * int(lengths[i])
-    left = min(left, CAPACITY * 8)
     # reach: bit b says that b words can be made. A count is dealt in powers of two, so that few shifts make all its sums.
-    reach, every, steps = 1, (1 << (left + 1)) - 1, []
+    # Sums above the budget count too, up to twice of it: the nearest one is taken.
+    reach, every, steps = 1, (1 << (2 * left + 1)) - 1, []
     for i in range(len(lengths) - 1, -1, -1):
-        n, part = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
+        n, part = min(int(counts[i] - take[i]), 2 * left // int(lengths[i])), 1
         while n > 0:
             part = min(part, n)
             steps.append((i, part, reach))
@@ -69,7 +69,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             n, part = n - part, part * 2
         if reach >> left & 1:
             break
-    at = reach.bit_length() - 1
+    below, above = (reach & (1 << (left + 1)) - 1).bit_length() - 1, reach >> left
+    over = (above & -above).bit_length() - 1
+    at = left + over if above and over < left - below else below
     for i, part, was in reversed(steps):
         if not was >> at & 1:
             take[i] += part
