@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionframe.jobs import voxelwise
+from regionframe.jobs import masks, moments, voxelwise
 
-_PARTS = [voxelwise]
+_PARTS = [voxelwise, moments, masks]
 
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
