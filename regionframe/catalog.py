@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionframe.jobs import masks, moments, voxelwise
+from regionframe.jobs import graph, masks, moments, permutation, voxelwise
 
-_PARTS = [voxelwise, moments, masks]
+_PARTS = [voxelwise, moments, masks, graph, permutation]
 
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
