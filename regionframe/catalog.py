@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionframe.jobs import graph, masks, metrics, moments, permutation, regress, voxelwise
+from regionframe.jobs import graph, masks, metrics, moments, permutation, regress, trees, voxelwise
 
-_PARTS = [voxelwise, moments, masks, graph, permutation, regress, metrics]
+_PARTS = [voxelwise, moments, masks, graph, permutation, regress, metrics, trees]
 
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
