@@ -12,7 +12,7 @@ only what is still undecided goes on:
 4. The windows of the blocks left, each by itself: equal groups are exactly the repeated windows.
 
 Groups are counted by partial sums before they are shuffled and joined back, so a passage that very many documents share
-makes no large group anywhere. Digests have 128 bits.
+makes no large group anywhere. Groups have the digest of their gram and one of their own, 128 bits in all.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def runs_of(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
 
 
 def digests(parts: Iterator[bytes | memoryview]) -> np.ndarray:
-    """128 bits of each, as two signed integers."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), ">i8").reshape(-1, 2).astype(np.int64)
+    """64 bits of each, as a signed integer."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64).view(np.int64)
 
 
 def units_of(text: str, unit: str) -> bytes:
@@ -98,7 +98,7 @@ def _parts(batch: pa.RecordBatch, unit: str) -> Iterator[tuple[int, list[bytes]]
         yield first, got
 
 
-RUN = "doc_id long, version long, first int, windows int, place int, gram long, run1 long, run2 long"
+RUN = "doc_id long, version long, first int, windows int, place int, gram long, run long"
 
 
 def _runs(window: int, gram: int, unit: str):
@@ -114,11 +114,11 @@ def _runs(window: int, gram: int, unit: str):
                 if not len(doc):
                     continue
                 whole = digests(data[i * size : (j + window) * size] for i, j in zip(first.tolist(), last.tolist(), strict=True))
-                grams = np.array([xxhash.xxh3_64_intdigest(data[p * size : (p + gram) * size]) for p in place.tolist()], np.uint64).view(np.int64)
+                grams = digests(data[p * size : (p + gram) * size] for p in place.tolist())
                 own = pa.array(doc + row)
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].take(own), b["version"].take(own), pa.array((first - starts[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(grams), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy())],
-                    names=["doc_id", "version", "first", "windows", "place", "gram", "run1", "run2"],
+                    [b["doc_id"].take(own), b["version"].take(own), pa.array((first - starts[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(grams), pa.array(whole)],
+                    names=["doc_id", "version", "first", "windows", "place", "gram", "run"],
                 )
 
     return runs
@@ -133,7 +133,7 @@ def _contents(window: int, unit: str):
             rows = []
             for text, asked in zip(b["text"], b["asked"].to_pylist(), strict=True):
                 data = units_of(text.as_py(), unit)
-                rows += [(r["gram"], r["run1"], r["run2"], r["windows"], r["place"], data[r["first"] * size : (r["first"] + r["windows"] - 1 + window) * size]) for r in asked]
+                rows += [(r["gram"], r["run"], r["windows"], r["place"], data[r["first"] * size : (r["first"] + r["windows"] - 1 + window) * size]) for r in asked]
                 if len(rows) > 20_000:
                     yield _batch(rows, CONTENT_SCHEMA)
                     rows = []
@@ -143,9 +143,9 @@ def _contents(window: int, unit: str):
     return contents
 
 
-CONTENT_SCHEMA = pa.schema([("gram", pa.int64()), ("run1", pa.int64()), ("run2", pa.int64()), ("windows", pa.int32()), ("place", pa.int32()), ("content", pa.binary())])
-BLOCK_SCHEMA = pa.schema([("gram", pa.int64()), ("run1", pa.int64()), ("run2", pa.int64()), ("block", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("all1", pa.int64()), ("all2", pa.int64()), ("core", pa.int64())])
-WINDOW_SCHEMA = pa.schema([("gram", pa.int64()), ("run1", pa.int64()), ("run2", pa.int64()), ("lo", pa.int32()), ("one1", pa.int64()), ("one2", pa.int64())])
+CONTENT_SCHEMA = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("place", pa.int32()), ("content", pa.binary())])
+BLOCK_SCHEMA = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("block", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("whole", pa.int64()), ("core", pa.int64())])
+WINDOW_SCHEMA = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("lo", pa.int32()), ("one", pa.int64())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -160,18 +160,17 @@ def _blocks(window: int, unit: str):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, parts, cores = [], [], []
-            for gram, r1, r2, n, place, content in zip(*[b[c].to_pylist() for c in ("gram", "run1", "run2", "windows", "place")], b["content"], strict=True):
+            for gram, run, n, place, content in zip(*[b[c].to_pylist() for c in ("gram", "run", "windows", "place")], b["content"], strict=True):
                 data = memoryview(content.as_py())
                 for block in range((place - n + 1) // wide, place // wide + 1):
                     lo, hi = max(0, place - (block + 1) * wide + 1), min(n - 1, place - block * wide)
-                    rows.append((gram, r1, r2, block, lo, hi))
+                    rows.append((gram, run, block, lo, hi))
                     parts.append(data[lo * size : (hi + window) * size])
                     a = place - block * wide
                     cores.append(xxhash.xxh3_64_intdigest(data[a * size : (a - wide + 1 + window) * size]))
             for at in range(0, len(rows), 20_000):
-                d = digests(parts[at : at + 20_000])
                 core = np.array(cores[at : at + 20_000], np.uint64).view(np.int64)
-                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), BLOCK_SCHEMA, strict=False)], pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(core)], schema=BLOCK_SCHEMA)
+                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), BLOCK_SCHEMA, strict=False)], pa.array(digests(parts[at : at + 20_000])), pa.array(core)], schema=BLOCK_SCHEMA)
 
     return blocks
 
@@ -182,15 +181,14 @@ def _windows(window: int, unit: str):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, parts = [], []
-            for gram, r1, r2, asked, content in zip(*[b[c].to_pylist() for c in ("gram", "run1", "run2", "asked")], b["content"], strict=True):
+            for gram, run, asked, content in zip(*[b[c].to_pylist() for c in ("gram", "run", "asked")], b["content"], strict=True):
                 data = memoryview(content.as_py())
                 for a in asked:
                     for lo in range(a["lo"], a["hi"] + 1):
-                        rows.append((gram, r1, r2, lo))
+                        rows.append((gram, run, lo))
                         parts.append(data[lo * size : (lo + window) * size])
             for at in range(0, len(rows), 20_000):
-                d = digests(parts[at : at + 20_000])
-                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), WINDOW_SCHEMA, strict=False)], pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], schema=WINDOW_SCHEMA)
+                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), WINDOW_SCHEMA, strict=False)], pa.array(digests(parts[at : at + 20_000]))], schema=WINDOW_SCHEMA)
 
     return windows
 
@@ -207,33 +205,31 @@ def on_key(a: str, b: str):
 def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, unit: str = "byte") -> DataFrame:
     """(doc_id, version, spans): for each row of keyed() with a repeated window its spans (first, end) in units, not
     ordered, overlapping. A window repeats if it starts at another place of any row, its own included."""
-    run, seg = ["run1", "run2"], ["gram", "run1", "run2"]
+    seg, place = ["gram", "run"], ["doc_id", "version", "first", "windows", "place"]
     runs = staged(docs.mapInArrow(_runs(window, gram, unit), RUN), "runs")
-    one = F.struct("doc_id", "version", "first", "windows", "place")
-    kinds = staged(runs.groupBy(*seg).agg(F.count("*").alias("n"), F.min(one).alias("one")), "run-kinds")
-    whole = kinds.where("n > 1").select(*run)
-    spans = runs.join(whole, run).select(*KEY, F.col("first"), (F.col("first") + F.col("windows") - 1 + window).alias("end"))
+    common = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    runs = staged(runs.join(common, "gram"), "live-runs")
+    # first() of all columns is of one row: any place of a run will do
+    kinds = staged(runs.groupBy(*seg).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "run-kinds")
+    spans = runs.join(kinds.where("n > 1").select(*seg), seg).select(*KEY, F.col("first"), (F.col("first") + F.col("windows") - 1 + window).alias("end"))
     # Buckets with a run of its own and another one
     undecided = kinds.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram")
-    asked = kinds.join(undecided, "gram").select(*seg, "n", "one.*")
+    asked = staged(kinds.join(undecided, "gram"), "asked")
     lists = asked.groupBy(*KEY).agg(F.collect_list(F.struct(*seg, "first", "windows", "place")).alias("asked"))
     content = docs.alias("d").join(lists.alias("l"), on_key("d", "l")).select("d.text", "l.asked")
-    content = staged(content.mapInArrow(_contents(window, unit), "gram long, run1 long, run2 long, windows int, place int, content binary"), "run-contents")
-    blocks = staged(content.mapInArrow(_blocks(window, unit), "gram long, run1 long, run2 long, block int, lo int, hi int, all1 long, all2 long, core long"), "blocks")
-    same = ["gram", "block", "all1", "all2"]
-    block_kinds = blocks.groupBy(*same, "core").agg(F.count("*").alias("n"), F.min(F.struct(*run, "lo", "hi")).alias("one"))
+    content = staged(content.mapInArrow(_contents(window, unit), "gram long, run long, windows int, place int, content binary"), "run-contents")
+    blocks = staged(content.mapInArrow(_blocks(window, unit), "gram long, run long, block int, lo int, hi int, whole long, core long"), "blocks")
+    same, core = ["gram", "block", "whole"], ["gram", "block", "core"]
+    block_kinds = blocks.groupBy(*same, "core").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("run", "lo", "hi")])
     block_kinds = staged(block_kinds, "block-kinds")
-    alone = F.col("n") == 1
-    solo = asked.where(alone).select(*seg, *KEY, F.col("first").alias("run_first"))  # the runs with one place
+    solo = asked.where("n = 1").select(*seg, *KEY, F.col("first").alias("run_first"))  # the runs with one place
     equal_blocks = blocks.join(block_kinds.where("n > 1").select(*same), same).select(*seg, "lo", "hi")
-    core = ["gram", "block", "core"]
     open_cores = block_kinds.groupBy(*core).agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select(*core)
-    open_blocks = block_kinds.join(open_cores, core).select("gram", "one.*")
-    per_run = open_blocks.groupBy(*seg).agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
-    singles = content.join(per_run, seg).select(*seg, "asked", "content").mapInArrow(_windows(window, unit), "gram long, run1 long, run2 long, lo int, one1 long, one2 long")
+    per_run = block_kinds.join(open_cores, core).groupBy(*seg).agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
+    singles = content.join(per_run, seg).select(*seg, "asked", "content").mapInArrow(_windows(window, unit), "gram long, run long, lo int, one long")
     singles = staged(singles, "windows")
-    equal = singles.groupBy("one1", "one2").agg(F.count("*").alias("n")).where("n > 1").select("one1", "one2")
-    equal_windows = singles.join(equal, ["one1", "one2"]).select(*seg, "lo", F.col("lo").alias("hi"))
+    equal = singles.groupBy("gram", "one").agg(F.count("*").alias("n")).where("n > 1").select("gram", "one")
+    equal_windows = singles.join(equal, ["gram", "one"]).select(*seg, "lo", F.col("lo").alias("hi"))
     fine = equal_blocks.unionByName(equal_windows).join(solo, seg).select(*KEY, (F.col("run_first") + F.col("lo")).alias("first"), (F.col("run_first") + F.col("hi") + window).alias("end"))
     return spans.unionByName(fine).groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 

@@ -26,15 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again: its lineage ends there, and a lost executor costs a read."""
     spark = df.sparkSession
-    df.write.parquet(at := f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(at := f"{shared_dir(spark)}/staged-{name}-{uuid.uuid4().hex}")
     return spark.read.schema(df.schema).parquet(at)
 
 
 def text_of(col: str | Column = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-
-
-def rows_per_batch(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of at most so many rows: long texts make large batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
