@@ -40,17 +40,18 @@ class Model:
 
     def known(self, words: set[str]) -> set[str]:
         """Those of the words that have a weight."""
-        if new := words - self.light:
-            for w in new - self.heavy.keys():
-                if got := [self.weights[f] for f in features(w) if f in self.weights]:
-                    self.heavy[w] = sum(got)
-                else:
-                    self.light.add(w)
-            new &= self.heavy.keys()
+        here = set()
+        for w in words - self.light:
+            if w in self.heavy:
+                here.add(w)
+            elif got := [self.weights[f] for f in features(w) if f in self.weights]:
+                self.heavy[w] = sum(got)
+                here.add(w)
+            else:
+                self.light.add(w)
         if len(self.light) + len(self.heavy) > MOST_WORDS:
-            here = {w: self.heavy[w] for w in new}
-            self.light, self.heavy = set(), here
-        return new
+            self.light, self.heavy = set(), {w: self.heavy[w] for w in here}
+        return here
 
     def sentence(self, words: set[str]) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + sum(self.heavy[w] for w in sorted(words))))))
@@ -140,7 +141,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, seed: int
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     drawn = known.orderBy(F.xxhash64(F.lit(seed), "labelled_id"), "labelled_id").limit(max_docs)
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
-    rows = texts.coalesce(1).mapInArrow(_fit_all, "word string, weight double").collect()  # one row a weight, 2,049 at most
+    rows = texts.repartition(1).mapInArrow(_fit_all, "word string, weight double").collect()  # one row a weight, 2,049 at most
     m = Model(bias=-12.0)
     for r in rows:
         if r.word is None:
