@@ -207,13 +207,14 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, unit: str
     ordered, overlapping. A window repeats if it starts at another place of any row, its own included."""
     seg, place = ["gram", "run"], ["doc_id", "version", "first", "windows", "place"]
     runs = staged(docs.mapInArrow(_runs(window, gram, unit), RUN), "runs")
-    common = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # counts are staged before they are joined back, so that the join reads plain exchanges and can split a hot gram
+    common = staged(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "common")
     runs = staged(runs.join(common, "gram"), "live-runs")
     # first() of all columns is of one row: any place of a run will do
     kinds = staged(runs.groupBy(*seg).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "run-kinds")
     spans = runs.join(kinds.where("n > 1").select(*seg), seg).select(*KEY, F.col("first"), (F.col("first") + F.col("windows") - 1 + window).alias("end"))
     # Buckets with a run of its own and another one
-    undecided = kinds.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram")
+    undecided = staged(kinds.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram"), "undecided")
     asked = staged(kinds.join(undecided, "gram"), "asked")
     lists = asked.groupBy(*KEY).agg(F.collect_list(F.struct(*seg, "first", "windows", "place")).alias("asked"))
     content = docs.alias("d").join(lists.alias("l"), on_key("d", "l")).select("d.text", "l.asked")
@@ -224,11 +225,11 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, unit: str
     block_kinds = staged(block_kinds, "block-kinds")
     solo = asked.where("n = 1").select(*seg, *KEY, F.col("first").alias("run_first"))  # the runs with one place
     equal_blocks = blocks.join(block_kinds.where("n > 1").select(*same), same).select(*seg, "lo", "hi")
-    open_cores = block_kinds.groupBy(*core).agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select(*core)
+    open_cores = staged(block_kinds.groupBy(*core).agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select(*core), "open-cores")
     per_run = block_kinds.join(open_cores, core).groupBy(*seg).agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
     singles = content.join(per_run, seg).select(*seg, "asked", "content").mapInArrow(_windows(window, unit), "gram long, run long, lo int, one long")
     singles = staged(singles, "windows")
-    equal = singles.groupBy("gram", "one").agg(F.count("*").alias("n")).where("n > 1").select("gram", "one")
+    equal = staged(singles.groupBy("gram", "one").agg(F.count("*").alias("n")).where("n > 1").select("gram", "one"), "equal-windows")
     equal_windows = singles.join(equal, ["gram", "one"]).select(*seg, "lo", F.col("lo").alias("hi"))
     fine = equal_blocks.unionByName(equal_windows).join(solo, seg).select(*KEY, (F.col("run_first") + F.col("lo")).alias("first"), (F.col("run_first") + F.col("hi") + window).alias("end"))
     return spans.unionByName(fine).groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
