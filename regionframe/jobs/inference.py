@@ -65,7 +65,7 @@ def inference(all_trees: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return out.select("node", "parent", "size", F.round("f", 5).alias("f"), F.round("saf", 5).alias("saf"), "kept", (F.col("kept") & F.coalesce(F.col("saf") >= F.col("limit"), F.lit(False))).alias("significant"))
 
 
-QUERIES["arba_discrim"] = lambda spark, sf_dir: inference(trees(leaves(spark, sf_dir, SEEDS), grid_edges(spark, sf_dir)))
+QUERIES["region_discrim"] = lambda spark, sf_dir: inference(trees(leaves(spark, sf_dir, SEEDS), grid_edges(spark, sf_dir)))
 
 
 def regression_trees(spark, sf_dir, seeds: int, most_subjects: int = 2_000) -> DataFrame:
@@ -99,7 +99,7 @@ def regression_trees(spark, sf_dir, seeds: int, most_subjects: int = 2_000) -> D
     return every.groupBy("perm").applyInPandas(one, "perm int, node int, parent int, size long, stat double, f double, cost double")
 
 
-QUERIES["arba_regress"] = lambda spark, sf_dir: inference(regression_trees(spark, sf_dir, SEEDS))
+QUERIES["region_regress"] = lambda spark, sf_dir: inference(regression_trees(spark, sf_dir, SEEDS))
 
 
 def merged_regions(spark, sf_dir, rounds: int = 4):
