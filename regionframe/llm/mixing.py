@@ -127,6 +127,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The documents of the mix, with their columns; one taken several times is there so often. doc_id names a document;
     rows that repeat one share its lot."""
-    times = mix(docs, seed).groupBy("doc_id").agg(F.max("epochs").alias("times_taken"))
-    d = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "times_taken")
-    return d.where("times_taken > 0").withColumn("times_taken", F.explode(F.sequence(F.lit(1), F.col("times_taken")))).drop("times_taken")
+    times = mix(docs, seed).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("epochs").alias("times")).where("times > 0")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
+    d = d.join(times, F.col("own_id").eqNullSafe(F.col("taken_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return d.select("row.*")

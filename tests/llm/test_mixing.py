@@ -4,7 +4,7 @@ import numpy as np
 
 from regionframe.llm.mixing import fit, mix, mixed_documents
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, target string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, times string"
 
 
 def brute_targets(sizes):
