@@ -53,11 +53,11 @@ def unpacked(data: bytes | memoryview, width: int, n: int) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, width: int) -> bytes:
     """A whole file. A document without an id is marked in a byte a document."""
-    blocks = [packed(ids[at : at + BLOCK], width) for at in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
+    data = packed(ids, width)  # a block is a whole number of groups, so all are packed at once
+    offsets = np.append(np.arange(0, len(ids), BLOCK) // 32 * width * 4, len(data)).astype("<u8")
     known = np.array([x is not None for x in doc_ids], np.uint8)
     names = np.array([x or 0 for x in doc_ids], "<i8")
-    return b"".join([HEAD.pack(MAGIC, width, BLOCK, len(doc_ids), len(ids)), known.tobytes(), names.tobytes(), np.array(lengths, "<u8").tobytes(), offsets.tobytes(), *blocks])
+    return b"".join([HEAD.pack(MAGIC, width, BLOCK, len(doc_ids), len(ids)), known.tobytes(), names.tobytes(), np.array(lengths, "<u8").tobytes(), offsets.tobytes(), data])
 
 
 class IdFile:
@@ -80,8 +80,8 @@ class IdFile:
         if n <= 0:
             return np.empty(0, np.uint32)
         a, b = first // self.block, (first + n - 1) // self.block
-        got = [unpacked(self.data[self.start + self.offsets[i] : self.start + self.offsets[i + 1]], self.width, min(self.block, self.ids - i * self.block)) for i in range(a, b + 1)]
-        return np.concatenate(got)[first - a * self.block :][:n]
+        data = self.data[self.start + self.offsets[a] : self.start + self.offsets[b + 1]]
+        return unpacked(data, self.width, min((b + 1) * self.block, self.ids) - a * self.block)[first - a * self.block :][:n]
 
 
 def _writer(path: str, end_id: int, width: int):
