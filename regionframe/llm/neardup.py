@@ -8,7 +8,10 @@ decides is the share of shingles that an alignment within the band matches: m /
 Copies with the same words are one node from the start. A bucket of equal sketches is a star around its least node, never
 all its pairs; the nodes' order is a digest, so stars of different buckets tend to have one centre. Where buckets still
 hold several classes after the stars are verified, each takes another centre, by an order of its own, and the members of
-other classes than the centre's are verified against that. Everything is joined and counted by keys; no group is gathered.
+other classes than the centre's are verified against that. What is then left in buckets of several classes is joined
+exactly: an alignment matches at most the labelled shingles that both texts have, so two similar texts share one of their
+rarest (prefix filter), and each such pair of different classes is verified. Everything is joined and counted by keys; no
+group but a text's own shingles is gathered.
 """
 
 from __future__ import annotations
@@ -143,6 +146,38 @@ def verified(pairs: DataFrame, shingle_rows: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(_verify, "a binary, b binary")
 
 
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for node, x in zip(b["node"], b["shingles"], strict=True):
+            h = labelled(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(h), pa.binary()), pa.array(np.full(len(h), len(h), np.int32)), pa.array(h.view(np.int64))], names=["node", "n", "label"])
+
+
+def rare_pairs(nodes: DataFrame, shingle_rows: DataFrame) -> DataFrame:
+    """The pairs (a, b), a < b, of nodes (node, class) of different classes that can be similar, none left out.
+
+    Similar texts of n1 <= n2 labelled shingles have least = SIMILAR / (1 + SIMILAR) * (n1 + n2) in common, so in any one
+    order they share a label among the first n - least + 1 of each; the order is rarest first. A label at place p of n
+    thus serves for partners of n2 <= (n - p + 1) * (1 + SIMILAR) / SIMILAR - n shingles, its reach. Labels of a single
+    text come first and are never joined. Classes meet before their nodes do, so copies of one text make no pairs.
+    """
+    labels = staged(nodes.select("node").join(shingle_rows, "node").mapInArrow(_labels, "node binary, n int, label long"), "labels")
+    often = staged(labels.groupBy("label").agg(F.count("*").alias("f")).where("f > 1"), "label-counts")
+    own = Window.partitionBy("node")
+    first = labels.join(often, "label").withColumns({"m": F.count("*").over(own), "nth": F.row_number().over(own.orderBy("f", "label"))}).withColumn("p", F.col("n") - F.col("m") + F.col("nth"))
+    reach = (F.col("n") - F.col("p") + 1) * ((1 + SIMILAR) / SIMILAR) - F.col("n") + 1e-6
+    first = first.withColumn("reach", reach).where(F.col("reach") >= F.col("n") * SIMILAR).join(nodes, "node")
+    first = staged(first.select("label", "node", "class", "n", "reach"), "rare-labels")
+    short = first.where("reach >= n").select("label", *[F.col(c).alias(f"s_{c}") for c in ("class", "node", "n", "reach")])
+    long = first.select("label", *[F.col(c).alias(f"l_{c}") for c in ("class", "node", "n", "reach")])
+    meet = lambda d, k: staged(d.groupBy("label", f"{k}_class").agg(F.min(f"{k}_n").alias(f"{k}_lo"), F.max(f"{k}_n").alias(f"{k}_hi"), F.max(f"{k}_reach").alias(f"{k}_far")), "label-classes")
+    near = meet(short, "s").join(meet(long, "l"), "label").where("s_class <> l_class and s_far >= l_lo and l_far >= s_lo and s_lo <= l_hi")
+    near = staged(near.select("label", "s_class", "l_class"), "class-pairs")
+    pairs = staged(near.join(short, ["label", "s_class"]), "short-ends").join(long, ["label", "l_class"])
+    pairs = pairs.where("s_reach >= l_n and l_reach >= s_n and (s_n < l_n or s_n = l_n and s_node < l_node)")
+    return pairs.select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b")).distinct()
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(node, least): each linked node with the least node that links lead to. Labels sink along links, and each round
     every node also takes its label's label, so that long chains halve."""
@@ -189,8 +224,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centre = own.groupBy(*key).agg(F.min(F.struct(order.alias("o"), "b", "class")).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key, F.col("c.b").alias("a"), F.col("c.class").alias("a_class"))
     centre = staged(centre, "centres")
     more = own.join(centre, key).where(F.col("class") != F.col("a_class")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(verified(more.join(pairs, ["a", "b"], "left_anti"), rows), "links")
-    found = classes(links.union(more)) if more.head(1) else found
+    more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found_more = staged(verified(more, rows), "links")
+    if found_more.head(1):
+        links = links.union(found_more)
+        found = classes(links)
+    # Buckets that still do: their nodes of different classes by an exact join
+    own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, F.col("b").alias("node"), F.coalesce("least", "b").alias("class"))
+    several = staged(own.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key), "several")
+    left = staged(own.join(several, key).select("node", "class").distinct(), "left")
+    if left.head(1):
+        rest = staged(rare_pairs(left, rows).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+        rest = staged(verified(rest, rows), "links")
+        found = classes(links.union(rest)) if rest.head(1) else found
     return marks.select("doc_id", "version", "node").join(found, "node", "left").select("doc_id", "version", F.coalesce("least", "node").alias("class_node"))
 
 

@@ -90,6 +90,33 @@ def test_classes_against_brute_force(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_near_copies_among_pages_of_one_template(spark):
+    """Pages share most of their shingles without being similar, so that buckets are full of strangers; copies among them
+    are similar by little."""
+    r = random.Random(5)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    template, texts = words(200), []
+    for i in range(160):
+        own = words(36)
+        texts.append(template + own)
+        if i % 4 == 0:
+            texts.append(template + own[: r.randint(12, 15)] + words(r.randint(20, 23)))
+    r.shuffle(texts)
+    sh = [shingles(" ".join(t)).astype(np.uint32) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(sh)):
+        for j in range(i):
+            if similarity(sh[i], sh[j]) >= 0.8:
+                up[i] = min(up[i], up[j])
+    assert 30 < sum(k != i for i, k in enumerate(up)) <= 40
+    d = spark.createDataFrame([(i, " ".join(t), "en", "s", 1, "", 0) for i, t in enumerate(texts)], SCHEMA).repartition(5)
+    least = {}
+    got = near_duplicates(d).collect()
+    for x in got:
+        least[bytes(x.class_node)] = min(x.doc_id, least.get(bytes(x.class_node), x.doc_id))
+    assert {x.doc_id: least[bytes(x.class_node)] for x in got} == dict(enumerate(up))
+
+
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d e f", "en", "s", 1, "", 0)] * 2 + [(1, "g h i j k l", "en", "s", 1, "", 0), (None, "a b c d e f", None, None, None, None, None), (None, None, None, None, None, None, None), (2, "", "", "", 0, "", 0)]
     d = spark.createDataFrame(rows, SCHEMA)
