@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.jobs.graph import _leaf_stats, neighbour_edges, pair_costs
 from regionframe.jobs.permutation import ALPHA, SEEDS, _split, permuted_t2
+from regionframe.jobs.regress import permutation_map
 from regionframe.jobs.trees import last_logf, model_of, null_max, rising, scored
-from regionframe.operators.agglomerate import Regression, agglomerate, merge_rounds, trees
+from regionframe.operators.agglomerate import RegressionSums, agglomerate, merge_rounds, trees
 from regionframe.operators.clusters import grown_mask, min_variance_mask, tfce
 from regionframe.operators.permute import labelled
 from regionframe.operators.regression import subjects
@@ -68,35 +71,51 @@ def inference(all_trees: DataFrame, alpha: float = ALPHA) -> DataFrame:
 QUERIES["region_discrim"] = lambda spark, sf_dir: inference(trees(leaves(spark, sf_dir, SEEDS), grid_edges(spark, sf_dir)))
 
 
-def regression_trees(spark, sf_dir, seeds: int, most_subjects: int = 2_000) -> DataFrame:
-    """The merge trees of the regression on bias and covariate: one permutation a task. Each task holds voxels x subjects
-    sums, which the number of subjects bounds; more than most_subjects are averaged into that many before (equal covariate
-    first), so that all of them count."""
-    x = subjects(spark, sf_dir)
-    n = x.count()
-    bins = x.withColumn("bin", F.pmod(F.xxhash64("sbj"), F.lit(max(1, most_subjects // 16)))) if n > most_subjects else x.withColumn("bin", F.col("sbj"))
-    who = bins.groupBy("bin", "x").agg(F.collect_list("sbj").alias("sbjs"))
-    who = cut(who.withColumn("s", F.md5(F.concat_ws(":", "bin", "x"))))
-    names = [(r.s, r.x) for r in who.select("s", "x").orderBy("s").collect()]
-    y = cube1(spark, sf_dir).join(who.select("s", F.explode("sbjs").alias("sbj")), "sbj").groupBy(F.col("pos").alias("node"), "s").agg(F.avg("x").alias("y"))
-    place = {s: i for i, (s, _) in enumerate(names)}
-    design = np.array([[1.0, v] for _, v in names])
+def regression_sums(spark, sf_dir, seeds: int, voxels: int) -> DataFrame:
+    """(perm, a, b, v): sums over all subjects. perm -1 has those of products of two columns, voxels first, then the bias
+    and the covariate; perm p has voxel a's sums with the covariate as permutation p deals it. A task adds up its
+    subjects, so what it holds follows the grid."""
+    x = subjects(spark, sf_dir).groupBy("sbj").agg(F.min("x").alias("x"))
+    moved = permutation_map(x, seeds).join(x, "sbj").select(F.col("taken").alias("sbj"), "seed", "x").unionByName(x.select("sbj", F.lit(0).cast("long").alias("seed"), "x"))
+    moved = moved.groupBy("sbj").agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "x"))), lambda m: m["x"]).alias("xs"))
+    y = cube1(spark, sf_dir).groupBy("sbj", "pos").agg(F.avg("x").alias("y")).groupBy("sbj").agg(F.collect_list(F.struct("pos", "y")).alias("ys"))
+
+    def added(batches):
+        products, with_x = np.zeros((voxels + 2, voxels + 2)), np.zeros((seeds + 1, voxels))
+        for t in batches:
+            at, ys = pc.list_parent_indices(t["ys"]).to_numpy(), t["ys"].flatten()
+            z = np.ones((len(t), voxels + 2))
+            z[:, :voxels] = 0
+            z[at, ys.field("pos").to_numpy()] = ys.field("y").to_numpy(zero_copy_only=False)
+            xs = t["xs"].flatten().to_numpy(zero_copy_only=False).reshape(len(t), seeds + 1)
+            z[:, -1] = xs[:, 0]
+            products += z.T @ z
+            with_x += xs.T @ z[:, :voxels]
+        for perm, m in ((-1, products), *((p, m[:, None]) for p, m in enumerate(with_x))):
+            i, j = np.indices(m.shape, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, perm, np.int32)), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(m.ravel())], names=["perm", "a", "b", "v"])
+
+    return y.join(moved, "sbj").select("ys", "xs").mapInArrow(added, "perm int, a int, b int, v double").groupBy("perm", "a", "b").agg(F.sum("v").alias("v"))
+
+
+def regression_trees(spark, sf_dir, seeds: int) -> DataFrame:
+    """The merge trees of the regression on bias and covariate: one permutation a task, from sums over every subject. A task
+    holds voxels x voxels cross sums, whatever the number of subjects."""
+    voxels = (cube1(spark, sf_dir).agg(F.max("pos")).first()[0] or 0) + 1
+    sums = cut(regression_sums(spark, sf_dir, seeds, voxels))
+    products = np.zeros((voxels + 2, voxels + 2))
+    of = sums.where("perm = -1").toPandas()
+    products[of["a"], of["b"]] = of["v"]
     edges = grid_edges(spark, sf_dir)
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        seed, v = int(key[0]), int(f["node"].max()) + 1
-        m = np.zeros((v, 2 * len(place)))
-        at = f["s"].map(place).to_numpy()
-        m[f["node"].to_numpy(), at] = f["y"].to_numpy()
-        m[:, len(place) :] = m[:, : len(place)] ** 2
-        move = np.random.default_rng(seed).permutation(len(place)) if seed else None
-        rows = agglomerate(m, edges, Regression(design, None, move))
+        objective = RegressionSums(products)
+        rows = agglomerate(objective.leaves(f.sort_values("a")["v"].to_numpy(float)), edges, objective)
         out = pd.DataFrame(rows, columns=["node", "parent", "size", "stat", "f", "cost"])
         out["parent"] = out["parent"].astype("Int32")
-        return out.assign(perm=seed)[["perm", "node", "parent", "size", "stat", "f", "cost"]]
+        return out.assign(perm=int(key[0]))[["perm", "node", "parent", "size", "stat", "f", "cost"]]
 
-    every = y.crossJoin(F.broadcast(spark.range(0, seeds + 1).select(F.col("id").cast("int").alias("perm"))))
-    return every.groupBy("perm").applyInPandas(one, "perm int, node int, parent int, size long, stat double, f double, cost double")
+    return sums.where("perm >= 0").groupBy("perm").applyInPandas(one, "perm int, node int, parent int, size long, stat double, f double, cost double")
 
 
 QUERIES["region_regress"] = lambda spark, sf_dir: inference(regression_trees(spark, sf_dir, SEEDS))

@@ -68,6 +68,35 @@ class Regression:
         return r2, r2 / (1 - r2) * (n * size - k) / (k - 1) if r2 < 1 and k > 1 else float("nan")
 
 
+class RegressionSums:
+    """Regression on bias and one covariate from sums over subjects alone. `products` has the sums of products of two
+    columns: the voxels, the bias, the covariate. A region's row adds up: the sum of its subjects' values, that with the
+    covariate, the sum of squares, the cross sums with every voxel, and its voxels."""
+
+    def __init__(self, products: np.ndarray) -> None:
+        self.products, self.v = products, len(products) - 2
+        self.n, self.sx, self.sxx = products[-2, -2], products[-2, -1], products[-1, -1]
+
+    def leaves(self, with_x: np.ndarray) -> np.ndarray:
+        cross = self.products[: self.v, : self.v]
+        return np.column_stack([self.products[: self.v, -2], with_x, np.diag(cross), cross, np.eye(self.v)])
+
+    def r2(self, m: np.ndarray, size: int) -> float:
+        my, mx = m[0] / size / self.n, self.sx / self.n
+        myy = float(m[3 : 3 + self.v] @ m[3 + self.v :]) / size**2 / self.n
+        var, varx, cov = max(0.0, myy - my * my), self.sxx / self.n - mx * mx, m[1] / size / self.n - mx * my
+        spatial = float(m[2]) / size / self.n - myy if size > 1 else 0.0
+        error = max(0.0, var - (cov * cov / varx if varx > 1e-12 * (self.sxx / self.n) else 0.0))
+        return 1 - (error + spatial) / (var + spatial) if var + spatial > 0 else float("nan")
+
+    def cost(self, a, b, na: int, nb: int) -> float:
+        return -(self.r2(a + b, na + nb) * (na + nb) - self.r2(a, na) * na - self.r2(b, nb) * nb)
+
+    def stat(self, m, size: int) -> tuple[float, float]:
+        r2 = self.r2(m, size)
+        return r2, r2 / (1 - r2) * (self.n * size - 2) if r2 < 1 else float("nan")
+
+
 def agglomerate(moments: np.ndarray, edges: list[tuple[int, int]], objective, stop: int = 1, largest: int | None = None, share: float | None = None) -> list[tuple]:
     """The merge tree over leaves 0..V-1 as rows (node, parent, size, stat, f, cost): cheapest edge first, equal costs by
     the ends' numbers. It ends at `stop` regions or without an edge, so it may be a forest. Edges whose larger end has
