@@ -62,30 +62,33 @@ def lexical(pages: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, rules=RULES, max_train: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 7) -> DataFrame:
     """pages (page_id, url) with host, path, rule, verdict and p_block, the trees' probability of block.
 
-    The labelled urls are those that a rule fits; the trees are fitted on at most max_train of them, drawn by a hash of
-    the url. Suffix statistics are the smoothed block rates of the last and the last two labels of the host among those,
-    at most max_train rows and so fit to broadcast. A url that a rule fits has the rule's verdict; else block where
+    The labelled urls are those that a rule fits; the trees are fitted on at most max_train different ones,
+    drawn by a hash of the url and weighted by their rows. Suffix statistics are the smoothed block rates of the last and
+    the last two labels of the host among all labelled rows. A url that a rule fits has the rule's verdict; else block where
     p_block > 0.5. Without labelled urls of both kinds p_block is their share of block, 0 without any. A null url is
     judged as an empty one. Repeated rows are judged each; an empty table gives no row; other columns are left out.
     """
     p = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     p = p.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules)).withColumns({"rule": F.col("fits.rule"), "ruled": F.col("fits.verdict")}).drop("fits")
     labelled = p.where("ruled is not null")
-    n = labelled.count()
-    share = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1_000_000)) < F.lit(min(1_000_000, 900_000 * max_train // max(n, 1)))
-    drawn = staged(lexical(labelled.where(share)).withColumn("label", (F.col("ruled") == "block").cast("double")).drop("rule", "ruled"), "labelled-urls")
-    seen = drawn.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("block")).first()
+    # equal urls have equal labels: one row with its number
+    distinct = labelled.groupBy("url", "host", "path", "ruled").agg(F.count("*").cast("double").alias("weight")).withColumn("label", (F.col("ruled") == "block").cast("double")).drop("ruled")
+    distinct = staged(distinct, "labelled-urls")
+    seen = distinct.agg(F.count("*").alias("urls"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("n"), F.coalesce(F.sum(F.col("label") * F.col("weight")), F.lit(0.0)).alias("block")).first()
     prior = seen["block"] / seen["n"] if seen["n"] else 0.0
-    rates = {c: drawn.groupBy(c).agg(((F.sum("label") + 4 * prior) / (F.count("*") + 4)).alias(f"{c}_rate")) for c in ("tld", "domain")}
+    share = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1_000_000)) < F.lit(min(1_000_000, 900_000 * max_train // max(seen["urls"], 1)))
+    drawn = lexical(distinct.where(share))
+    suffixes = distinct.withColumns({"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    rates = {c: staged(suffixes.groupBy(c).agg(((F.sum(F.col("label") * F.col("weight")) + 4 * prior) / (F.sum("weight") + 4)).alias(f"{c}_rate")), f"{c}-rates") for c in ("tld", "domain")}
 
     def with_rates(df: DataFrame) -> DataFrame:
         for c, r in rates.items():
-            df = df.join(F.broadcast(r), c, "left").fillna({f"{c}_rate": prior})
+            df = df.join(r, c, "left").fillna({f"{c}_rate": prior})
         return df
 
     if 0 < prior < 1:
         gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(gather.transform(with_rates(drawn)).select("features", "label"))
+        model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(gather.transform(with_rates(drawn)).select("features", "label", "weight"))
         scored = model.transform(gather.transform(with_rates(lexical(p)))).withColumn("p_block", vector_to_array("probability")[1])
     else:
         scored = p.withColumn("p_block", F.lit(float(prior)))

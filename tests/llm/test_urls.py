@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from regionframe.llm import urls
 from regionframe.llm.urls import FEATURES, RULES, judged, lexical
 
 SCHEMA = "page_id long, url string, html string, host string, verdict int"
@@ -55,6 +56,24 @@ def test_trees_judge_what_no_rule_fits(spark):
     assert len(got) > 100 and sum(got) / len(got) > 0.95
 
 
+def test_suffix_rates_are_of_all_labelled_urls(spark, monkeypatch):
+    """The trees are fitted on a sample of different urls; the rates cover what the sample leaves out."""
+    rows = pages(900) + [(5000 + i, "http://hot.net/x", "", "clash", 1) for i in range(400)]
+    labels = [(u, rule(*parts(u))) for _, u, *_ in rows]
+    labels = [(u, float(best[1] == "block")) for u, best in labels if best]
+    prior, of = sum(y for _, y in labels) / len(labels), {}
+    for u, y in labels:
+        of.setdefault(".".join(parts(u)[0].split(".")[-2:]), []).append(y)
+    frames, transform = [], urls.VectorAssembler.transform
+    monkeypatch.setattr(urls.VectorAssembler, "transform", lambda self, df, *a: frames.append(df) or transform(self, df, *a))
+    judged(spark.createDataFrame(rows, SCHEMA).repartition(3), max_train=100)
+    train, every = (f.select("url", "domain_rate").collect() for f in frames)
+    assert 0 < len(train) <= 100 and len(every) == len(rows)
+    for r in train + every:
+        y = of.get(".".join(parts(r.url)[0].split(".")[-2:]), [])
+        assert abs(r.domain_rate - (sum(y) + 4 * prior) / (len(y) + 4)) < 1e-9, r.url
+
+
 def test_odd_tables(spark):
     d = spark.createDataFrame([(1, "http://a.com/", None, None, None), (1, "http://a.com/", None, None, None), (None, None, None, None, None)], SCHEMA)
     assert [r.verdict for r in judged(d).collect()] == ["allow"] * 3 and judged(d.limit(0)).count() == 0
