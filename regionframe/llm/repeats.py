@@ -1,18 +1,22 @@
-"""Repeated passages: the windows of threshold length that start at two places or more, over all documents.
-
-The windows are the suffixes, ordered only through their first `window` units (bytes, or words), by most-significant-digit
-passes in which the digit is a digest of ever finer groups, so that each pass splits what the one before left equal and
-only what is still undecided goes on:
-
-1. A window's least gram (the leftmost of the smallest hash) is its bucket. Neighbouring windows share it, so a bucket
-   holds runs of windows: one row stands for about half a window of places. Equal windows have equal grams at equal places.
-2. Runs equal as a whole repeat wholly. A run whose bucket holds no other run repeats nowhere.
-3. Of the others, blocks of BLOCK windows at equal places from the gram: equal as a whole they repeat, and where not even
-   the units common to all windows of a block are found elsewhere, none does.
-4. The windows of the blocks left, each by itself: equal groups are exactly the repeated windows.
-
-Groups are counted by partial sums before they are shuffled and joined back, so a passage that very many documents share
-makes no large group anywhere. Groups have the digest of their gram and one of their own, 128 bits in all.
+"""Repeated passages by a depth-limited radix sort of suffixes.
+
+Every place where `window` units (bytes, or words) fit begins a suffix. Suffixes are ordered only through their first
+`window` units, most significant digit first: a pass numbers the groups of equal digits in their order, groups of one
+suffix are dropped, and the next digit splits the groups that are left. A digit is the number that an earlier pass gave to
+the units at its place, so digits double in length, and a few passes reach the window. Equal groups that are left then
+are exactly the repeated windows. The sort runs in tasks, over groups that hold all suffixes that can be equal:
+
+1. A window's least gram is its bucket; equal windows have equal grams at equal places. Neighbouring windows share it, so
+   one row stands for a run of them. Windows that equal those one period before them, as in ruled lines and constant
+   stretches, repeat there and then and leave the earlier ones to stand for them.
+2. Runs are counted by the digests of gram and run, 128 bits in all: copies of a run repeat wholly. Where a bucket holds
+   another run and one without a copy, the units of one place of each are read.
+3. A bucket of at most MEMBERS such runs is sorted in one task. A larger one is first split by Spark, in the same way, by
+   digits that blocks of its windows share; a group that stays large through all of them is split by what is left of
+   each window, and counted.
+
+Runs, digits and windows are counted by partial sums before they are shuffled and joined back, so a passage that very many
+documents share makes no large group anywhere.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionframe.llm.shared import staged, table, text_of
+from regionframe.llm.shared import Stages, table, text_of
 
 BLOCK, UNITS = 16, 4_000_000  # windows of a block; units that are worked on at once
+MEMBERS = 256  # runs of a bucket, or blocks of a group, that one task sorts
+END = 64  # units of the first digit that splits a large bucket, at either end of a block
 WORD = re.compile(r"\S+")
 KEY = ["doc_id", "version"]
 
@@ -75,122 +81,229 @@ def runs_of(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     return doc[new], at[new], at[last], place[new]
 
 
+def periodic(data: memoryview, size: int, starts: np.ndarray, runs: tuple[np.ndarray, ...], window: int, gram: int) -> np.ndarray:
+    """Which runs have all their windows once more one period earlier in their document, in the run before."""
+    doc, first, last, place = runs
+    out, step = np.zeros(len(doc), bool), np.diff(place)
+    likely = np.flatnonzero((doc[1:] == doc[:-1]) & (step > 0) & (step <= window) & (first[1:] - step >= starts[doc[1:]])) + 1
+    grams = np.frombuffer(data, np.uint8 if size == 1 else np.uint64)
+    likely = likely[grams[place[likely]] == grams[place[likely - 1]]]
+    for i in likely.tolist():
+        p, q, a, b = int(place[i]), int(step[i - 1]), int(first[i]), int(last[i]) + window
+        if data[p * size : (p + gram) * size] == data[(p - q) * size : (p - q + gram) * size]:
+            out[i] = data[a * size : b * size] == data[(a - q) * size : (b - q) * size]
+    return out
+
+
 def digests(parts: Iterator[bytes | memoryview]) -> np.ndarray:
     """64 bits of each, as a signed integer."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64).view(np.int64)
 
 
 def units_of(text: str, unit: str) -> bytes:
-    """A text's units, in one byte each or, for words (runs of non-space), eight."""
+    """A text's units, in one byte each or, for words (runs of non-space), a hash of eight."""
     return text.encode() if unit == "byte" else np.fromiter(map(xxhash.xxh3_64_intdigest, WORD.findall(text)), np.uint64).tobytes()
 
 
-def _parts(batch: pa.RecordBatch, unit: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive rows of at most UNITS units, at least one row: (first row, their units)."""
-    first, got, held = 0, [], 0
-    for i, text in enumerate(batch["text"]):
-        got.append(units_of(text.as_py(), unit))
-        held += len(got[-1])
-        if held >= UNITS * (1 if unit == "byte" else 8):
-            yield first, got
-            first, got, held = i + 1, [], 0
+def _pieces(batch: pa.RecordBatch, unit: str, window: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (row, first unit, units), each of about UNITS units at most; a longer text comes in pieces that overlap,
+    so that each of its windows lies in one."""
+    size, got, held = 1 if unit == "byte" else 8, [], 0
+    for row, text in enumerate(batch["text"]):
+        data = units_of(text.as_py(), unit)
+        for at in range(0, max(1, len(data) // size - window + 1), UNITS):
+            got.append((row, at, data[at * size : (at + UNITS + window - 1) * size] if len(data) > UNITS * size else data))
+            held += len(got[-1][2])
+            if held >= UNITS * size:
+                yield got
+                got, held = [], 0
     if got:
-        yield first, got
+        yield got
 
 
 RUN = "doc_id long, version long, first int, windows int, place int, gram long, run long"
 
 
 def _runs(window: int, gram: int, unit: str):
+    """Rows of runs; those that are periodic have no gram and cover, all in a row as one, [first, first + windows)."""
     size = 1 if unit == "byte" else 8
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, got in _parts(b, unit):
-                data = memoryview(b"".join(got))
-                ends = np.cumsum([len(x) // size for x in got])
-                starts = np.concatenate([[0], ends[:-1]])
-                doc, first, last, place = runs_of(np.frombuffer(data, np.uint8 if size == 1 else np.uint64), starts, ends, window, gram)
+            for got in _pieces(b, unit, window):
+                data = memoryview(b"".join(x for *_, x in got))
+                ends = np.cumsum([len(x) // size for *_, x in got])
+                starts, base = np.concatenate([[0], ends[:-1]]), np.array([at for _, at, _ in got])
+                rows = np.array([row for row, *_ in got])
+                doc, first, last, place = found = runs_of(np.frombuffer(data, np.uint8 if size == 1 else np.uint64), starts, ends, window, gram)
                 if not len(doc):
                     continue
+                again = periodic(data, size, starts, found, window, gram)
+                if again.any():
+                    # neighbouring ones are one row: [first less a period, last + window)
+                    new = np.flatnonzero(again & ~np.concatenate([[False], again[:-1] & (doc[1:] == doc[:-1])]))
+                    stop = np.flatnonzero(again & ~np.concatenate([again[1:] & (doc[1:] == doc[:-1]), [False]]))
+                    back = first[new] - (place[new] - place[new - 1])
+                    shift = base[doc[new]] - starts[doc[new]]
+                    own, none = pa.array(rows[doc[new]]), pa.nulls(len(new), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(own), b["version"].take(own), pa.array((back + shift).astype(np.int32)), pa.array((last[stop] + window - back).astype(np.int32)), pa.array(np.zeros(len(new), np.int32)), none, none], names=["doc_id", "version", "first", "windows", "place", "gram", "run"])
+                    doc, first, last, place = (x[~again] for x in found)
                 whole = digests(data[i * size : (j + window) * size] for i, j in zip(first.tolist(), last.tolist(), strict=True))
                 grams = digests(data[p * size : (p + gram) * size] for p in place.tolist())
-                own = pa.array(doc + row)
+                own = pa.array(rows[doc])
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].take(own), b["version"].take(own), pa.array((first - starts[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(grams), pa.array(whole)],
+                    [b["doc_id"].take(own), b["version"].take(own), pa.array((first - starts[doc] + base[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array(grams), pa.array(whole)],
                     names=["doc_id", "version", "first", "windows", "place", "gram", "run"],
                 )
 
     return runs
 
 
+CONTENT = "gram long, members long, n long, doc_id long, version long, first int, windows int, place int, content binary"
+BLOCKS = "gram long, block int, n long, doc_id long, version long, first int, windows int, place int, at int, content binary"
+SINGLES = "group long, block int, place int, n long, doc_id long, version long, first int, sides binary"
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in ddl.split(", "))])
+
+
+def _batches(rows: Iterator[tuple], ddl: str, most: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded size."""
+    schema, held = _schema(ddl), []
+    for row in rows:
+        held.append(row)
+        if len(held) >= most:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _contents(window: int, unit: str):
     """The units of the asked runs of each text."""
     size = 1 if unit == "byte" else 8
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            rows = []
-            for text, asked in zip(b["text"], b["asked"].to_pylist(), strict=True):
+            for doc, version, text, asked in zip(b["doc_id"].to_pylist(), b["version"].to_pylist(), b["text"], b["asked"], strict=True):
                 data = units_of(text.as_py(), unit)
-                rows += [(r["gram"], r["run"], r["windows"], r["place"], data[r["first"] * size : (r["first"] + r["windows"] - 1 + window) * size]) for r in asked]
-                if len(rows) > 20_000:
-                    yield _batch(rows, CONTENT_SCHEMA)
-                    rows = []
-            if rows:
-                yield _batch(rows, CONTENT_SCHEMA)
+                for r in asked.as_py():
+                    yield r["gram"], r["members"], r["n"], doc, version, r["first"], r["windows"], r["place"], data[r["first"] * size : (r["first"] + r["windows"] - 1 + window) * size]
 
-    return contents
+    return lambda batches: _batches(rows(batches), CONTENT)
 
 
-CONTENT_SCHEMA = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("place", pa.int32()), ("content", pa.binary())])
-BLOCK_SCHEMA = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("block", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("whole", pa.int64()), ("core", pa.int64())])
-WINDOW_SCHEMA = pa.schema([("gram", pa.int64()), ("run", pa.int64()), ("lo", pa.int32()), ("one", pa.int64())])
+def _blocks(window: int, unit: str):
+    """Blocks of the windows of a run, by their distance to the gram. `at` is where, in the units of the block's windows,
+    those begin that all windows of a whole block have: window - width + 1 units."""
+    size, width = 1 if unit == "byte" else 8, max(1, min(BLOCK, window // 3))
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for r in b.to_pylist():
+                n, place = r["windows"], r["place"]
+                for block in range((place - n + 1) // width, place // width + 1):
+                    lo, hi = max(0, place - (block + 1) * width + 1), min(n - 1, place - block * width)
+                    yield r["gram"], block, r["n"], r["doc_id"], r["version"], r["first"] + lo, hi - lo + 1, place - lo, place - block * width - lo, r["content"][lo * size : (hi + window) * size]
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    return lambda batches: _batches(rows(batches), BLOCKS)
 
 
-def _blocks(window: int, unit: str):
-    """Blocks of a run's windows [lo, hi] by their distance to the gram, with a digest of all their units (of the two
-    ends of the block too) and one of the units that every window of the whole block has."""
-    size, wide = 1 if unit == "byte" else 8, max(1, min(BLOCK, window // 3))
+def _singles(window: int, unit: str):
+    """Each window of the blocks, with the units that its block does not have in common."""
+    size, width = 1 if unit == "byte" else 8, max(1, min(BLOCK, window // 3))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            rows, parts, cores = [], [], []
-            for gram, run, n, place, content in zip(*[b[c].to_pylist() for c in ("gram", "run", "windows", "place")], b["content"], strict=True):
-                data = memoryview(content.as_py())
-                for block in range((place - n + 1) // wide, place // wide + 1):
-                    lo, hi = max(0, place - (block + 1) * wide + 1), min(n - 1, place - block * wide)
-                    rows.append((gram, run, block, lo, hi))
-                    parts.append(data[lo * size : (hi + window) * size])
-                    a = place - block * wide
-                    cores.append(xxhash.xxh3_64_intdigest(data[a * size : (a - wide + 1 + window) * size]))
-            for at in range(0, len(rows), 20_000):
-                core = np.array(cores[at : at + 20_000], np.uint64).view(np.int64)
-                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), BLOCK_SCHEMA, strict=False)], pa.array(digests(parts[at : at + 20_000])), pa.array(core)], schema=BLOCK_SCHEMA)
-
-    return blocks
-
-
-def _windows(window: int, unit: str):
-    size = 1 if unit == "byte" else 8
+            for r in b.to_pylist():
+                a, data = r["at"], r["content"]
+                for lo in range(r["windows"]):
+                    sides = data[lo * size : a * size] + data[(a + window - width + 1) * size : (lo + window) * size]
+                    yield r["group"], r["block"], r["place"] - lo, r["n"], r["doc_id"], r["version"], r["first"] + lo, sides
+
+    return lambda batches: _batches(rows(batches), SINGLES)
+
+
+def numbered(high: np.ndarray, low: np.ndarray | None, most: int) -> np.ndarray:
+    """One pass: the places in order of (high, low), groups of equal ones numbered in that order, -1 for groups of one."""
+    key = high if low is None else high * np.int64(most) + low
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    alone = new & np.append(new[1:], True)
+    number = np.cumsum(new & ~alone) - 1
+    out = np.empty(len(key), np.int64)
+    out[order] = np.where(alone, -1, number)
+    return out
+
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def equal_windows(units: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> np.ndarray:
+    """For each place the number of its group of equal windows, -1 where its window equals no other or would leave its
+    row [start, end). The depth-limited radix sort."""
+    length, n = 1, len(units)
+    digit, end = units, np.repeat(ends, ends - starts)
+    if units.dtype == np.uint8:
+        length = min(8, window)
+        digit = np.zeros(n, np.uint64)
+        for j in range(length):
+            digit[: n - j] = digit[: n - j] << np.uint64(8) | units[j:]
+            digit[n - j :] <<= np.uint64(8)
+    group = np.full(n, -1, np.int64)
+    at = np.flatnonzero(np.arange(n) + length <= end)
+    if len(at):
+        group[at] = numbered(digit[at], None, 0)
+    while length < window:
+        step = min(length, window - length)
+        at = np.flatnonzero(group >= 0)
+        at = at[at + step < end[at]]
+        at = at[group[at + step] >= 0]
+        high, low = group[at], group[at + step]
+        group = np.full(n, -1, np.int64)
+        if not len(at):
+            break
+        group[at] = numbered(high, low, int(low.max()) + 1)
+        length += step
+    return group
+
+
+def _sorted(window: int, unit: str):
+    """The repeated windows of runs without a copy, as spans. Rows come in order of their group, and a group has at most
+    a bounded number of rows; several groups are sorted at once, as windows of different groups are never equal."""
+    kind = np.uint8 if unit == "byte" else np.uint64
+    size = np.dtype(kind).itemsize
+
+    def spans(rows: list[tuple]) -> Iterator[tuple]:
+        lengths = np.array([len(r[-1]) // size for r in rows])
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        same = equal_windows(np.frombuffer(b"".join(r[-1] for r in rows), kind), starts, ends, window) >= 0
+        for (n, doc, version, first, windows, _), a in zip(rows, starts.tolist(), strict=True):
+            if n > 1:
+                continue
+            own = np.flatnonzero(same[a : a + windows])
+            if not len(own):
+                continue
+            gaps = np.flatnonzero(np.diff(own) > window)
+            for lo, hi in zip(own[np.append(0, gaps + 1)].tolist(), own[np.append(gaps, len(own) - 1)].tolist(), strict=True):
+                yield doc, version, first + lo, first + hi + window
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, units, last = [], 0, None
         for b in batches:
-            rows, parts = [], []
-            for gram, run, asked, content in zip(*[b[c].to_pylist() for c in ("gram", "run", "asked")], b["content"], strict=True):
-                data = memoryview(content.as_py())
-                for a in asked:
-                    for lo in range(a["lo"], a["hi"] + 1):
-                        rows.append((gram, run, lo))
-                        parts.append(data[lo * size : (lo + window) * size])
-            for at in range(0, len(rows), 20_000):
-                yield pa.record_batch([*[pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), WINDOW_SCHEMA, strict=False)], pa.array(digests(parts[at : at + 20_000]))], schema=WINDOW_SCHEMA)
+            columns = [b[c].to_pylist() for c in ("group", "block", "n", "doc_id", "version", "first", "windows", "content")]
+            for group, block, *row in zip(*columns, strict=True):
+                if units >= UNITS // 2 and (group, block) != last:
+                    yield from spans(held)
+                    held, units = [], 0
+                held.append(tuple(row))
+                units += len(row[-1]) // size
+                last = (group, block)
+        if held:
+            yield from spans(held)
 
-    return windows
+    return lambda batches: _batches(found(batches), "doc_id long, version long, first int, end int", 20_000)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -202,55 +315,91 @@ def on_key(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.version") == F.col(f"{b}.version"))
 
 
+def in_groups(items: DataFrame, window: int, unit: str) -> DataFrame:
+    """Spans (doc_id, version, first, end) of the repeated windows of items' runs without a copy; a row of items is a run
+    or block of windows, and (group, block) has MEMBERS rows at most."""
+    items = items.select("group", "block", "n", "doc_id", "version", "first", "windows", "content")
+    return items.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_sorted(window, unit), "doc_id long, version long, first int, end int")
+
+
+def split(stage: Stages, items: DataFrame, key: list[str], digit: Column) -> DataFrame:
+    """One pass over all of a large bucket: items in groups of equal key and digit, numbered in their order as `group`,
+    with the number of members; groups of one are dropped."""
+    d = items.withColumn("digit", digit)
+    groups = d.groupBy(*key, "digit").agg(F.count("*").alias("next_members")).where("next_members > 1")
+    groups = stage(groups.orderBy(*key, "digit").withColumn("next", F.monotonically_increasing_id()), "digits")
+    kept = d.join(groups, [*key, "digit"]).drop("digit", "members", *(["group"] if "group" in items.columns else []))
+    return stage(kept.withColumnsRenamed({"next": "group", "next_members": "members"}), "items")
+
+
+def in_large(stage: Stages, runs: DataFrame, window: int, unit: str) -> DataFrame:
+    """As in_groups(), for the runs (CONTENT) of buckets of any size."""
+    size, width = 1 if unit == "byte" else 8, max(1, min(BLOCK, window // 3))
+    core, end = window - width + 1, min(END, (window - width + 1) // 2)
+    items = runs.mapInArrow(_blocks(window, unit), BLOCKS)
+    part = lambda first, n: F.substring("content", (F.col("at") + first) * size + 1, F.lit(n * size))
+    first = split(stage, items, ["gram", "block"], F.concat(part(0, end), part(core - end, end)))
+    out = in_groups(first.where(F.col("members") <= MEMBERS), window, unit)
+    rest = split(stage, first.where(F.col("members") > MEMBERS), ["group", "block"], part(end, core - 2 * end))
+    out = out.union(in_groups(rest.where(F.col("members") <= MEMBERS), window, unit))
+    alike = rest.where(F.col("members") > MEMBERS)  # equal through all that a block's windows have in common
+    singles = stage(alike.mapInArrow(_singles(window, unit), SINGLES), "singles")
+    same = ["group", "block", "place", "sides"]
+    equal = stage(singles.groupBy(*same).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"), "equal-singles")
+    return out.union(singles.where("n = 1").join(equal, same).select(*KEY, "first", (F.col("first") + window).alias("end")))
+
+
+def maximal(spans: DataFrame) -> DataFrame:
+    """(doc_id, version, first, end): the maximal runs that spans cover. Windows are one document's, and each place comes
+    once however often its row is repeated."""
+    longest = spans.groupBy(*KEY, "first").agg(F.max("end").alias("end"))
+    own = Window.partitionBy(*KEY).orderBy("first")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.coalesce((F.col("first") > F.col("before")).cast("int"), F.lit(1))).over(own)
+    return longest.withColumn("before", before).withColumn("part", part).groupBy(*KEY, "part").agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("part")
+
+
 def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, unit: str = "byte") -> DataFrame:
-    """(doc_id, version, spans): for each row of keyed() with a repeated window its spans (first, end) in units, not
-    ordered, overlapping. A window repeats if it starts at another place of any row, its own included."""
+    """(doc_id, version, spans): for each row of keyed() with a repeated window the maximal runs (first, end) of units that
+    its repeated windows cover. A window repeats if it starts at another place of any row, its own included; rows that
+    repeat a document repeat its windows, a text of any length is looked at whole."""
+    gram, stage = min(gram, window), Stages(docs.sparkSession, "repeats")
     seg, place = ["gram", "run"], ["doc_id", "version", "first", "windows", "place"]
-    runs = staged(docs.mapInArrow(_runs(window, gram, unit), RUN), "runs")
+    runs = stage(docs.mapInArrow(_runs(window, gram, unit), RUN), "runs")
+    spans = runs.where("gram is null").select(*KEY, "first", (F.col("first") + F.col("windows")).alias("end"))
     # counts are staged before they are joined back, so that the join reads plain exchanges and can split a hot gram
-    common = staged(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "common")
-    runs = staged(runs.join(common, "gram"), "live-runs")
+    common = stage(runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1 and gram is not null").select("gram"), "common")
+    live = stage(runs.join(common, "gram"), "live-runs")
     # first() of all columns is of one row: any place of a run will do
-    kinds = staged(runs.groupBy(*seg).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "run-kinds")
-    spans = runs.join(kinds.where("n > 1").select(*seg), seg).select(*KEY, F.col("first"), (F.col("first") + F.col("windows") - 1 + window).alias("end"))
+    kinds = stage(live.groupBy(*seg).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "run-kinds")
+    whole = live.join(kinds.where("n > 1").select(*seg), seg).select(*KEY, "first", (F.col("first") + F.col("windows") - 1 + window).alias("end"))
     # Buckets with a run of its own and another one
-    undecided = staged(kinds.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram"), "undecided")
-    asked = staged(kinds.join(undecided, "gram"), "asked")
-    lists = asked.groupBy(*KEY).agg(F.collect_list(F.struct(*seg, "first", "windows", "place")).alias("asked"))
-    content = docs.alias("d").join(lists.alias("l"), on_key("d", "l")).select("d.text", "l.asked")
-    content = staged(content.mapInArrow(_contents(window, unit), "gram long, run long, windows int, place int, content binary"), "run-contents")
-    blocks = staged(content.mapInArrow(_blocks(window, unit), "gram long, run long, block int, lo int, hi int, whole long, core long"), "blocks")
-    same, core = ["gram", "block", "whole"], ["gram", "block", "core"]
-    block_kinds = blocks.groupBy(*same, "core").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("run", "lo", "hi")])
-    block_kinds = staged(block_kinds, "block-kinds")
-    solo = asked.where("n = 1").select(*seg, *KEY, F.col("first").alias("run_first"))  # the runs with one place
-    equal_blocks = blocks.join(block_kinds.where("n > 1").select(*same), same).select(*seg, "lo", "hi")
-    open_cores = staged(block_kinds.groupBy(*core).agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select(*core), "open-cores")
-    per_run = block_kinds.join(open_cores, core).groupBy(*seg).agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
-    singles = content.join(per_run, seg).select(*seg, "asked", "content").mapInArrow(_windows(window, unit), "gram long, run long, lo int, one long")
-    singles = staged(singles, "windows")
-    equal = staged(singles.groupBy("gram", "one").agg(F.count("*").alias("n")).where("n > 1").select("gram", "one"), "equal-windows")
-    equal_windows = singles.join(equal, ["gram", "one"]).select(*seg, "lo", F.col("lo").alias("hi"))
-    fine = equal_blocks.unionByName(equal_windows).join(solo, seg).select(*KEY, (F.col("run_first") + F.col("lo")).alias("first"), (F.col("run_first") + F.col("hi") + window).alias("end"))
-    return spans.unionByName(fine).groupBy(*KEY).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
-
-
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """The maximal runs that spans cover, in order."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["first"], x["end"]) for x in spans or ()):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    undecided = stage(kinds.groupBy("gram").agg(F.count("*").alias("members"), F.min("n").alias("least")).where("members > 1 and least = 1").select("gram", "members"), "undecided")
+    asked = kinds.join(undecided, "gram").groupBy(*KEY).agg(F.collect_list(F.struct("gram", "members", "n", "first", "windows", "place")).alias("asked"))
+    # a row that is repeated is read once: its copies are counted already
+    content = docs.alias("d").join(asked.alias("l"), on_key("d", "l")).select("d.*", "l.asked").dropDuplicates(KEY) if _repeated(docs) else docs.alias("d").join(asked.alias("l"), on_key("d", "l")).select("d.*", "l.asked")
+    content = stage(content.mapInArrow(_contents(window, unit), CONTENT), "run-contents")
+    small = content.where(F.col("members") <= MEMBERS).withColumns({"group": F.col("gram"), "block": F.lit(0)})
+    found = in_groups(small, window, unit)
+    large = content.where(F.col("members") > MEMBERS)
+    if large.head(1):
+        found = found.union(in_large(stage, large, window, unit))
+    out = stage(maximal(spans.union(whole).union(found)), "spans")
+    stage.drop("runs", "common", "live-runs", "run-kinds", "undecided", "run-contents", "digits", "items", "singles", "equal-singles")
+    return out.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
+
+
+def _repeated(docs: DataFrame) -> bool:
+    """Whether any row comes more than once."""
+    return bool(docs.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").head(1))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes, removed, found, kept = [], [], [], []
         for text, spans in zip(b["text"], b["spans"].to_pylist(), strict=True):
-            data, runs, at, h = memoryview(text.as_buffer()) if text.as_buffer() else memoryview(b""), merged(spans), 0, hashlib.sha256()
+            data, at, h = memoryview(text.as_buffer()) if text.as_buffer() else memoryview(b""), 0, hashlib.sha256()
+            runs = [(s["first"], s["end"]) for s in spans or ()]
             for s, e in runs:
                 h.update(data[at:s])
                 at = e
@@ -268,7 +417,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
     """Each document without the bytes that a 400-byte string with another start covers. A null text is empty; rows that
-    repeat a document repeat its strings; an empty table gives no row."""
+    repeat a document repeat its strings; a text of any length is looked at whole; an empty table gives no row."""
     d = keyed(table(spark, sf_dir, "documents"))
     return with_spans(d, repeated_spans(d)).select("d.doc_id", "d.text", "s.spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -282,9 +431,9 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text = text.as_py()
             places, at, kept = [m.span() for m in WORD.finditer(text)], 0, []
-            for s, e in merged(spans):
-                kept.append(text[at : places[s][0]])
-                at = places[e - 1][1]
+            for s in spans:
+                kept.append(text[at : places[s["first"]][0]])
+                at = places[s["end"] - 1][1]
             out.append("".join([*kept, text[at:]]))
         yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.string())], names=["row", "kept"])
 
@@ -293,7 +442,7 @@ def without_repeats(docs: DataFrame, words: int = 50, gram: int = 8) -> DataFram
     """The documents, with their columns, without the passages of `words` words or more that have another start anywhere;
     words are runs of non-space. Needs doc_id and text. A document that nothing is taken from stays as it is, a null text
     null; other columns, n_chars too, are not touched, whatever their names. Rows that repeat a document repeat its
-    passages; an empty table gives no row."""
+    passages; a text of any length is looked at whole; an empty table gives no row."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     d = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
     joined = with_spans(d, repeated_spans(keyed(docs), words, gram, "word")).select("d.row", "d.text", "s.spans")

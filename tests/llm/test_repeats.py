@@ -74,6 +74,57 @@ def test_words(spark):
     assert any(gone)
 
 
+def want_of(rows, window):
+    data = [(r[1] or "").encode() for r in rows]
+    out = []
+    for (k, *_), t, c in zip(rows, data, brute(data, window), strict=True):
+        n = sum(1 for i in range(len(c)) if c[i] and (i == 0 or not c[i - 1]))
+        out.append((k, len(t), sum(c), n, hashlib.sha256(bytes(b for b, x in zip(t, c, strict=True) if not x)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_query_at_400_bytes(spark, tmp_path):
+    r = random.Random(9)
+    line = "".join(r.choice("abcdefgh ") for _ in range(500))
+    rows = [(None, None), (1, ""), (2, "x" * 5000), (3, "-" * 700 + "\n" + "=" * 401), (3, "-" * 399), (None, line[:420]), (None, line[:420])]
+    rows += [(10 + i, "".join(r.choice("abc é") for _ in range(r.randint(0, 900))) + line[r.randint(0, 60) : r.randint(410, 500)] + str(i) * 30) for i in range(30)]
+    rows += [(50, "ruled line\n" * 100), (51, "ruled line\n" * 60 + "end"), (51, "ruled line\n" * 60 + "end")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = repeats.op9_repeats(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == want_of(rows, 400) and sum(x.n_removed for x in got) > 10_000
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    """One line in every text, so that its grams' buckets are large, and groups of blocks equal as far as they go."""
+    monkeypatch.setattr(repeats, "MEMBERS", 4)
+    r = random.Random(5)
+    line = "".join(r.choice("abcdefgh ") for _ in range(110))
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 80))) + line[: r.randint(100, 110)] + "".join(r.choice("ab") for _ in range(r.randint(0, 8))) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for window, gram in ((105, 16), (60, 8)):
+        d = keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = with_spans(d, repeated_spans(d, window, gram)).select("d.doc_id", "d.text", "s.spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+        assert sorted(map(tuple, got), key=str) == want_of(rows, window)
+
+
+def test_long_texts(spark, monkeypatch):
+    """A megabyte of one byte, of ruled lines, and a text longer than what is worked on at once."""
+    texts = ["z" * 1_000_000, ("-" * 79 + "\n") * 12_500, "z" * 300 + "y", "".join(map(str, range(200_000)))]
+    rows = repeats._runs(400, 64, "byte")
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(4)), pa.array([0] * 4), pa.array(texts)], names=["doc_id", "version", "text"])
+    whole = pa.Table.from_batches(list(rows([batch]))).to_pylist()
+    assert sum(x["doc_id"] in (0, 1) for x in whole) < 200
+    monkeypatch.setattr(repeats, "UNITS", 100_000)
+    parts = pa.Table.from_batches(list(rows([batch]))).to_pylist()
+    windows = lambda found, d: sorted(i for x in found if x["doc_id"] == d and x["gram"] is not None for i in range(x["first"], x["first"] + x["windows"]))
+    assert windows(parts, 3) == windows(whole, 3) == list(range(len(texts[3]) - 399))
+    d = keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in repeated_spans(d).collect()}
+    assert got == {0: [(0, 1_000_000)], 1: [(0, 1_000_000)]}
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert repeats.without_repeats(e).count() == 0 and repeated_spans(keyed(e)).count() == 0
