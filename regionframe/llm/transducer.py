@@ -5,12 +5,15 @@ character's class). Its state is the cutting rule's place in a word, and for the
 may still be going on: the place in the tokens' trie, the token before it, and the tokens counted up to there against
 those of the whole prefix. A transition adds to the count what one more byte changes in the number of tokens, and a word's end
 adds what its final form changes. Such a state knows all later counts, because a token ends a prefix's encoding exactly
-where it and the token before it, encoded together, stay the two. States and transitions are compiled when first met and
-kept in an open hash table, bounded as in a lazily built automaton.
-
-Texts run as chunks of fixed length, all at once, one symbol a step. Where a chunk has white space or a digit, no state
-survives it: the chunk's map is constant from there on, and only its head waits for the state it is entered with. A
-prefix scan over the chunks composes the maps.
+where it and the token before it, encoded together, stay the two. Tokens before that allow the same continuations are one.
+States and transitions are compiled when first met and kept in an open hash table; beyond MOST_STATES all but the states
+in use are dropped and compiled anew, within a text too.
+
+Texts run as chunks of fixed length, all at once, one symbol a step. A chunk's map says, for each state that is live at
+its boundary, the state it leaves and the tokens it counts. Where a chunk has white space or a digit, no state survives
+it: its map is constant from there on, and only its head runs from the live states. Any other chunk runs from a fresh
+start first; other live states run only until they fall into step with that, which a few tokens do. The maps are then
+composed pairwise, in as many rounds as the logarithm of the number of chunks (a prefix scan).
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from regionframe.llm.shared import table, text_of
 from regionframe.llm.tokens import byte_level_alphabet, char_class, vocabulary
 
-SPACE, CHUNK, BATCH, MOST_STATES = 0, 1024, 8_000_000, 250_000
-NO_WORD = ("S", (), 0)
+SPACE, CHUNK, MARK, BATCH, MOST_STATES = 0, 1024, 64, 8_000_000, 200_000
+SMALL, MOST_PAIRS = 12, 1_000_000  # tokens below a node whose fits are told apart; remembered pairs
+NO_WORD, FRESH = ("S", (), 0), ((0, -1, 0),)
 #: What follows the apostrophe in the contractions that the tokenizer's file names.
 SHORT = {"s", "t", "re", "ve", "m", "ll", "d"}
 
@@ -61,18 +65,30 @@ class Transducer:
             self.spelled[i] = (spelled, ends)
             if len(spelled) == 1:
                 self.single[spelled[0], ends] = i
-        self.stays: dict[tuple[int, int], bool] = {}
-        for i, (spelled, ends) in self.spelled.items():
-            if not self.together(-1, i):
-                continue  # never the result of its own bytes
-            node = 0
-            for b in spelled:
+        # Each token as it comes about from its own bytes: its two last parts and the rank of their merge
+        self.halves: dict[int, tuple[int, int, int]] = {}
+        whole = {i for i, (spelled, ends) in self.spelled.items() if self.comes_about(i, spelled, ends)}
+        self.lefts, self.rights = {}, {}
+        self.stays: dict[int, bool] = {}
+        below: list[list[int]] = [[]]
+        for i in sorted(whole):
+            node, path = 0, []
+            for b in self.spelled[i][0]:
                 if (node << 8 | b) not in self.edges:
                     self.edges[node << 8 | b] = len(self.inner)
                     self.inner.append(-1)
                     self.final.append(-1)
+                    below.append([])
+                path.append(node)
                 node = self.edges[node << 8 | b]
-            (self.final if ends else self.inner)[node] = i
+            (self.final if self.spelled[i][1] else self.inner)[node] = i
+            for n in path[1:]:
+                if len(below[n]) <= SMALL:
+                    below[n].append(i)
+        #: The tokens that end below a node, where they are few
+        self.few = {n: x for n, x in enumerate(below) if n and 0 < len(x) <= SMALL}
+        self.alike: dict[tuple[int, int], int] = {}
+        self.first_alike: dict[tuple[int, int], int] = {}
         self.grows = {k >> 8 for k in self.edges}
         self.kinds = np.full(0x110000, 255, np.uint8)  # by code point: place in "LNOS"; 255 is not asked yet
         self.learn_kinds(np.arange(128))
@@ -85,20 +101,75 @@ class Transducer:
 
     # What the tokenizer does, and when two tokens side by side stay so
 
+    def comes_about(self, token: int, spelled: bytes, ends: bool) -> bool:
+        """Whether the token is what its own bytes merge into; notes its halves."""
+        ids = [self.single[b, False] for b in spelled]
+        if ends:
+            ids[-1] = self.single[spelled[-1], True]
+        last = None
+        while len(ids) > 1:
+            rank, at = min((self.merges.get(p, (1 << 30, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
+            if rank == 1 << 30:
+                return False
+            last = (ids[at], ids[at + 1], rank)
+            ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
+        if last:
+            self.halves[token] = last
+        return ids == [token]
+
+    def edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The parts that stood at the token's left (0) or right (1) edge as it came about, with the rank at which each was
+        merged into the next one; the token itself last, never merged."""
+        kept = (self.lefts, self.rights)[side]
+        if token not in kept:
+            out, part, until = [], token, 1 << 30
+            while True:
+                out.append((part, until))
+                if part not in self.halves:
+                    break
+                until, part = self.halves[part][2], self.halves[part][side]
+            kept[token] = out[::-1]
+        return kept[token]
+
     def together(self, before: int, token: int) -> bool:
-        key = (before, token)
-        if key not in self.stays:
-            (head, _), (tail, ends) = self.spelled[before] if before >= 0 else (b"", False), self.spelled[token]
-            ids = [self.single[b, False] for b in head + tail]
-            if ends:
-                ids[-1] = self.single[tail[-1], True]
-            while len(ids) > 1:
-                rank, at = min((self.merges.get(p, (1 << 30, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:], strict=False)))
-                if rank == 1 << 30:
+        """Whether the two, encoded together, stay the two: no part at the right edge of the one ever merges with a part at
+        the left edge of the other while both stand there. Of equal ranks the pair further left merges first."""
+        if before < 0:
+            return True
+        key = before << 20 | token
+        if (known := self.stays.get(key)) is not None:
+            return known
+        if len(self.stays) > MOST_PAIRS:
+            self.stays.clear()
+        one, two, merges = self.edge(before, 1), self.edge(token, 0), self.merges
+        i = j = 0
+        ok = True
+        while True:
+            (a, a_until), (b, b_until) = one[i], two[j]
+            if (m := merges.get((a, b))) and m[0] < a_until and m[0] <= b_until:
+                ok = False
+                break
+            if a_until <= b_until:  # the part that is merged first gives way to the next one
+                i += 1
+                if i == len(one):
                     break
-                ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
-            self.stays[key] = ids == ([before, token] if before >= 0 else [token])
-        return self.stays[key]
+            else:
+                j += 1
+                if j == len(two):
+                    break
+        self.stays[key] = ok
+        return ok
+
+    def stand_in(self, node: int, before: int) -> int:
+        """The first token met that allows the same tokens below the node as `before` does; -2 where it allows none."""
+        key = (node, before)
+        if (got := self.alike.get(key)) is None:
+            if len(self.alike) > MOST_PAIRS:
+                self.alike.clear()
+                self.first_alike.clear()
+            fits = sum(1 << i for i, t in enumerate(self.few[node]) if self.together(before, t))
+            got = self.alike[key] = self.first_alike.setdefault((node, fits), before) if fits else -2
+        return got
 
     def learn_kinds(self, points: np.ndarray) -> None:
         for p in np.unique(points):
@@ -108,18 +179,20 @@ class Transducer:
 
     def grown(self, starts: tuple, byte: int) -> tuple[int, tuple, int]:
         """What one more byte adds to the word's count, the open starts after it, and what the word's end would add then."""
-        if not starts:
-            starts = ((0, -1, 0),)
         token, count, ended, alive = -1, 0, None, []
-        for node, before, n in starts:
-            at = self.edges.get(node << 8 | byte)
+        edges, inner, final, grows, few = self.edges, self.inner, self.final, self.grows, self.few
+        for node, before, n in starts or FRESH:
+            at = edges.get(node << 8 | byte)
             if at is None:
                 continue
-            if token < 0 and self.inner[at] >= 0 and self.together(before, self.inner[at]):
-                token, count = self.inner[at], n + 1
-            if ended is None and self.final[at] >= 0 and self.together(before, self.final[at]):
+            if token < 0 and (t := inner[at]) >= 0 and self.together(before, t):
+                token, count = t, n + 1
+            if ended is None and (t := final[at]) >= 0 and self.together(before, t):
                 ended = n + 1
-            if at in self.grows:
+            if at in grows:
+                if at in few:
+                    if (before := self.stand_in(at, before)) == -2:
+                        continue
                 alive.append((at, before, n))
         return count, (*[(a, b, n - count) for a, b, n in alive], (0, token, 0)), ended - count
 
@@ -154,7 +227,15 @@ class Transducer:
         return ending + more, ("'" if byte == 0x27 and cls == "O" else cls, after, end)
 
     def reset(self) -> None:
-        self.numbers, self.states = {NO_WORD: 0}, [NO_WORD]
+        """Drops all transitions, and all states but those in the arrays of `held`, which get their new numbers."""
+        live = [NO_WORD]
+        if held := getattr(self, "held", []):
+            used = np.unique(np.concatenate([np.zeros(1, np.int64), *[x.ravel() for x in held]]))
+            live = [self.states[i] for i in used.tolist()]
+            for x in held:
+                x[...] = np.searchsorted(used, x)
+        self.held = held
+        self.numbers, self.states = {s: i for i, s in enumerate(live)}, live
         self.bits = 16
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
         self.filled = 0
@@ -211,12 +292,16 @@ class Transducer:
         order = np.argsort(first - ends, kind="stable")
         at, left, s = first[order], (ends - first)[order], states[order].astype(np.int64)
         counts, lanes = np.zeros(len(at), np.int64), len(at)
+        self.held.append(s)
         for step in range(int(left.max(initial=0))):
             while lanes and left[lanes - 1] <= step:
                 lanes = int(np.searchsorted(-left, -step, side="left"))
+            if len(self.states) > MOST_STATES:
+                self.reset()
             v = self._find(s[:lanes] << 9 | symbols[at[:lanes] + step])
             s[:lanes] = v >> 12
             counts[:lanes] += (v & 4095) - 2048
+        self.held.pop()
         out_c, out_s = np.empty_like(counts), np.empty_like(s)
         out_c[order], out_s[order] = counts, s
         return out_c, out_s
@@ -259,8 +344,6 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
         pieces, whose, counts = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if self.special and "<" in text and (hits := self.special.findall(text)):
@@ -277,41 +360,106 @@ class Transducer:
         symbols, before = self.symbols(b"".join(pieces))
         ends = before[np.cumsum([len(p) for p in pieces])]
         starts = np.concatenate([[0], ends[:-1]])
-        # chunks
         n = np.maximum(1, -(-(ends - starts) // CHUNK))
         piece = np.repeat(np.arange(len(pieces)), n)
         place = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         a = starts[piece] + place * CHUNK
-        b = np.minimum(a + CHUNK, ends[piece])
-        sync = np.flatnonzero(self.syncs[symbols])
-        sync = np.append(sync, len(symbols))
-        cut = np.minimum(sync[np.searchsorted(sync, a)], b)  # where the chunk's map becomes constant
-        total, exit_state = self.run(symbols, cut, b, np.zeros(len(a), np.int64))
-        # the scan: heads run from the state that the chunk before leaves; a chunk without such a place hands on its own
-        constant = cut < b
-        known = (place == 0) | np.concatenate([[True], constant[:-1]])
-        done = np.zeros(len(a), bool)
-        while not done.all():
-            now = np.flatnonzero(known & ~done)
-            entry = np.where(place[now] == 0, 0, exit_state[now - 1])
-            head, after = self.run(symbols, a[now], cut[now], entry)
-            closing, _ = self.closed(after)
-            total[now] += head + np.where(constant[now], closing, 0)
-            exit_state[now] = np.where(constant[now], exit_state[now], after)
-            done[now] = True
-            nxt = now[(now + 1 < len(a))] + 1
-            known[nxt] = True
-        last = np.cumsum(n) - 1
-        total[last] += self.closed(exit_state[last])[0]
-        np.add.at(counts, np.array(whose)[piece], total)
+        total = self.composed(*self.maps(symbols, a, np.minimum(a + CHUNK, ends[piece]), place == 0), place == 0)
+        np.add.at(counts, np.array(whose), total)
+        self.held.clear()
         return counts
 
+    def maps(self, symbols: np.ndarray, a: np.ndarray, b: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The maps of the chunks [a, b), as rows (chunk, state entered, state left, tokens) for the states live at each
+        chunk's boundary. A chunk that begins a piece is entered with no word; the end of a piece closes its word."""
+        sync = np.append(np.flatnonzero(self.syncs[symbols]), len(symbols))
+        cut = np.minimum(sync[np.searchsorted(sync, a)], b)  # where the chunk's map becomes constant
+        constant, last = cut < b, np.append(begins[1:], True)
+        total, leaves = self.run(symbols, cut, b, np.zeros(len(a), np.int64))
+        self.held.append(leaves)
+        # Chunks without such a place: a run from a fresh start, with its states and counts at every MARK symbols
+        free = np.flatnonzero(~constant)
+        steps = -(-CHUNK // MARK)
+        marks = np.zeros((len(free), steps + 1), np.int64)
+        so_far = np.zeros_like(marks)
+        self.held.append(marks)
+        for m in range(steps):
+            lo, hi = np.minimum(a[free] + m * MARK, b[free]), np.minimum(a[free] + (m + 1) * MARK, b[free])
+            c, marks[:, m + 1] = self.run(symbols, lo, hi, marks[:, m])
+            so_far[:, m + 1] = so_far[:, m] + c
+        of_free = np.full(len(a), -1)
+        of_free[free] = np.arange(len(free))
+        leaves[free] = marks[:, -1]
+        # Rows: the fresh runs, and in rounds the states that are live at a boundary and have no row yet
+        chunk, enters, exits, tokens = [free], [np.zeros(len(free), np.int64)], [leaves[free]], [so_far[:, -1].copy()]
+        self.held += [enters[0], exits[0]]
+        now, entry = np.flatnonzero(begins | np.concatenate([[False], constant[:-1]])), None
+        entry = np.where(begins[now], 0, leaves[now - 1])
+        more = free[~last[free]]
+        now, entry = np.concatenate([now, more + 1]), np.concatenate([entry, leaves[more]])
+        while len(now):
+            keep = (of_free[now] < 0) | (entry != 0)  # a fresh start has its row
+            now, entry = now[keep], entry[keep]
+            self.held.append(entry)
+            left, count = np.zeros(len(now), np.int64), np.zeros(len(now), np.int64)
+            self.held.append(left)
+            c = np.flatnonzero(constant[now])
+            count[c], left[c] = self.run(symbols, a[now[c]], cut[now[c]], entry[c])
+            closing = self.closed(left[c])[0]
+            count[c] += closing + total[now[c]]
+            left[c] = leaves[now[c]]
+            f = np.flatnonzero(~constant[now])
+            left[f] = entry[f]
+            for m in range(steps):
+                if not len(f):
+                    break
+                j = of_free[now[f]]
+                more_count, left[f] = self.run(symbols, np.minimum(a[now[f]] + m * MARK, b[now[f]]), np.minimum(a[now[f]] + (m + 1) * MARK, b[now[f]]), left[f])
+                count[f] += more_count
+                met = left[f] == marks[j, m + 1]
+                count[f[met]] += so_far[j[met], -1] - so_far[j[met], m + 1]
+                left[f[met]] = marks[j[met], -1]
+                f = f[~met]
+            chunk.append(now)
+            enters.append(entry)
+            exits.append(left)
+            tokens.append(count)
+            new = ~constant[now] & ~last[now] & (left != leaves[now])
+            now, entry = _distinct(now[new] + 1, left[new])
+        chunk, tokens = np.concatenate(chunk), np.concatenate(tokens)
+        closes = np.flatnonzero(last[chunk])
+        tokens[closes] += self.closed(np.concatenate(exits)[closes])[0]
+        return chunk, np.concatenate(enters), np.concatenate(exits), tokens
+
+    @staticmethod
+    def composed(chunk: np.ndarray, enters: np.ndarray, exits: np.ndarray, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The tokens of each piece: every row is composed with the row of the next chunk that its exit enters, then with
+        the one after both, and so on, twice as many chunks each round."""
+        order = np.lexsort((enters, chunk))
+        chunk, enters, exits, tokens = chunk[order], enters[order], exits[order], tokens[order].copy()
+        base = int(max(enters.max(initial=0), exits.max(initial=0))) + 1
+        keys, end = chunk * base + enters, len(chunk)
+        goes = np.append(~np.append(begins[1:], True)[chunk], False)  # whether a chunk of the same piece follows
+        following = np.full(end + 1, end)
+        following[:end][goes[:end]] = np.searchsorted(keys, (chunk[goes[:end]] + 1) * base + exits[goes[:end]])
+        tokens = np.append(tokens, 0)
+        while (following < end).any():
+            tokens = tokens + tokens[following]
+            following = following[following]
+        first = np.flatnonzero(begins)
+        return tokens[np.searchsorted(keys, first * base)]
+
     def closed(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the end of the open word adds in each state."""
         v = self._find(states.astype(np.int64) << 9 | SPACE)
         return (v & 4095) - 2048, v >> 12
 
 
+def _distinct(chunks: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.stack([chunks, states]), axis=1)
+    return both[0], both[1]
+
+
 @functools.lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     return Transducer(path)

@@ -41,3 +41,34 @@ def test_frame(spark):
     d = spark.createDataFrame([(1, None, "x", 3), (1, "Hello  world", "y", 4), (None, "é", None, None)], "doc_id long, text string, n_tokens string, n_bytes int")
     assert sorted((r.n_bytes, r.n_tokens) for r in token_counts(d).collect()) == [(0, 0), (2, 1), (12, 2)]
     assert token_counts(d.limit(0)).count() == 0
+
+
+def test_unbroken_texts_in_bounded_tables(monkeypatch):
+    """Texts without white space run over many chunks, whose maps are composed; the tables are dropped while they run."""
+    import base64
+    import random
+
+    from tokenizers import Tokenizer
+
+    from regionframe.llm import transducer as module
+
+    path = module.vocabulary("word_bpe_49k.json")
+    library, r = Tokenizer.from_file(path), random.Random(3)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000)), base64.b64encode(r.randbytes(20_000)).decode(), "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(7_000)), "a" * 50_000, "ha" * 3000 + "'ll" * 900, "", "one word"]
+    want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    t = module.Transducer(path)
+    assert t.count(texts).tolist() == want
+    monkeypatch.setattr(module, "MOST_STATES", 3_000)
+    assert t.count(texts[::-1]).tolist() == want[::-1] and len(t.states) < 6_000 and not t.held
+    assert [t.count([x]).tolist()[0] for x in texts] == want
+
+
+def test_composition_of_maps_by_hand():
+    """Two pieces of three chunks and one: rows (chunk, enters, exits, tokens) are followed from each piece's first state."""
+    import numpy as np
+
+    from regionframe.llm.transducer import Transducer
+
+    rows = np.array([(0, 0, 5, 10), (1, 0, 7, 1), (1, 5, 6, 20), (2, 6, 0, 30), (2, 7, 0, 99), (3, 0, 0, 4)]).T
+    got = Transducer.composed(*rows, begins=np.array([True, False, False, True]))
+    assert got.tolist() == [60, 4]
