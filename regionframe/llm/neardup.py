@@ -77,12 +77,16 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+SLIDE = 64  # symbols after which the bit vector moves on
+
+
 def matched(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """The most shingles of a and b that align in order, if that is `least` or more, else less than that.
 
     An alignment that matches so many skips len(a) + len(b) - 2 * least at most, so its matches lie within that distance
-    of the diagonal. Common ends are matched first; between them the alignment runs on a bit vector over a, a symbol of b
-    at a time, with the bits outside the band masked.
+    of the diagonal. Common ends are matched first; between them the alignment takes a symbol of b at a time, on a bit
+    vector that holds the places of a within the band only and moves along with b: a zero is a match, and what the band
+    has left behind is counted and dropped. Time grows with the length times the band, memory with either.
     """
     n = min(len(a), len(b))
     if n < least:
@@ -95,17 +99,46 @@ def matched(a: np.ndarray, b: np.ndarray, least: int) -> int:
     if not len(a) or not len(b) or ends + min(len(a), len(b)) < least:
         return ends
     band = len(a) + len(b) - 2 * max(0, least - ends)
-    place: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        place[x] = place.get(x, 0) | 1 << i
-    all_bits, width = (1 << len(a)) - 1, (1 << (2 * band + 1)) - 1
-    v = all_bits
-    for j, y in enumerate(b.tolist()):
-        if m := place.get(y):
-            m &= width << (j - band) if j >= band else width >> (band - j)
+    order = np.argsort(a, kind="stable")
+    ranked = a[order]
+    lo, hi = np.searchsorted(ranked, b, "left"), np.searchsorted(ranked, b, "right")
+    many, places = max(1024, len(a) // 256), {}  # a symbol that comes so often has its places in one integer
+    width = 2 * band + 1 + SLIDE
+    every, window = (1 << width) - 1, (1 << (2 * band + 1)) - 1
+    v, base, found = every, -band, 0  # bit i stands for the place base + i of a
+    meet = np.flatnonzero(hi > lo)
+    for j, i, k in zip(meet.tolist(), lo[meet].tolist(), hi[meet].tolist(), strict=True):
+        if (by := j - band - base) >= SLIDE:
+            left = min(by, width)
+            found += left - (v & ((1 << left) - 1)).bit_count()
+            v = v >> left | every ^ every >> left
+            base += by
+        if k - i > many:
+            if i not in places:
+                places[i] = _bits(order[i:k])
+            m = (places[i] >> base if base >= 0 else places[i] << -base) & window << (j - band - base)
+        else:
+            at = order[i:k]
+            if k - i > 1:
+                at = at[np.searchsorted(at, j - band) : np.searchsorted(at, j + band + 1)]
+            m = 0
+            if len(at) <= 8:
+                for p in at.tolist():
+                    if -band <= p - j <= band:
+                        m |= 1 << (p - base)
+            else:
+                m = _bits(at - base)
+        if m:
             u = v & m
-            v = ((v + u) | (v - u)) & all_bits
-    return ends + len(a) - v.bit_count()
+            v = ((v + u) | (v - u)) & every
+    return ends + found + width - v.bit_count()
+
+
+def _bits(places: np.ndarray) -> int:
+    """An integer with these bits set; places ascend."""
+    bits = np.zeros(int(places[-1]) + 1, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, limit: float = SIMILAR) -> float:
