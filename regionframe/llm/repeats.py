@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from regionframe.llm.shared import Stages, table, text_of
 
-BLOCK, UNITS = 16, 4_000_000  # windows of a block; units that are worked on at once
+BLOCK, UNITS = 64, 4_000_000  # windows of a block; units that are worked on at once
 MEMBERS = 256  # runs of a bucket, or blocks of a group, that one task sorts
 END = 64  # units of the first digit that splits a large bucket, at either end of a block
 WORD = re.compile(r"\S+")
@@ -229,7 +229,7 @@ def _singles(window: int, unit: str):
 def numbered(high: np.ndarray, low: np.ndarray | None, most: int) -> np.ndarray:
     """One pass: the places in order of (high, low), groups of equal ones numbered in that order, -1 for groups of one."""
     key = high if low is None else high * np.int64(most) + low
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     alone = new & np.append(new[1:], True)
@@ -319,7 +319,8 @@ def in_groups(items: DataFrame, window: int, unit: str) -> DataFrame:
     """Spans (doc_id, version, first, end) of the repeated windows of items' runs without a copy; a row of items is a run
     or block of windows, and (group, block) has MEMBERS rows at most."""
     items = items.select("group", "block", "n", "doc_id", "version", "first", "windows", "content")
-    return items.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_sorted(window, unit), "doc_id long, version long, first int, end int")
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # sorting is work: small partitions stay apart
+    return items.repartition(parts, "group", "block").sortWithinPartitions("group", "block").mapInArrow(_sorted(window, unit), "doc_id long, version long, first int, end int")
 
 
 def split(stage: Stages, items: DataFrame, key: list[str], digit: Column) -> DataFrame:
@@ -408,7 +409,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(sum(e - s for s, e in runs))
             found.append(len(runs))
             kept.append(h.hexdigest())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(x, pa.int64()) for x in (sizes, removed, found)], pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(x, pa.int64()) for x in (sizes, removed, found)], pa.array(kept, pa.string()), b["n_repeated_words"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"])
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -417,9 +418,15 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def op9_repeats(spark, sf_dir: str) -> DataFrame:
     """Each document without the bytes that a 400-byte string with another start covers. A null text is empty; rows that
-    repeat a document repeat its strings; a text of any length is looked at whole; an empty table gives no row."""
+    repeat a document repeat its strings; a text of any length is looked at whole; an empty table gives no row.
+
+    Passages of 50 words are often shorter than 400 bytes: n_repeated_words counts the words that a passage of 50 words or
+    more with another start covers, as without_repeats() takes them out. No other column follows from it."""
     d = keyed(table(spark, sf_dir, "documents"))
-    return with_spans(d, repeated_spans(d)).select("d.doc_id", "d.text", "s.spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    words = repeated_spans(d, 50, 8, "word").select(*KEY, F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.first).alias("n_repeated_words"))
+    both = with_spans(d, repeated_spans(d)).select("d.*", "s.spans").alias("d").join(words.alias("w"), on_key("d", "w"), "left")
+    both = both.select("d.doc_id", "d.text", "d.spans", F.coalesce("w.n_repeated_words", F.lit(0)).alias("n_repeated_words"))
+    return both.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,11 +38,18 @@ def corpus(seed):
     return [(i if i != 7 else 6, t, "x", 1, 2) for i, t in enumerate(texts)]
 
 
+def digest(joined):
+    from pyspark.sql import functions as F
+
+    found = joined.select("d.doc_id", "d.text", "s.spans", F.lit(0).cast("long").alias("n_repeated_words"))
+    return found.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long").drop("n_repeated_words")
+
+
 def test_bytes_against_brute_force(spark):
     for seed, window, gram in ((1, 60, 8), (2, 33, 5), (3, 120, 32)):
         rows = corpus(seed)
         d = keyed(spark.createDataFrame(rows, SCHEMA).repartition(5))
-        got = with_spans(d, repeated_spans(d, window, gram)).select("d.doc_id", "d.text", "s.spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+        got = with_spans(d, repeated_spans(d, window, gram)).transform(digest).collect()
         data = [(t or "").encode() for _, t, *_ in rows]
         want = []
         for (k, *_), t, c in zip(rows, data, brute(data, window), strict=True):
@@ -90,8 +97,13 @@ def test_query_at_400_bytes(spark, tmp_path):
     rows += [(10 + i, "".join(r.choice("abc é") for _ in range(r.randint(0, 900))) + line[r.randint(0, 60) : r.randint(410, 500)] + str(i) * 30) for i in range(30)]
     rows += [(50, "ruled line\n" * 100), (51, "ruled line\n" * 60 + "end"), (51, "ruled line\n" * 60 + "end")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.append((60, " ".join(map(str, range(49))) + " end"))
+    rows += [(61, "x " + " ".join(map(str, range(60)))), (62, " ".join(map(str, range(5, 61))) + " y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     got = repeats.op9_repeats(spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got), key=str) == want_of(rows, 400) and sum(x.n_removed for x in got) > 10_000
+    assert {r.doc_id: r.n_repeated_words for r in got if r.doc_id in (0, 1, 2, 60, 61, 62, 50)} == {1: 0, 2: 0, 60: 0, 61: 55, 62: 55, 50: 200}
+    got = [tuple(r)[:5] for r in got]
+    assert sorted(got, key=str) == want_of(rows, 400) and sum(x[2] for x in got) > 10_000
 
 
 def test_large_buckets_are_split(spark, monkeypatch):
@@ -103,7 +115,7 @@ def test_large_buckets_are_split(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts)]
     for window, gram in ((105, 16), (60, 8)):
         d = keyed(spark.createDataFrame(rows, "doc_id long, text string"))
-        got = with_spans(d, repeated_spans(d, window, gram)).select("d.doc_id", "d.text", "s.spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+        got = with_spans(d, repeated_spans(d, window, gram)).transform(digest).collect()
         assert sorted(map(tuple, got), key=str) == want_of(rows, window)
 
 
