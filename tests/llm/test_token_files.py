@@ -71,16 +71,57 @@ def test_bit_packing_round_trip(width):
     f = bitpack.IdFile(bitpack.file_bytes([5, None], [4000, 6000], ids, width))
     assert (f.range(0, f.ids) == ids).all() and (f.range(4090, 20) == ids[4090:4110]).all() and len(f.range(3, 0)) == 0
     assert f.lengths.tolist() == [4000, 6000] and f.known.tolist() == [True, False]
+    little = ids.astype("<u4")
+    assert f.crcs(at_once=999) == [zlib.crc32(little[:4000].tobytes()), zlib.crc32(little[4000:].tobytes())]
+
+
+def test_ids_beyond_the_width_are_an_error():
+    with pytest.raises(ValueError):
+        bitpack.packed(np.array([70_000], np.uint32), 16)
+    assert bitpack.width_for(bitpack.vocabulary_size(vocabulary("byte_bpe_50k.json"))) == 16
+
+
+def test_blocks_are_read_by_offset_from_the_file(spark):
+    """Only the header and the asked blocks of a file in the shared folder are read."""
+    df = spark.createDataFrame([(1, "alpha beta " * 40_000)], "doc_id long, text string")
+    files, folder = bitpack.write_files(df)
+    store, at = bitpack.opened(folder)
+    (row,) = files.collect()
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def seek(self, p):
+            self.f.seek(p)
+
+        def read(self, n):
+            self.n += n
+            return self.f.read(n)
+
+    with store.open_input_file(f"{at}/{row['name']}") as f:
+        source = Counting(f)
+        got = bitpack.IdFile(source).range(50_000, 10)
+    whole = encoder(vocabulary("byte_bpe_50k.json")).encode("alpha beta " * 40_000)
+    assert (got == np.frombuffer(whole, "<u4")[50_000:50_010]).all() and source.n < 12_000 < len(whole) // 10
 
 
 def test_files(spark):
     d, t = rows(), Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     df = spark.createDataFrame(d, SCHEMA).repartition(4)
-    got = sorted(bitpack.read_files(bitpack.write_files(df)).collect(), key=lambda r: r.start)
-    at = 0
-    for (k, x, *_), r in zip(sorted(d, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), got, strict=True):
+    got = sorted(bitpack.read_files(*bitpack.write_files(df)).collect(), key=lambda r: r.start)
+    at, want = 0, []
+    for k, x, *_ in d:
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+        want.append((k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    same = bitpack.read_files(*bitpack.write_files(spark.createDataFrame([(7, "one"), (7, "one"), (7, "two x"), (None, None)], "doc_id long, text string"))).collect()
+    assert sorted(r.n_tokens for r in same) == [1, 2, 2, 3] and sum(r.n_tokens for r in same) == max(r.start + r.n_tokens for r in same)
+    assert [r.doc_id for r in sorted(same, key=lambda r: r.start)] == [None, 7, 7, 7]
     empty = spark.createDataFrame([], SCHEMA)
-    assert bitpack.read_files(bitpack.write_files(empty)).count() == 0 and packing.pack(empty).count() == 0
+    assert bitpack.read_files(*bitpack.write_files(empty)).count() == 0 and packing.pack(empty).count() == 0
