@@ -2,7 +2,9 @@
 
 Targets: every source has a share of the whole by its weight, never above three times its size; what is cut off is
 shared again by weight. Each source takes whole epochs, then fits the rest of its budget: documents are counted by exact
-length, a bounded knapsack over those counts says how many of each length to take, and a seeded hash says which.
+length, a bounded knapsack over those counts says how many of each length to take, and a seeded hash says which. Most of a
+budget is dealt in proportion, so that the knapsack has RESERVE words to fit; where that leaves the sum further from the
+budget than it has to be, the knapsack gets twice as much, and so on up to the whole budget.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionframe.llm.shared import staged, table
+from regionframe.llm.shared import Stages, table
 
 WEIGHTS, MOST = (5, 2, 1), 3
-CAPACITY = 1 << 16  # words that the dynamic program fits; the budget above it is dealt out in proportion first
+RESERVE = 1 << 16  # words that the dynamic program fits at first
 
 
 def size_of(text: Column) -> Column:
@@ -44,34 +46,49 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length (ascending, distinct, positive) to take so that their total comes close to the
-    budget: in proportion and by largest first down to CAPACITY words, then as close as can be by bounded knapsack."""
+    """How many documents of each length (ascending, distinct, positive) to take so that their total is as close to the
+    budget as any choice. Totals are multiples of the lengths' common divisor, so a total next to the budget among those
+    is the closest; otherwise the knapsack over all of the budget decides. Of two totals as close the lower one is taken."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    left = budget - int((take * lengths).sum())
+    divisor, reserve = int(np.gcd.reduce(lengths)), RESERVE
+    nearest = min(budget % divisor, -budget % divisor)
+    while True:
+        take = np.zeros(len(lengths), np.int64)
+        left = budget
+        if reserve < budget:
+            take = np.array([int(c) * (budget - reserve) // total for c in counts.tolist()], np.int64)
+            left -= int((take * lengths).sum())
+            for i in range(len(lengths) - 1, -1, -1):
+                if left <= reserve:
+                    break
+                n = min(int(counts[i] - take[i]), (left - reserve) // int(lengths[i]))
+                take[i] += n
+                left -= n * int(lengths[i])
+        take += knapsack(lengths, counts - take, left)
+        if reserve >= budget or abs(int((take * lengths).sum()) - budget) == nearest:
+            return take
+        reserve *= 2
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The bounded knapsack: counts of each length whose total is closest to the budget. Bit b of `reach` says that b words
+    can be made; a count is dealt in powers of two, so that few shifts make all its sums. Sums above the budget count too, up
+    to twice of it."""
+    take, reach, every, steps = np.zeros(len(lengths), np.int64), 1, (1 << (2 * budget + 1)) - 1, []
     for i in range(len(lengths) - 1, -1, -1):
-        if left <= CAPACITY:
-            break
-        n = min(int(counts[i] - take[i]), (left - CAPACITY) // int(lengths[i]) + 1, left // int(lengths[i]))
-        take[i] += n
-        left -= n * int(lengths[i])
-    # reach: bit b says that b words can be made. A count is dealt in powers of two, so that few shifts make all its sums.
-    # Sums above the budget count too, up to twice of it: the nearest one is taken.
-    reach, every, steps = 1, (1 << (2 * left + 1)) - 1, []
-    for i in range(len(lengths) - 1, -1, -1):
-        n, part = min(int(counts[i] - take[i]), 2 * left // int(lengths[i])), 1
+        n, part = min(int(counts[i]), 2 * budget // int(lengths[i])), 1
         while n > 0:
             part = min(part, n)
             steps.append((i, part, reach))
             reach |= reach << part * int(lengths[i]) & every
             n, part = n - part, part * 2
-        if reach >> left & 1:
+        if reach >> budget & 1:
             break
-    below, above = (reach & (1 << (left + 1)) - 1).bit_length() - 1, reach >> left
+    below, above = (reach & (1 << (budget + 1)) - 1).bit_length() - 1, reach >> budget
     over = (above & -above).bit_length() - 1
-    at = left + over if above and over < left - below else below
+    at = budget + over if above and over < budget - below else below
     for i, part, was in reversed(steps):
         if not was >> at & 1:
             take[i] += part
@@ -89,45 +106,79 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(epochs=epochs, more=more)[["source", "size", "source_size", "target", "epochs", "more"]]
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs): each document's words and how often the mix takes it (0 to 3).
-
-    Needs doc_id, text and source; other columns are left out. A null text has size 0, a null source is a source of its
-    own and comes last. Documents without words are taken in their source's whole epochs only. Repeated rows are
-    documents each. An empty table gives no row. The result depends on the rows and the seed alone.
-    """
-    d = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    d = staged(d.withColumn("draw", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sizes")
-    lengths = staged(d.groupBy("source", "size").agg(F.count("*").alias("docs")), "lengths")
+def lots(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, version, source, size, source_size, target, rows, epochs, more): for each different document of the table, which
+    `rows` of it hold, that each row is taken `epochs` times and `more` of its rows once again. version tells apart rows of one
+    doc_id that differ in any column."""
+    stage = Stages(docs.sparkSession, "mixing")
+    d = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _version(docs))
+    d = stage(d.groupBy("doc_id", "version", "source", "size").agg(F.count("*").alias("rows")).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "version")), "documents")
+    lengths = stage(d.groupBy("source", "size").agg(F.sum("rows").alias("docs"), F.count("*").alias("different")), "lengths")
     per_source = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).cast("long").alias("source_size")))
     plan = (
         lengths.alias("l").join(per_source.alias("s"), F.col("l.source").eqNullSafe(F.col("s.source")))
         .select("l.source", "size", "docs", "source_size", "target", F.col("l.source").isNull().alias("none"))
         .groupBy("source", "none").applyInPandas(_plan, "source string, size long, source_size long, target double, epochs int, more long")
     )
-    # Which ones: the `more` smallest draws of each (source, length). A length that very many documents share is ranked
-    # in slices of the draw: whole slices by their counts, and within a slice its own documents only.
-    slices = max(64, math.isqrt(max(1, d.count() // 4)))
-    d = d.withColumn("slice", F.pmod(F.shiftrightunsigned("draw", 8), F.lit(slices)))
+    # Which ones: the `more` rows of the smallest draws of each (source, length). A length that very many documents share is
+    # ranked in slices, ranges of the draw: whole slices by their counts, and within a slice its own documents only. The
+    # order is the draw's, however many slices there are.
+    most = lengths.agg(F.max("different")).first()[0] or 0
+    bits = max(6, (math.isqrt(most) // 2).bit_length())
+    d = d.withColumn("slice", F.shiftright("draw", 64 - bits))
     keys = ["source", "size"]
-    counted = d.groupBy(*keys, "slice").agg(F.count("*").alias("n"))
+    counted = d.groupBy(*keys, "slice").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     same = lambda a, b, *on: [F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")), *[F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in on]]
-    due = counted.alias("c").join(plan.alias("p"), same("c", "p", "size")).select("c.source", "c.size", "slice", "before", "source_size", "target", "epochs", "more")
-    ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "slice").orderBy("draw", "doc_id")))
-    return ranked.alias("d").join(due.alias("u"), same("d", "u", "size", "slice")).select("d.doc_id", "d.source", "d.size", "source_size", "target", (F.col("epochs") + (F.col("before") + F.col("rank") <= F.col("more")).cast("int")).alias("epochs"))
+    due = counted.alias("c").join(plan.alias("p"), same("c", "p", "size")).select("c.source", "c.size", "slice", "before", "source_size", "target", "epochs", F.col("more").alias("in_length"))
+    own = Window.partitionBy(*keys, "slice").orderBy("draw", "doc_id", "version").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = d.withColumn("rank", F.coalesce(F.sum("rows").over(own), F.lit(0)))
+    left = F.col("in_length") - F.col("before") - F.col("rank")
+    joined = ranked.alias("d").join(due.alias("u"), same("d", "u", "size", "slice"))
+    return joined.select("d.doc_id", "d.version", "d.source", "d.size", "source_size", "target", "rows", "epochs", F.least("rows", F.greatest(left, F.lit(0))).cast("long").alias("more"))
+
+
+def _version(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"`{c}`").isNull() for c in docs.columns]).alias("version")
+
+
+def repeated(df: DataFrame, times: Column, number: str, at_once: int = 10_000) -> DataFrame:
+    """Each row `times` times, with its number from 0 on; a row that comes very often is dealt out to many tasks."""
+    d = df.withColumn("times", times)
+    few = d.where(F.col("times").between(1, at_once)).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    parts = d.where(F.col("times") > at_once).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / at_once))))
+    parts = parts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    last = F.least((F.col("part") + 1) * at_once, F.col("times")) - 1
+    many = parts.withColumn(number, F.explode(F.sequence(F.col("part") * at_once, last))).drop("part")
+    return few.unionByName(many).drop("times")
+
+
+def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs): each document's words and how often the mix takes it (0 to 3).
+
+    Needs doc_id, text and source. A null text has size 0, a null source is a source of its own and comes last. Documents
+    without words are taken in their source's whole epochs only. Repeated rows are documents each, and which of them are
+    taken does not matter; a text of any length is one document. An empty table gives no row. The result depends on the rows
+    and the seed alone.
+    """
+    each = repeated(lots(docs, seed), F.col("rows"), "nth")
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") + (F.col("nth") < F.col("more")).cast("int")).alias("epochs"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    m = mix(table(spark, sf_dir, "documents"))
+    """Each document's size, its source's size and target, and the words of it that the mix takes; see mix()."""
+    m = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents of the mix, with their columns; one taken several times is there so often. doc_id names a document;
-    rows that repeat one share its lot."""
-    times = mix(docs, seed).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("epochs").alias("times")).where("times > 0")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
-    d = d.join(times, F.col("own_id").eqNullSafe(F.col("taken_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return d.select("row.*")
+    """The documents of the mix, with their columns; one taken several times is there so often. Cases as in mix()."""
+    chosen = lots(docs, seed).select(F.col("doc_id").alias("taken_id"), F.col("version").alias("taken_version"), (F.col("rows") * F.col("epochs") + F.col("more")).alias("copies"))
+    # a document's rows are alike: one of them stands for all
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("row"), F.col("doc_id").alias("own_id"), _version(docs).alias("own_version"))
+    if d.groupBy("own_id", "own_version").agg(F.count("*").alias("n")).where("n > 1").head(1):
+        d = d.groupBy("own_id", "own_version").agg(F.first("row").alias("row"))
+    d = d.join(chosen.where("copies > 0"), F.col("own_id").eqNullSafe(F.col("taken_id")) & (F.col("own_version") == F.col("taken_version"))).select("row", "copies")
+    return repeated(d, F.col("copies"), "nth").select("row.*")

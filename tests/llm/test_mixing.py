@@ -1,7 +1,10 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from regionframe.llm import mixing
 from regionframe.llm.mixing import fit, mix, mixed_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, times string"
@@ -52,7 +55,10 @@ def test_reruns_agree(spark):
     assert sorted(map(tuple, mix(d).collect())) == sorted(map(tuple, mix(d.repartition(5)).collect()))
 
 
-def test_fit_is_closest():
+@pytest.mark.parametrize("reserve", [1, 8, 1 << 16])
+def test_fit_is_closest(monkeypatch, reserve):
+    """However much of the budget is dealt in proportion first."""
+    monkeypatch.setattr(mixing, "RESERVE", reserve)
     r = random.Random(3)
     for _ in range(60):
         lengths = np.array(sorted(r.sample(range(1, 40), r.randint(1, 6))), np.int64)
@@ -63,11 +69,17 @@ def test_fit_is_closest():
         sums = {0}
         for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
             sums = {s + n * k for s in sums for k in range(c + 1)}
-        part = [c * budget // int((lengths * counts).sum()) for c in counts.tolist()]
-        if not any(part):  # nothing dealt in proportion: the knapsack alone decides
-            assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+        assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_of_large_budgets():
     big = np.arange(1, 3000, dtype=np.int64)
-    assert int((fit(big, np.full(len(big), 50), 100_000_003) * big).sum()) == 100_000_003
+    for budget in (65_535, 65_536, 65_537, 100_000_003):
+        assert int((fit(big, np.full(len(big), 50), budget) * big).sum()) == budget
+    even = np.array([2, 40, 90_000])
+    assert int((fit(even, np.array([9, 9, 9]), 450_005) * even).sum()) in (450_004, 450_006)
+    assert fit(np.array([100_000]), np.array([9]), 449_999).tolist() == [4]
+    assert fit(np.array([70_000, 100_003]), np.array([2, 2]), 240_000).tolist() == [2, 1]
 
 
 def test_empty_and_repeated(spark):
@@ -75,3 +87,30 @@ def test_empty_and_repeated(spark):
     d = spark.createDataFrame([(1, "a b c", "en", "s", 5, 0, ""), (1, "a b c", "en", "s", 5, 0, ""), (None, None, None, None, None, None, None)], SCHEMA)
     assert sorted((r.size, r.epochs) for r in mix(d).collect() if r.doc_id) == [(3, 1), (3, 1)]
     assert mixed_documents(d).columns == d.columns
+
+
+def test_repeated_rows_each_have_their_lot(spark, monkeypatch):
+    """Ten rows of one document, rows of one doc_id with other texts, null ids: the mix takes what the targets say."""
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(1, text(7), "en", "a", 5, 0, "")] * 10 + [(1, text(n), "en", "a", 5, 0, "") for n in range(1, 12)] + [(None, text(n), "en", "b", 5, 0, "") for n in range(1, 9)] + [(None, text(4), "en", "b", 5, 0, "")] * 30
+    rows += [(i, text(1 + i % 5), "en", "c", 5, 0, "") for i in range(2, 90)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = mix(d).collect()
+    assert sorted((r.doc_id or 0, r.source, r.size) for r in got) == sorted((r[0] or 0, r[3], len(r[1].split())) for r in rows)
+    for s in "abc":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.epochs * r.size for r in mine) - mine[0].target) <= 1 and {r.epochs for r in mine} <= {0, 1, 2, 3}
+        assert max(r.epochs for r in mine) - min(r.epochs for r in mine) <= 1
+    taken = mixed_documents(d).collect()
+    for s in "abc":
+        assert sum(len(r.text.split()) for r in taken if r.source == s) == sum(r.epochs * r.size for r in got if r.source == s)
+    again = spark.range(3).select("id", F.lit(25_000).cast("long").alias("n"))
+    whole = mixing.repeated(again, F.col("n") + F.col("id"), "nth")
+    assert sorted((r.id, r.n) for r in whole.groupBy("id").agg(F.countDistinct("nth").alias("n")).collect()) == [(0, 25_000), (1, 25_001), (2, 25_002)]
+
+
+def test_the_choice_does_not_depend_on_the_number_of_slices(spark, monkeypatch):
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source"))
+    few = {r.doc_id for r in mix(d).collect() if r.epochs}
+    monkeypatch.setattr(mixing.math, "isqrt", lambda n: 1 << 12)
+    assert few == {r.doc_id for r in mix(d).collect() if r.epochs}
