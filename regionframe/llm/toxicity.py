@@ -2,7 +2,8 @@
 
 A sentence's probability is logistic in its words and their beginnings; a document is toxic if one sentence at least is.
 The weights are fitted to the documents' labels through that combination, so that they say which sentences offend. The
-features that may have a weight are chosen by how much more documents of one label hold them than the others do.
+features that may have a weight are chosen by how much more documents of one label hold them than the others do. Features
+are counted, and sentences cut down to the chosen ones, by all tasks; only those short lists meet in the task that fits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionframe.llm.shared import table, text_of
+from regionframe.llm.shared import Stages, table, text_of
 
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 MOST_WORDS = 300_000  # that a worker remembers
@@ -57,65 +58,68 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + sum(self.heavy[w] for w in sorted(words))))))
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The noisy-or of the text's sentences, and those with a probability of one half or more: (start, length, p)."""
-        n, clean, found, hit = 0, 0.0, [], False
+        """The noisy-or of the text's sentences, and those with a probability of one half or more: (start, length, p). A
+        sentence without a weight does not offend, however many there are; a text of such alone has the bias's score."""
+        clean, found, hit = 0.0, [], False
         words_of = WORD.findall
         for m in SENTENCE.finditer(text.lower()):
-            if not (words := words_of(m[0])):
-                continue
-            if here := self.known(set(words)):
+            if (words := words_of(m[0])) and (here := self.known(set(words))):
                 p, hit = self.sentence(here), True
                 clean += math.log1p(-min(p, 1 - 1e-12))
                 if p >= 0.5:
                     found.append((m.start(), m.end() - m.start(), p))
-            else:
-                n += 1
-        n = max(n, not hit)  # a text without a sentence counts as an empty one
-        return min(1.0, max(0.0, -math.expm1(clean + n * math.log1p(-min(self.sentence(set()), 1 - 1e-12))))), found
+        return min(1.0, max(0.0, -math.expm1(clean))) if hit else self.sentence(set()), found
+
+
+MOST_FEATURES, LEAST_DOCS = 2048, 3
+
+Sentences = dict[tuple[str, ...], int]  # features of a sentence, how many sentences of the document have them
+
+
+def sentences(text: str) -> Sentences:
+    """A document as the bags of its sentences' features. A text without a sentence is one empty one."""
+    bags = Counter()
+    for s in SENTENCE.findall(text.lower()):
+        if words := set(WORD.findall(s)):
+            bags[tuple(sorted(f for w in words for f in features(w)))] += 1
+    return bags or Counter({(): 1})
 
 
-def fit(texts: list[str], toxic: np.ndarray, most_features: int = 2048, least_docs: int = 3, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
-    """A model of bounded size. Without both labels it gives every document their common one."""
+def cut_down(bags: Sentences, chosen: set[str]) -> Sentences:
+    out = Counter()
+    for s, n in bags.items():
+        out[tuple(f for f in s if f in chosen)] += n
+    return out
+
+
+def gradient(theta: np.ndarray, y: np.ndarray, weight: np.ndarray, doc: np.ndarray, times: np.ndarray, sent: np.ndarray, word: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted log loss of documents under the noisy-or of their sentences, and its gradient. Sentence i is `times[i]`
+    sentences of document doc[i]; theta ends with the bias; pairs (sent, word) say which features a sentence has."""
+    p = 1 / (1 + np.exp(-(np.bincount(sent, theta[word], minlength=len(doc)) + theta[-1])))
+    clean = np.bincount(doc, times * np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))  # log of: no sentence offends
+    some = np.maximum(-np.expm1(clean), 1e-12)
+    pull = weight * np.where(y == 1, -np.exp(clean) / some, 1.0)  # by a sentence's score: pull * its probability
+    g_sent = pull[doc] * p * times
+    g = np.append(np.bincount(word, g_sent[sent], minlength=len(theta) - 1), g_sent.sum())
+    return float((weight * np.where(y == 1, -np.log(some), -clean)).sum()), g
+
+
+def fit(docs: list[Sentences], toxic: np.ndarray, chosen: list[str], steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> Model:
+    """A model of the chosen features. Without both labels it gives every document their common one."""
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     if not n0 or not n1:
         return Model(bias=12.0 if n1 else -12.0)
-    split = [[WORD.findall(s) for s in SENTENCE.findall(t.lower())] for t in texts]
-    split = [[Counter(f for w in set(s) for f in features(w)) for s in d if s] or [Counter()] for d in split]
-    has = (Counter(), Counter())
-    for d, y in zip(split, toxic.tolist(), strict=True):
-        has[y].update(set().union(*d))
-
-    def z(w: str) -> float:
-        a, b = has[1][w] + 0.5, has[0][w] + 0.5
-        return (np.log(a / (n1 + 1 - a + 0.5)) - np.log(b / (n0 + 1 - b + 0.5))) / np.sqrt(1 / a + 1 / b)
-
-    chosen = sorted((w for w in has[1].keys() | has[0].keys() if has[1][w] + has[0][w] >= least_docs), key=lambda w: (-abs(z(w)), w))
-    chosen = [w for w in chosen[:most_features] if abs(z(w)) > 3]
     place = {w: i for i, w in enumerate(chosen)}
-    # The sentences with a chosen feature, and how many others each document has
-    doc, sent, word, plain, at = [], [], [], np.zeros(len(split)), 0
-    for i, d in enumerate(split):
-        for s in d:
-            if here := sorted(place[w] for w in s if w in place for _ in range(s[w])):
-                doc.append(i)
-                sent += [at] * len(here)
-                word += here
-                at += 1
-            else:
-                plain[i] += 1
-    doc, sent, word, y = np.array(doc, int), np.array(sent, int), np.array(word, int), toxic.astype(float)
-    theta, first, second = np.zeros(len(chosen) + 1), 0.0, 0.0
+    rows = [(i, n, s) for i, d in enumerate(docs) for s, n in sorted(d.items()) if s]
+    doc, times = np.array([i for i, *_ in rows], int), np.array([n for _, n, _ in rows], float)
+    sent = np.repeat(np.arange(len(rows)), [len(s) for *_, s in rows])
+    word = np.array([place[f] for *_, s in rows for f in s], int)
+    y, theta, first, second = toxic.astype(float), np.zeros(len(chosen) + 1), 0.0, 0.0
     theta[-1] = -5.0
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * 0.7 + 0.3 / len(y)  # the rarer label counts for more
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(np.bincount(sent, theta[word], minlength=at) + theta[-1])))
-        p0 = 1 / (1 + np.exp(-theta[-1]))
-        clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + plain * np.log1p(-p0)
-        some = np.maximum(-np.expm1(clean), 1e-12)
-        pull = weight * np.where(y == 1, -np.exp(clean) / some, 1.0)  # by a sentence's score: pull * its probability
-        g_sent = pull[doc] * p
-        g = np.append(np.bincount(word, g_sent[sent], minlength=len(chosen)), g_sent.sum() + (pull * plain * p0).sum())
+        g = gradient(theta, y, weight, doc, times, sent, word)[1]
         g[:-1] += decay * theta[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -127,21 +131,69 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((t, y) for b in batches for t, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True))
-    if rows:
-        m = fit([t for t, _ in rows], np.array([y for _, y in rows]))
-        yield pa.RecordBatch.from_arrays([pa.array([*m.weights, None], pa.string()), pa.array([*m.weights.values(), m.bias], pa.float64())], names=["word", "weight"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each feature of each text once, counted over the batch: (feature, docs, toxic)."""
+    for b in batches:
+        docs, toxic = Counter(), Counter()
+        for t, y in zip(b["text"], b["toxic"].to_pylist(), strict=True):
+            here = {f for s in sentences(t.as_py()) for f in s}
+            docs.update(here)
+            if y:
+                toxic.update(here)
+        if docs:
+            yield pa.record_batch([pa.array(list(docs)), pa.array(list(docs.values()), pa.int64()), pa.array([toxic[f] for f in docs], pa.int64())], names=["feature", "docs", "toxic"])
+
+
+BAG = "toxic int, times array<int>, sentences array<array<string>>"
+
+
+def _bags(chosen: list[str]):
+    some = set(chosen)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.list_(pa.string()))]
+        for b in batches:
+            got = [sorted(cut_down(sentences(t.as_py()), some).items()) for t in b["text"]]
+            yield pa.record_batch([b["toxic"], pa.array([[n for _, n in d] for d in got], kinds[0]), pa.array([[s for s, _ in d] for d in got], kinds[1])], names=["toxic", "times", "sentences"])
+
+    return bags
+
+
+def _fit_all(chosen: list[str]):
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((list(zip(map(tuple, r["sentences"]), r["times"], strict=True)), r["toxic"]) for b in batches for r in b.to_pylist())
+        if rows:
+            m = fit([dict(d) for d, _ in rows], np.array([y for _, y in rows]), chosen)
+            yield pa.RecordBatch.from_arrays([pa.array([*m.weights, None], pa.string()), pa.array([*m.weights.values(), m.bias], pa.float64())], names=["word", "weight"])
+
+    return fit_all
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, seed: int = 7) -> Model:
     """Fits a model on at most max_docs labelled documents that are not held out, drawn by a hash of their id; of several
-    labels of a document the highest counts, null ones do not. The sample has max_docs rows at most, so it is broadcast
-    to find its texts, and one task fits; max_docs bounds the model too. Without labels no document is toxic."""
+    labels of a document the highest counts, null ones do not.
+
+    The drawn ids are max_docs at most, so they are broadcast to find their texts. Rows that repeat a document count once:
+    of its different texts the one of the least hash. A null text is an empty one, a text of any length is read whole, by the
+    task that has it. One task fits, on the sentences' chosen features alone (MOST_FEATURES at most, equal sentences of a
+    document together). Without labels, or on an empty table, no document is toxic."""
+    stage = Stages(docs.sparkSession, "toxicity")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("labelled_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     drawn = known.orderBy(F.xxhash64(F.lit(seed), "labelled_id"), "labelled_id").limit(max_docs)
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
-    rows = texts.repartition(1).mapInArrow(_fit_all, "word string, weight double").collect()  # one row a weight, 2,049 at most
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # reading them is work: small partitions stay apart
+    texts = texts.groupBy("labelled_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = stage(texts.repartition(parts, "labelled_id").select("text", "toxic"), "sample")
+    both = texts.agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).first()
+    n1, n0 = float(both.n1 or 0), float(both.n - (both.n1 or 0))
+    counted = texts.mapInArrow(_counted, "feature string, docs long, toxic long").groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")).where(F.col("docs") >= LEAST_DOCS)
+    a, b = F.col("toxic") + 0.5, F.col("docs") - F.col("toxic") + 0.5
+    z = (F.log(a / (n1 + 1.5 - a)) - F.log(b / (n0 + 1.5 - b))) / F.sqrt(1 / a + 1 / b)
+    best = counted.withColumn("z", F.abs(F.round(z, 9))).where("z > 3").orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
+    chosen = [r.feature for r in best.select("feature").collect()]  # MOST_FEATURES at most
+    bags = texts.mapInArrow(_bags(chosen), BAG)
+    rows = bags.repartition(1).mapInArrow(_fit_all(chosen), "word string, weight double").collect()  # one row a weight
+    stage.drop("sample")
     m = Model(bias=-12.0)
     for r in rows:
         if r.word is None:
@@ -164,12 +216,14 @@ def _score(model: Model):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows as `row`, with score (0 to 1) and offending, the sentences that offend as (start, length, p) in
-    characters of the lower-case text. A null or empty text is one empty sentence."""
+    characters of the lower-case text. A null or empty text is one empty sentence; a text of any length is read whole;
+    repeated rows are scored each; an empty table gives no row."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of().alias("text"))
     return d.mapInArrow(_score(model), f"row {d.schema['row'].dataType.simpleString()}, score double, offending array<struct<start:int,length:int,p:double>>")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document's score by the model that its labelled, not held-out ones give; cases as in trained() and scored()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = trained(docs, table(spark, sf_dir, "labels"))
     d = docs.select("doc_id", "text")

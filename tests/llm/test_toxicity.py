@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from regionframe.llm import toxicity
 from regionframe.llm.toxicity import Model, clean_documents, fit, held_out, scored, trained
 
 SCHEMA = "doc_id long, text string, lang string, score string, toxic string"
@@ -44,7 +45,46 @@ def test_odd_training_sets(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score < 0.01 for r in scored(d, trained(d, none)).collect()] == [True, True]
     assert scored(d.limit(0), Model()).count() == 0
-    assert fit(["a"], np.array([1])).document("x")[0] > 0.99 and fit(["a"], np.array([0])).document("x")[0] < 0.01
+    assert fit([{(): 1}], np.array([1]), []).document("x")[0] > 0.99 and fit([{(): 1}], np.array([0]), []).document("x")[0] < 0.01
+
+
+def test_repeated_rows_and_very_long_texts_do_not_change_the_model(spark):
+    docs, labels = corpus(200, 4)
+    long = "mild words here. " * 60_000
+    docs.append((5000, long, None, None, None))
+    one = trained(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([*labels, (5000, 0)], "doc_id long, toxic int"))
+    many = trained(spark.createDataFrame([*docs, *docs[:50] * 20, docs[-1]], SCHEMA).repartition(7), spark.createDataFrame([*labels, (5000, 0), *labels[:9]], "doc_id long, toxic int"))
+    assert one.weights == many.weights and one.bias == many.bias and one.weights
+    assert one.document(long)[0] < 0.7 < one.document(long + "Rogue.")[0] and one.document(long + "Rogue.")[1][0][0] == len(long) - 1
+
+
+def test_noisy_or_and_its_gradient():
+    """The loss against products over sentences, the gradient against differences, the score against the product."""
+    r = np.random.default_rng(3)
+    docs = [toxicity.cut_down(toxicity.sentences(t), {"aa", "bb", "cc"}) for t in ("aa bb. cc. xx. yy", "bb. bb. aa cc!", "", "cc aa. zz")]
+    y, weight, theta = np.array([1.0, 0, 0, 1]), np.array([0.4, 0.1, 0.2, 0.3]), r.normal(0, 1, 4)
+    rows = [(i, n, s) for i, d in enumerate(docs) for s, n in sorted(d.items()) if s]
+    place = {"aa": 0, "bb": 1, "cc": 2}
+    args = [y, weight, np.array([i for i, *_ in rows]), np.array([n for _, n, _ in rows], float), np.repeat(np.arange(len(rows)), [len(s) for *_, s in rows]), np.array([place[f] for *_, s in rows for f in s])]
+
+    def loss(theta):
+        total = 0
+        for d, t, w in zip(docs, y, weight, strict=True):
+            clean = 1.0
+            for s, n in d.items():
+                clean *= (1 - (1 / (1 + np.exp(-(theta[-1] + sum(theta[place[f]] for f in s)))) if s else 0)) ** n
+            total -= w * np.log(max(1e-12, 1 - clean) if t else clean)
+        return total
+
+    got, g = toxicity.gradient(theta, *args)
+    assert np.isclose(got, loss(theta))
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-6
+        assert np.isclose(g[i], (loss(theta + step) - loss(theta - step)) / 2e-6, rtol=1e-4)
+    m = Model(-1.0, {"aa": 2.0, "bb": -0.5})
+    p = lambda x: 1 / (1 + np.exp(-x))
+    assert np.isclose(m.document("Aa bb. aa! zz")[0], 1 - (1 - p(0.5)) * (1 - p(1.0)))
+    assert np.isclose(m.document("zz. yy. xx")[0], p(-1.0)) and np.isclose(m.document("")[0], p(-1.0))
 
 
 def test_held_out(spark):
