@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import safe_div
 from regionframe.jobs.voxelwise import VOXEL_T2_SQL, voxel_t2
-
+from regionframe.sources.cut import cut
 from regionframe.sources.masks import MASKS_SQL, grid, mask_box, mask_pos
 
 QUERIES, ORACLES = {}, {}
@@ -52,11 +52,15 @@ ORACLES["dice"] = f"with {_FLAGS_SQL} select round(2 * count_if(t and e) / (coun
 
 def auc(spark, sf_dir):
     """Area under the curve of the voxels' t² for the target, by ranks with ties averaged; below one half it is folded. The
-    ranks run over distinct values and their counts."""
+    ranks run over distinct values and their counts, in ranges of the value: whole ranges before count as one."""
     v = voxel_t2(spark, sf_dir).select(*IJK, "t2").join(mask_box(spark, sf_dir).withColumn("t", F.lit(1)), IJK, "left")
     c = v.groupBy("t2").agg(F.count("*").alias("n"), F.count("t").alias("n1"))
-    before = Window.orderBy("t2").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    c = cut(c.repartitionByRange(parts, "t2").withColumn("part", F.spark_partition_id()))
+    first = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = c.groupBy("part").agg(F.sum("n").alias("all")).select("part", F.coalesce(F.sum("all").over(first), F.lit(0)).alias("start"))
+    before = Window.partitionBy("part").orderBy("t2").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0))).join(starts, "part").withColumn("rank", F.col("start") + F.col("below") + (F.col("n") + 1) / 2)
     s = c.agg(F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     a = safe_div(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * (F.col("n") - F.col("n1")))
     return s.select(F.round(F.greatest(a, 1 - a), 8).alias("auc"))

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import t2_one
 from regionframe.jobs.voxelwise import group_moments1
-from regionframe.operators.permute import labelled
+from regionframe.operators.permute import by_digest, by_number, labelled, ranked
 from regionframe.sources.cube import CUBE1_SQL, cube1
+from regionframe.sources.cut import cut
 from regionframe.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
 SEEDS, ALPHA = 20, 0.05
 
 
+def alpha_allowed(alpha: float, seeds: int) -> None:
+    """No p is below one over the permutations and one more, so no test can have a smaller error rate."""
+    if alpha < 1 / (seeds + 1):
+        raise ValueError(f"an error rate of {alpha} needs {round(1 / alpha) - 1} permutations or more, not {seeds}")
+
+
 def _split(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sbj"), (F.col("label") >= 5).cast("int").alias("grp"))
 
@@ -46,9 +52,7 @@ ORACLES["perm_split"] = f"with {PERM_SQL} select sbj, perm, grp from perm_labels
 def perm_matrix_sums(spark, sf_dir):
     """Row and column sums of each seed's permutation matrix (from, to): all one."""
     s = _split(spark, sf_dir).select("sbj").crossJoin(F.broadcast(spark.range(1, 6).withColumnRenamed("id", "seed")))
-    to = F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", "seed", "sbj")), "sbj"))
-    own = F.row_number().over(Window.partitionBy("seed").orderBy("sbj"))
-    p = s.select("seed", own.alias("a"), to.alias("b"))
+    p = ranked(ranked(s, ["seed"], *by_digest(), "b"), ["seed"], *by_number(), "a")
     rows, cols = p.groupBy("seed", F.col("a").alias("at")).agg(F.count("*").alias("rows")), p.groupBy("seed", F.col("b").alias("at")).agg(F.count("*").alias("cols"))
     return rows.join(cols, ["seed", "at"]).groupBy("seed").agg(F.min("rows").alias("least_row"), F.max("rows").alias("most_row"), F.min("cols").alias("least_col"), F.max("cols").alias("most_col"), F.count("*").alias("dim"))
 
@@ -66,6 +70,7 @@ ORACLES["vba_null_max"] = f"with {PERM_SQL} select perm, round(max(t2), 6) as ma
 
 
 def _threshold(null):
+    alpha_allowed(ALPHA, SEEDS)
     return null.where("perm > 0").agg(F.percentile("max_t2", F.lit(1 - ALPHA)).alias("threshold"))
 
 
@@ -75,7 +80,7 @@ ORACLES["vba_threshold"] = f"with {PERM_SQL}, nm as (select perm, max(t2) as m f
 
 def vba_mask(spark, sf_dir):
     """Voxels whose observed t² reaches the threshold of a 60 % error rate (so that some do), and the rate's threshold."""
-    t = permuted_t2(spark, sf_dir)
+    t = cut(permuted_t2(spark, sf_dir))
     null = t.where("perm > 0").groupBy("perm").agg(F.max("t2").alias("max_t2")).agg(F.percentile("max_t2", F.lit(0.4)).alias("threshold"))
     return t.where("perm = 0").crossJoin(F.broadcast(null)).where("t2 >= threshold").select("i", "j", "k", F.round("t2", 6).alias("t2"))
 
@@ -87,7 +92,8 @@ select i, j, k, round(t2, 6) as t2 from pt where perm = 0 and t2 >= (select quan
 
 def voxel_pvalue(spark, sf_dir):
     """Family-wise p of each voxel: one and the null's larger maxima, over one more than their number."""
-    t, null = permuted_t2(spark, sf_dir), _max(spark, sf_dir).where("perm > 0")
+    t = cut(permuted_t2(spark, sf_dir))
+    null = t.where("perm > 0").groupBy("perm").agg(F.max("t2").alias("max_t2"))
     maxima = null.agg(F.collect_list("max_t2").alias("maxima"))  # one value a seed
     p = (1 + F.size(F.filter("maxima", lambda m: m > F.col("t2")))) / (F.size("maxima") + 1)
     return t.where("perm = 0").crossJoin(F.broadcast(maxima)).select("i", "j", "k", F.round(p, 6).alias("p"))
@@ -100,7 +106,7 @@ select i, j, k, round((1 + (select count(*) from nm where m > pt.t2)) / (select
 
 def pvalue_included(spark, sf_dir):
     """p of each null maximum against the null that holds it: one less those not above it, itself aside, over all."""
-    null = _max(spark, sf_dir).where("perm > 0")
+    null = cut(_max(spark, sf_dir).where("perm > 0"))
     maxima = null.agg(F.collect_list("max_t2").alias("maxima"))
     p = 1 - (F.size(F.filter("maxima", lambda m: m <= F.col("max_t2"))) - 1) / F.size("maxima")
     return null.crossJoin(F.broadcast(maxima)).select("perm", F.round(p, 6).alias("p"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import safe_div
+from regionframe.operators.permute import by_digest, by_number, ranked
 from regionframe.operators.regression import fit_sql, fitted, subjects
 from regionframe.sources.cube import CUBE1_SQL, cube1
 
@@ -86,10 +87,10 @@ ORACLES["factor_nuisance"] = f"with {_NUISANCE_SQL} select pos, round(sum(effect
 
 
 def permutation_map(x: DataFrame, seeds: int) -> DataFrame:
-    """(seed, sbj, taken): under a seed, sbj takes the row of `taken`. One task ranks the subjects of one seed."""
+    """(seed, sbj, taken): under a seed, sbj takes the row of `taken`."""
     s = x.select("sbj").crossJoin(F.broadcast(x.sparkSession.range(1, seeds + 1).select(F.col("id").alias("seed"))))
-    own = s.select("seed", "sbj", F.row_number().over(Window.partitionBy("seed").orderBy("sbj")).alias("r"))
-    to = s.select("seed", F.col("sbj").alias("taken"), F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", "seed", "sbj")), "sbj")).alias("r"))
+    own = ranked(s, ["seed"], *by_number(), "r")
+    to = ranked(s, ["seed"], *by_digest(), "r").withColumnRenamed("sbj", "taken")
     return own.join(to, ["seed", "r"]).drop("r")
 
 

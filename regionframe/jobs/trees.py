@@ -13,6 +13,7 @@ from regionframe.jobs.permutation import ALPHA, PERM_SQL, SEEDS, _split
 from regionframe.operators.permute import labelled
 from regionframe.operators.tree import ancestors, closure, greedy_cut
 from regionframe.sources.cube import cube1
+from regionframe.sources.cut import cut
 
 QUERIES, ORACLES = {}, {}
 STEPS = (0, 32, 48, 60)
@@ -167,7 +168,8 @@ def last_logf(stats: DataFrame) -> DataFrame:
 
 
 def rising(null: DataFrame) -> DataFrame:
-    """The running maximum over sizes, on the dense grid of permutations and sizes; minus infinity where none is yet."""
+    """The running maximum over sizes, on the dense grid of permutations and sizes (not of data); minus infinity where none
+    is yet."""
     dense = null.select("perm").distinct().crossJoin(null.select("size").distinct()).join(null, ["perm", "size"], "left")
     w = Window.partitionBy("perm").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     return dense.select("perm", "size", F.max(F.coalesce("logf", F.lit(float("-inf")))).over(w).alias("logf"))
@@ -184,15 +186,17 @@ def model_of(up: DataFrame) -> DataFrame:
 
 def interpolated(sizes: DataFrame, model: DataFrame) -> DataFrame:
     """sizes (size, ...) with mu and sd by linear interpolation in log size between the model's neighbours; clamped at its
-    ends. The model has one row a size and is the small side of the range join."""
+    ends. The different sizes are put in order with the model's, and what each finds before and after it is joined back
+    by size: the window runs over one row a size."""
+    m = model.select("size", F.struct("size", "mu", "sd").alias("own"))
+    every = sizes.select("size").distinct().join(m, "size", "full")
     w = Window.orderBy("size")
-    nxt = lambda c: F.lead(c).over(w)
-    m = model.select(F.col("size").alias("lo"), F.col("mu").alias("mu_lo"), F.col("sd").alias("sd_lo"), nxt("size").alias("hi"), nxt("mu").alias("mu_hi"), nxt("sd").alias("sd_hi"), F.row_number().over(w).alias("nth"))
-    within = (F.col("size") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("size") < F.col("hi"))) | ((F.col("nth") == 1) & (F.col("size") < F.col("lo")))
-    j = sizes.join(m, within)
-    part = F.when(F.col("hi").isNull() | (F.col("size") <= F.col("lo")), 0.0).otherwise((F.ln("size") - F.ln("lo")) / (F.ln("hi") - F.ln("lo")))
-    at = lambda c: F.when(part == 0, F.col(f"{c}_lo")).otherwise(F.col(f"{c}_lo") + part * (F.col(f"{c}_hi") - F.col(f"{c}_lo")))
-    return j.select(*sizes.columns, at("mu").alias("mu"), at("sd").alias("sd"))
+    lo = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    hi = F.first("own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    e = every.select("size", F.coalesce(lo, hi).alias("lo"), F.coalesce(hi, lo).alias("hi"))
+    part = F.when(F.col("hi.size") == F.col("lo.size"), 0.0).otherwise((F.ln("size") - F.ln("lo.size")) / (F.ln("hi.size") - F.ln("lo.size")))
+    at = lambda c: F.when(part == 0, F.col(f"lo.{c}")).otherwise(F.col(f"lo.{c}") + part * (F.col(f"hi.{c}") - F.col(f"lo.{c}")))
+    return sizes.join(e.select("size", at("mu").alias("mu"), at("sd").alias("sd")), "size").select(*sizes.columns, "mu", "sd")
 
 
 def scored(stats: DataFrame, model: DataFrame) -> DataFrame:
@@ -224,8 +228,9 @@ ORACLES["size_model"] = f"with {_MODEL_SQL} select size, round(mu, 6) as mu, rou
 
 def interp_logf(spark, sf_dir):
     """The model at sizes beside its own, its ends and beyond."""
-    sizes = _model(spark, sf_dir).select(F.explode(F.array((F.col("size") + F.lit(1)).cast("long"), F.expr("size * 3 div 2"))).alias("size")).distinct()
-    return interpolated(sizes, _model(spark, sf_dir)).select("size", F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"))
+    model = cut(_model(spark, sf_dir))
+    sizes = model.select(F.explode(F.array((F.col("size") + F.lit(1)).cast("long"), F.expr("size * 3 div 2"))).alias("size")).distinct()
+    return interpolated(sizes, model).select("size", F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"))
 
 
 QUERIES["interp_logf"] = interp_logf
@@ -236,7 +241,9 @@ select cast(size as bigint) as size, round(case when t = 0 then a else a + t * (
 
 
 def _saf(spark, sf_dir):
-    return scored(node_stats(spark, sf_dir), _model(spark, sf_dir))
+    """Every permutation's nodes, counted once: the null among them gives the model."""
+    stats = cut(node_stats(spark, sf_dir))
+    return scored(stats, model_of(rising(last_logf(stats))))
 
 
 QUERIES["node_saf"] = lambda spark, sf_dir: _saf(spark, sf_dir).where("perm = 0").select("node", "size", F.round("saf", 5).alias("saf"))
@@ -266,10 +273,22 @@ QUERIES["cut_greedy"] = cut_greedy
 def sig_nodes(spark, sf_dir, level: float = 0.25):
     """The observed tree's cut, and of it the nodes whose saf reaches the null's percentile (here of a 75 % error rate, so
     that some may)."""
-    saf = _saf(spark, sf_dir).persist()
+    saf = cut(_saf(spark, sf_dir))
     limit = null_max(saf).agg(F.percentile("top", F.lit(level)).alias("limit"))
     kept = greedy_cut(saf.where("perm = 0").select("perm", "node", "parent", F.round("saf", 9).alias("saf")), "saf")
     return kept.join(saf.where("perm = 0").select("node", "size", "saf"), "node").crossJoin(F.broadcast(limit)).select("node", "size", F.round("saf", 5).alias("saf"), (F.col("saf") >= F.col("limit")).alias("significant"))
 
 
 QUERIES["sig_nodes"] = sig_nodes
+#: The cut by steps: in order of saf a node is picked if no picked one is above, below or at it.
+_CUT_SQL = f"""{_MODEL_SQL}, up_ as (select a.ancestor as node, b.ancestor as above from closure a join closure b using (leaf) where b.ancestor > a.ancestor group by all),
+ranked as (select perm, node, row_number() over (partition by perm order by round(saf, 9) desc, node) as r from saf where saf is not null),
+clash as (select p.perm, p.r, q.r as other from ranked p join ranked q using (perm) join up_ u on (u.node = p.node and u.above = q.node) or (u.node = q.node and u.above = p.node))"""
+CUT_SQL = f"""with recursive {_CUT_SQL}, lists as (select perm, r, list(other) as others from clash group by all),
+pick(perm, r, picked) as (select perm, cast(0 as bigint), cast([] as bigint[]) from (select distinct perm from ranked) union all
+  select p.perm, p.r + 1, case when len(list_intersect(p.picked, coalesce(l.others, cast([] as bigint[])))) = 0 then list_append(p.picked, p.r + 1) else p.picked end
+  from pick p join ranked n on n.perm = p.perm and n.r = p.r + 1 left join lists l on l.perm = p.perm and l.r = p.r + 1),
+cut_ as (select k.perm, k.node from (select perm, unnest(picked) as r from (select perm, max_by(picked, r) as picked from pick group by perm)) p join ranked k using (perm, r))"""
+ORACLES["cut_greedy"] = f"{CUT_SQL} select perm, node from cut_"
+ORACLES["sig_nodes"] = f"""{CUT_SQL}, tops as (select perm, max(saf) as m from saf where perm > 0 group by all)
+select s.node, s.size, round(s.saf, 5) as saf, s.saf >= (select quantile_cont(m, 0.25) from tops) as significant from cut_ join saf s using (perm, node) where perm = 0"""
