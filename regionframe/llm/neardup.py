@@ -5,9 +5,9 @@ shingles that are least under one of several hash orders and keeps them in text
 they agree on those shingles and on their order. Documents that share a sketch are candidates; the similarity that
 decides is the share of shingles that an alignment within the band matches: m / (n1 + n2 - m), 0.8 or more.
 
-Copies with the same words are one node from the start. A bucket of equal sketches is a star around its least node, never
-all its pairs; the nodes' order is a digest, so stars of different buckets tend to have one centre. Where buckets still
-hold several classes after the stars are verified, each takes another centre, by an order of its own, and the members of
+Copies with the same words are one node from the start. A bucket of equal sketches is a star around its most central node,
+never all its pairs: the one that shares sketches with the most others, such as the text that many were made from. Where
+buckets still hold several classes after the stars are verified, each takes another centre, by an order of its own, and the members of
 other classes than the centre's are verified against that. What is then left in buckets of several classes is joined
 exactly: an alignment matches at most the labelled shingles that both texts have, so two similar texts share one of their
 rarest (prefix filter), and each such pair of different classes is verified. Everything is joined and counted by keys; no
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionframe.llm.shared import staged, table, text_of
+from regionframe.llm.shared import Stages, staged, table, text_of
 
 WORD = re.compile(r"\w+")
 SHINGLE, SKETCHES, LEAST, SIMILAR = 5, 16, 3, 0.8
@@ -186,7 +186,7 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(h), pa.binary()), pa.array(np.full(len(h), len(h), np.int32)), pa.array(h.view(np.int64))], names=["node", "n", "label"])
 
 
-def rare_pairs(nodes: DataFrame, shingle_rows: DataFrame) -> DataFrame:
+def rare_pairs(nodes: DataFrame, shingle_rows: DataFrame, stage) -> DataFrame:
     """The pairs (a, b), a < b, of nodes (node, class) of different classes that can be similar, none left out.
 
     Similar texts of n1 <= n2 labelled shingles have least = SIMILAR / (1 + SIMILAR) * (n1 + n2) in common, so in any one
@@ -194,38 +194,51 @@ def rare_pairs(nodes: DataFrame, shingle_rows: DataFrame) -> DataFrame:
     thus serves for partners of n2 <= (n - p + 1) * (1 + SIMILAR) / SIMILAR - n shingles, its reach. Labels of a single
     text come first and are never joined. Classes meet before their nodes do, so copies of one text make no pairs.
     """
-    labels = staged(nodes.select("node").join(shingle_rows, "node").mapInArrow(_labels, "node binary, n int, label long"), "labels")
-    often = staged(labels.groupBy("label").agg(F.count("*").alias("f")).where("f > 1"), "label-counts")
+    labels = stage(nodes.select("node").join(shingle_rows, "node").mapInArrow(_labels, "node binary, n int, label long"), "labels")
+    often = stage(labels.groupBy("label").agg(F.count("*").alias("f")).where("f > 1"), "label-counts")
     own = Window.partitionBy("node")
     first = labels.join(often, "label").withColumns({"m": F.count("*").over(own), "nth": F.row_number().over(own.orderBy("f", "label"))}).withColumn("p", F.col("n") - F.col("m") + F.col("nth"))
     reach = (F.col("n") - F.col("p") + 1) * ((1 + SIMILAR) / SIMILAR) - F.col("n") + 1e-6
     first = first.withColumn("reach", reach).where(F.col("reach") >= F.col("n") * SIMILAR).join(nodes, "node")
-    first = staged(first.select("label", "node", "class", "n", "reach"), "rare-labels")
+    first = stage(first.select("label", "node", "class", "n", "reach"), "rare-labels")
     short = first.where("reach >= n").select("label", *[F.col(c).alias(f"s_{c}") for c in ("class", "node", "n", "reach")])
     long = first.select("label", *[F.col(c).alias(f"l_{c}") for c in ("class", "node", "n", "reach")])
-    meet = lambda d, k: staged(d.groupBy("label", f"{k}_class").agg(F.min(f"{k}_n").alias(f"{k}_lo"), F.max(f"{k}_n").alias(f"{k}_hi"), F.max(f"{k}_reach").alias(f"{k}_far")), "label-classes")
+    meet = lambda d, k: stage(d.groupBy("label", f"{k}_class").agg(F.min(f"{k}_n").alias(f"{k}_lo"), F.max(f"{k}_n").alias(f"{k}_hi"), F.max(f"{k}_reach").alias(f"{k}_far")), "label-classes")
     near = meet(short, "s").join(meet(long, "l"), "label").where("s_class <> l_class and s_far >= l_lo and l_far >= s_lo and s_lo <= l_hi")
-    near = staged(near.select("label", "s_class", "l_class"), "class-pairs")
-    pairs = staged(near.join(short, ["label", "s_class"]), "short-ends").join(long, ["label", "l_class"])
+    near = stage(near.select("label", "s_class", "l_class"), "class-pairs")
+    pairs = stage(near.join(short, ["label", "s_class"]), "short-ends").join(long, ["label", "l_class"])
     pairs = pairs.where("s_reach >= l_n and l_reach >= s_n and (s_n < l_n or s_n = l_n and s_node < l_node)")
     return pairs.select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b")).distinct()
 
 
-def classes(links: DataFrame) -> DataFrame:
+def classes(links: DataFrame, stage=staged) -> DataFrame:
     """(node, least): each linked node with the least node that links lead to. Labels sink along links, and each round
     every node also takes its label's label, so that long chains halve."""
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("least")), "labels")
+    both = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("least")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("near"))
         sunk = labels.join(near, "node").select("node", F.col("least").alias("was"), F.least("least", "near").alias("least"))
         up = labels.select(F.col("node").alias("least"), F.col("least").alias("above"))
-        new = staged(sunk.join(up, "least", "left").select("node", "was", F.least("least", F.coalesce("above", "least")).alias("least")), "labels")
+        new = stage(sunk.join(up, "least", "left").select("node", "was", F.least("least", F.coalesce("above", "least")).alias("least")), "labels")
         labels = new.select("node", "least")
-        if not new.where("least <> was").head(1):
+        if not new.where("was <> least").head(1):
             return labels
 
 
+def merged(found: DataFrame, links: DataFrame, stage) -> DataFrame:
+    """The classes (node, least) that further links make of those found: links meet as links between classes."""
+    if not links.head(1):
+        return found
+    of = lambda k: found.select(F.col("node").alias(k), F.col("least").alias(f"{k}_class"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = stage(ends.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b")).where("a <> b").distinct(), "class-links")
+    joined = classes(ends, stage)
+    known = found.join(joined.select(F.col("node").alias("least"), F.col("least").alias("lower")), "least", "left").select("node", F.coalesce("lower", "least").alias("least"))
+    # nodes that had no link before are classes of their own among the new ones
+    return stage(known.union(joined.join(found, "node", "left_anti").select("node", "least")), "found-classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, version, class_node) of each row; rows of one class have the same class_node.
 
@@ -235,41 +248,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows are in one class; an empty table gives no row.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version_of().alias("version"), text_of().alias("text"))
-    marks = staged(d.mapInArrow(_marks, "doc_id long, version long, node binary, sketches array<long>"), "marks")
+    stage = Stages(docs.sparkSession, "near-duplicates")
+    marks = stage(d.mapInArrow(_marks, "doc_id long, version long, node binary, sketches array<long>"), "marks")
     nodes = marks.where("sketches is not null").groupBy("node").agg(F.first("sketches").alias("sketches"), F.min(F.struct("doc_id", "version")).alias("row"))
-    nodes = staged(nodes, "nodes")
+    nodes = stage(nodes, "nodes")
     members = nodes.select("node", F.posexplode("sketches").alias("order", "sketch"))
     key = ["order", "sketch"]
     # what is grouped is staged before it is joined back, so that the join reads plain exchanges and can split a hot bucket
-    stars = staged(members.groupBy(*key).agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "stars")
-    shared = staged(members.join(stars, key).withColumnRenamed("node", "b"), "buckets")
-    pairs = staged(shared.where("a <> b").select("a", "b").distinct(), "pairs")
+    sizes = stage(members.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = stage(members.join(sizes, key).withColumnRenamed("node", "b"), "buckets")
+    central = shared.groupBy("b").agg(F.sum("n").alias("others"))
+    stars = stage(shared.select(*key, "b").join(central, "b").groupBy(*key).agg(F.min(F.struct(-F.col("others"), "b")).alias("c")).select(*key, F.col("c.b").alias("a")), "stars")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = stage(shared.select(*key, "b").join(stars, key).where("a <> b").select(*ends).distinct(), "pairs")
     wanted = shared.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "row.*"), "node")
     of = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.version") == F.col("w.version"))
     # rows that repeat a document's id and text give equal shingles: one of them is enough
     rows = d.alias("d").join(wanted.alias("w"), of).select("w.node", "d.text").mapInArrow(_shingle_rows, "node binary, shingles binary")
-    rows = staged(rows.dropDuplicates(["node"]) if repeated(marks) else rows, "shingles")
-    links = staged(verified(pairs, rows), "links")
-    found = classes(links)
+    rows = stage(rows.dropDuplicates(["node"]) if repeated(marks) else rows, "shingles")
+    found = classes(stage(verified(pairs, rows), "links"), stage)
     # Buckets that hold several classes: another centre, and the members of other classes against it
     own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, "b", F.coalesce("least", "b").alias("class"))
     order = F.xxhash64("order", "b")
     centre = own.groupBy(*key).agg(F.min(F.struct(order.alias("o"), "b", "class")).alias("c"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key, F.col("c.b").alias("a"), F.col("c.class").alias("a_class"))
-    centre = staged(centre, "centres")
-    more = own.join(centre, key).where(F.col("class") != F.col("a_class")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found_more = staged(verified(more, rows), "links")
-    if found_more.head(1):
-        links = links.union(found_more)
-        found = classes(links)
+    centre = stage(centre, "centres")
+    more = own.join(centre, key).where(F.col("class") != F.col("a_class")).select(*ends).distinct()
+    more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = merged(found, stage(verified(more, rows), "links"), stage)
     # Buckets that still do: their nodes of different classes by an exact join
     own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, F.col("b").alias("node"), F.coalesce("least", "b").alias("class"))
-    several = staged(own.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key), "several")
-    left = staged(own.join(several, key).select("node", "class").distinct(), "left")
+    several = stage(own.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key), "several")
+    left = stage(own.join(several, key).select("node", "class").distinct(), "left")
     if left.head(1):
-        rest = staged(rare_pairs(left, rows).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
-        rest = staged(verified(rest, rows), "links")
-        found = classes(links.union(rest)) if rest.head(1) else found
+        rest = stage(rare_pairs(left, rows, stage).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+        found = merged(found, stage(verified(rest, rows), "links"), stage)
+    found = stage(found, "found")
+    stage.drop("nodes", "sizes", "buckets", "stars", "pairs", "shingles", "links", "centres", "several", "left", "labels", "label-counts", "rare-labels", "label-classes", "class-pairs", "short-ends")
     return marks.select("doc_id", "version", "node").join(found, "node", "left").select("doc_id", "version", F.coalesce("least", "node").alias("class_node"))
 
 

@@ -337,14 +337,20 @@ def in_large(stage: Stages, runs: DataFrame, window: int, unit: str) -> DataFram
     """As in_groups(), for the runs (CONTENT) of buckets of any size."""
     size, width = 1 if unit == "byte" else 8, max(1, min(BLOCK, window // 3))
     core, end = window - width + 1, min(END, (window - width + 1) // 2)
-    items = runs.mapInArrow(_blocks(window, unit), BLOCKS)
+    blocks = stage(runs.mapInArrow(_blocks(window, unit), BLOCKS), "blocks")
+    # Blocks of equal units repeat wholly, and one of them stands for all
+    alike = ["gram", "block", "windows", "place", "at", "content"]
+    row = F.first(F.struct(*KEY, "first")).alias("row")
+    items = stage(blocks.groupBy(*alike).agg(F.count("*").alias("copies"), F.sum("n").alias("n"), row), "block-kinds")
+    whole = blocks.where("n = 1").join(items.where("copies > 1").select(*alike), alike).select(*KEY, "first", (F.col("first") + F.col("windows") - 1 + window).alias("end"))
+    items = items.select(*alike, "n", "row.*")
     part = lambda first, n: F.substring("content", (F.col("at") + first) * size + 1, F.lit(n * size))
     first = split(stage, items, ["gram", "block"], F.concat(part(0, end), part(core - end, end)))
-    out = in_groups(first.where(F.col("members") <= MEMBERS), window, unit)
+    out = whole.union(in_groups(first.where(F.col("members") <= MEMBERS), window, unit))
     rest = split(stage, first.where(F.col("members") > MEMBERS), ["group", "block"], part(end, core - 2 * end))
     out = out.union(in_groups(rest.where(F.col("members") <= MEMBERS), window, unit))
-    alike = rest.where(F.col("members") > MEMBERS)  # equal through all that a block's windows have in common
-    singles = stage(alike.mapInArrow(_singles(window, unit), SINGLES), "singles")
+    same_core = rest.where(F.col("members") > MEMBERS)  # equal through all that a block's windows have in common
+    singles = stage(same_core.mapInArrow(_singles(window, unit), SINGLES), "singles")
     same = ["group", "block", "place", "sides"]
     equal = stage(singles.groupBy(*same).agg(F.count("*").alias("copies")).where("copies > 1").drop("copies"), "equal-singles")
     return out.union(singles.where("n = 1").join(equal, same).select(*KEY, "first", (F.col("first") + window).alias("end")))
@@ -386,7 +392,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int = 64, unit: str
     if large.head(1):
         found = found.union(in_large(stage, large, window, unit))
     out = stage(maximal(spans.union(whole).union(found)), "spans")
-    stage.drop("runs", "common", "live-runs", "run-kinds", "undecided", "run-contents", "digits", "items", "singles", "equal-singles")
+    stage.drop("runs", "common", "live-runs", "run-kinds", "undecided", "run-contents", "blocks", "block-kinds", "digits", "items", "singles", "equal-singles")
     return out.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 
