@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import gzip
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The format's codes of voxel types.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -58,25 +61,58 @@ def decode_tracks(data: bytes) -> np.ndarray:
     return np.concatenate(out).astype(float) if out else np.zeros((0, 3))
 
 
+def write_file(folder: str, name: str, data: bytes) -> str:
+    """Writes a file into a folder of any store that pyarrow knows, under another name until it is whole; its path. An attempt
+    that is repeated writes the same."""
+    store, at = pyarrow.fs.FileSystem.from_uri(folder) if ":/" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+    store.create_dir(at, recursive=True)
+    part = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(data)
+    store.move(part, f"{at}/{name}")
+    return f"{folder}/{name}"
+
+
+def same_space(one: tuple[tuple, np.ndarray], two: tuple[tuple, np.ndarray]) -> bool:
+    """Whether two grids (shape, affine) are one: equal shapes, and affines equal up to rounding."""
+    return tuple(one[0]) == tuple(two[0]) and np.allclose(one[1], two[1], rtol=1e-5, atol=1e-8)
+
+
+def spaces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, shape, affine) of the files, from their headers."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [decode_nifti(bytes(c)) for c in f["content"]]
+            yield pd.DataFrame({"path": f["path"], "shape": [list(v.shape) for v, _ in got], "affine": [a.ravel().tolist() for _, a in got]})
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, "path string, shape array<int>, affine array<double>")
+
+
 def read_volumes(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
-    """(sbj, feat, i, j, k, x) of the files (sbj, feat, path) that the paths (files, folders or patterns) hold."""
+    """(sbj, feat, i, j, k, x) of the files (sbj, feat, path) that the paths (files, folders or patterns) hold. Files are matched
+    by their last name. The first file's grid is that of all: another one raises."""
+    first = spark.read.format("binaryFile").load(paths).select("path").agg(F.min("path").alias("path")).first().path
+    got = spaces(spark, [first]).first()
+    space = (tuple(got.shape), np.array(got.affine).reshape(4, 4))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f["path"], f["content"], strict=True):
-                v, _ = decode_nifti(bytes(content))
+                v, affine = decode_nifti(bytes(content))
+                if not same_space(space, (v.shape, affine)):
+                    raise ValueError(f"{path} has another grid than {first}")
                 i, j, k = np.indices(v.shape[:3])
                 yield pd.DataFrame({"path": path, "i": i.ravel(), "j": j.ravel(), "k": k.ravel(), "x": v.ravel()})
 
     cells = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, "path string, i int, j int, k int, x double")
-    return cells.join(files, "path").select("sbj", "feat", "i", "j", "k", "x")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return cells.select(name, "i", "j", "k", "x").join(files.select("sbj", "feat", name), "name").select("sbj", "feat", "i", "j", "k", "x")
 
 
 def cube_of(volumes: DataFrame, feats: list[str]) -> DataFrame:
     """(i, j, k, sbj, x): features in an array of the given order; voxels where any value of any subject is zero or missing
     are left out."""
-    from pyspark.sql import functions as F
-
     c = volumes.groupBy("i", "j", "k", "sbj").agg(*[F.max(F.when(F.col("feat") == f, F.col("x"))).alias(f"f{n}") for n, f in enumerate(feats)])
     whole = F.lit(True)
     for n in range(len(feats)):
