@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from regionframe.jobs import graph, inference, masks, metrics, moments, permutation, polynomial, regress, regress_vba, trees, volumes, voxelwise
+from regionframe.jobs import graph, inference, masks, metrics, moments, permutation, polynomial, regress, regress_vba, replay, trees, volumes, voxelwise
 
-_PARTS = [voxelwise, moments, masks, graph, permutation, regress, metrics, trees, inference, regress_vba, volumes, polynomial]
+_PARTS = [voxelwise, moments, masks, graph, permutation, regress, metrics, trees, inference, regress_vba, volumes, polynomial, replay]
 
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in _PARTS for k, v in part.ORACLES.items()}

@@ -10,36 +10,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.jobs.graph import _leaf_stats, neighbour_edges, pair_costs
-from regionframe.jobs.permutation import ALPHA, SEEDS, _split, permuted_t2
+from regionframe.jobs.permutation import ALPHA, SEEDS, _split, alpha_allowed, permuted_t2
 from regionframe.jobs.regress import permutation_map
 from regionframe.jobs.trees import last_logf, model_of, null_max, rising, scored
-from regionframe.operators.agglomerate import RegressionSums, agglomerate, merge_rounds, trees
+from regionframe.operators.agglomerate import RegressionSums, TwoGroupsOf, agglomerate, merge_rounds, merge_tree, six_neighbours, trees
 from regionframe.operators.clusters import grown_mask, min_variance_mask, tfce
 from regionframe.operators.permute import labelled
 from regionframe.operators.regression import subjects
 from regionframe.operators.tree import greedy_cut
-from regionframe.sources.cube import cube1
+from regionframe.sources.cube import CUBE2_SQL, cube1, cube2
 from regionframe.sources.cut import cut
 
 QUERIES, ORACLES = {}, {}
 
 
-def grid_edges(spark, sf_dir) -> list[tuple[int, int]]:
-    """The voxels' graph: as large as the grid, whatever the number of subjects."""
-    return sorted((r.src, r.dst) for r in neighbour_edges(spark, sf_dir).collect())
-
-
 def leaves(spark, sf_dir, seeds: int) -> DataFrame:
-    """(perm, node, n0, s0, q0, n1, s1, q1): every permutation's voxels from one grouping of the cube."""
+    """(perm, node, i, j, k, n0, s0, q0, n1, s1, q1): every permutation's voxels from one grouping of the cube."""
     c = cube1(spark, sf_dir).drop("grp", "label").join(labelled(_split(spark, sf_dir), seeds), "sbj")
-    c = c.select(F.col("pos").alias("node"), "x", F.posexplode("labels").alias("perm", "grp"))
+    c = c.select(F.col("pos").alias("node"), "i", "j", "k", "x", F.posexplode("labels").alias("perm", "grp"))
     x = lambda g, v: F.when(F.col("grp") == g, v)
     aggs = [f.alias(f"{n}{g}") for g in (0, 1) for n, f in (("n", F.count(x(g, F.col("x")))), ("s", F.sum(x(g, F.col("x")))), ("q", F.sum(x(g, F.col("x") * F.col("x")))))]
-    return c.groupBy("perm", "node").agg(*aggs)
+    return c.groupBy("perm", "node", "i", "j", "k").agg(*aggs)
 
 
 def agglomerate_tree(spark, sf_dir):
-    t = trees(leaves(spark, sf_dir, 0), grid_edges(spark, sf_dir))
+    t = trees(leaves(spark, sf_dir, 0))
     return t.select("node", "parent", "size", F.round("stat", 5).alias("stat"), F.round("cost", 8).alias("cost"))
 
 
@@ -48,7 +43,7 @@ QUERIES["agglomerate_tree"] = agglomerate_tree
 
 def agglomerate_invariants(spark, sf_dir):
     """Of every permutation's tree: nodes, roots, the root's size, children whose number is not below their parent's."""
-    t = trees(leaves(spark, sf_dir, 5), grid_edges(spark, sf_dir))
+    t = trees(leaves(spark, sf_dir, 5))
     return t.groupBy("perm").agg(F.count("*").alias("nodes"), F.count_if(F.col("parent").isNull()).alias("roots"), F.max("size").alias("root_size"), F.count_if(F.col("parent") <= F.col("node")).alias("bad"))
 
 
@@ -56,9 +51,44 @@ QUERIES["agglomerate_invariants"] = agglomerate_invariants
 ORACLES["agglomerate_invariants"] = "with v as (select max(len(embedding)) as v from embeddings) select cast(p as int) as perm, 2 * v - 1 as nodes, cast(1 as bigint) as roots, cast(v as bigint) as root_size, cast(0 as bigint) as bad from v, unnest(range(0, 6)) r(p)"
 
 
+def agglomerate_d2(spark, sf_dir):
+    """The observed split's tree of two features, by the determinant of the pooled covariance."""
+    x = lambda g, v: F.when(F.col("grp") == g, v)
+    terms = [("n", F.lit(1.0)), *[(f"s{a}", F.col(f"x{a}")) for a in (0, 1)], *[(f"q{a}{b}", F.col(f"x{a}") * F.col(f"x{b}")) for a in (0, 1) for b in (0, 1)]]
+    aggs = [F.sum(x(g, v)).alias(f"{n}_{g}") for g in (0, 1) for n, v in terms]
+    moments = cube2(spark, sf_dir).groupBy(F.lit(0).alias("perm"), F.col("pos").alias("node"), "i", "j", "k").agg(*aggs)
+    return trees(moments, TwoGroupsOf(2), [f"{n}_{g}" for g in (0, 1) for n, _ in terms])
+
+
+def agglomerate_d2_leaves(spark, sf_dir):
+    """Its leaves' and root's statistics, which do not depend on the order of merges."""
+    t = agglomerate_d2(spark, sf_dir)
+    return t.where("size = 1 or parent is null").select("node", "size", F.round("stat", 5).alias("t2"))
+
+
+QUERIES["agglomerate_d2"] = lambda spark, sf_dir: agglomerate_d2(spark, sf_dir).select("node", "parent", "size", F.round("stat", 5).alias("t2"), F.round("f", 5).alias("f"), F.round("cost", 10).alias("cost"))
+QUERIES["agglomerate_d2_leaves"] = agglomerate_d2_leaves
+_D2 = ", ".join(f"count(*) filter (grp = {g}) as n{g}, avg(x0) filter (grp = {g}) as a{g}, avg(x1) filter (grp = {g}) as b{g}, var_pop(x0) filter (grp = {g}) as aa{g}, var_pop(x1) filter (grp = {g}) as bb{g}, covar_pop(x0, x1) filter (grp = {g}) as ab{g}" for g in (0, 1))
+ORACLES["agglomerate_d2_leaves"] = f"""with {CUBE2_SQL}, m as (select pos as node, cast(1 as bigint) as size, {_D2} from cube2 group by pos union all select 62, 32, {_D2} from cube2),
+p as (select *, (n0 * aa0 + n1 * aa1) / (n0 + n1) as aa, (n0 * bb0 + n1 * bb1) / (n0 + n1) as bb, (n0 * ab0 + n1 * ab1) / (n0 + n1) as ab, a1 - a0 as a, b1 - b0 as b from m)
+select node, size, round((a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) * n0 * n1 / (n0 + n1), 5) as t2 from p"""
+
+
+def merged_tree(spark, sf_dir):
+    """The tree of the distributed loop, by its rounds: regions made, and the voxels of the largest."""
+    s = _leaf_stats(spark, sf_dir)
+    t = merge_tree(s, neighbour_edges(spark, sf_dir), lambda st, e: pair_costs(st, e), [c for c in s.columns if c not in ("node", "size")])
+    return t.agg(F.count("*").alias("nodes"), F.count_if(F.col("parent").isNull()).alias("roots"), F.max("size").alias("root_size"), F.count_if(F.col("parent") <= F.col("node")).alias("bad"), F.sum(F.when(F.col("round") > 0, 1)).alias("merges"))
+
+
+QUERIES["merged_tree"] = merged_tree
+ORACLES["merged_tree"] = "with v as (select max(len(embedding)) as v from embeddings) select 2 * v - 1 as nodes, cast(1 as bigint) as roots, cast(v as bigint) as root_size, cast(0 as bigint) as bad, cast(v - 1 as bigint) as merges from v"
+
+
 def inference(all_trees: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(node, parent, size, f, saf, kept, significant) of the observed tree, from every permutation's: the null is computed
     once and gives both the size model and the threshold."""
+    alpha_allowed(alpha, SEEDS)
     s = cut(all_trees.select("perm", "node", "parent", "size", "f"))
     saf = cut(scored(s, model_of(rising(last_logf(s)))))
     limit = null_max(saf).agg(F.percentile("top", F.lit(1 - alpha)).alias("limit"))
@@ -68,7 +98,7 @@ def inference(all_trees: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return out.select("node", "parent", "size", F.round("f", 5).alias("f"), F.round("saf", 5).alias("saf"), "kept", (F.col("kept") & F.coalesce(F.col("saf") >= F.col("limit"), F.lit(False))).alias("significant"))
 
 
-QUERIES["region_discrim"] = lambda spark, sf_dir: inference(trees(leaves(spark, sf_dir, SEEDS), grid_edges(spark, sf_dir)))
+QUERIES["region_discrim"] = lambda spark, sf_dir: inference(trees(leaves(spark, sf_dir, SEEDS)))
 
 
 def regression_sums(spark, sf_dir, seeds: int, voxels: int) -> DataFrame:
@@ -106,7 +136,8 @@ def regression_trees(spark, sf_dir, seeds: int) -> DataFrame:
     products = np.zeros((voxels + 2, voxels + 2))
     of = sums.where("perm = -1").toPandas()
     products[of["a"], of["b"]] = of["v"]
-    edges = grid_edges(spark, sf_dir)
+    grid = {r.pos: (r.i, r.j, r.k) for r in cube1(spark, sf_dir).select("pos", "i", "j", "k").distinct().collect()}  # as large as a row of products
+    edges = [(a, b) for a, b in six_neighbours([grid.get(p, (-2 * p - 2, 0, 0)) for p in range(voxels)])]
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         objective = RegressionSums(products)

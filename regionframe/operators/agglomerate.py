@@ -7,6 +7,7 @@ holds additive moments only. merge_rounds() is the distributed form of one large
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,34 @@ class TwoGroups:
         return t2, t2
 
 
+class TwoGroupsOf:
+    """Regions by two groups' moments of d features: for each group n, the d sums, the d x d sums of products. The cost of a
+    merge is what it adds to the determinant of the pooled covariance times voxels; the statistic is Hotelling's t² and F."""
+
+    def __init__(self, d: int) -> None:
+        self.d, self.width = d, 1 + d + d * d
+
+    def _group(self, m: np.ndarray, g: int) -> tuple[float, np.ndarray, np.ndarray]:
+        n, d = m[g * self.width], self.d
+        mean = m[g * self.width + 1 :][:d] / n
+        return n, mean, m[g * self.width + 1 + d :][: d * d].reshape(d, d) / n - np.outer(mean, mean)
+
+    def _pooled(self, m: np.ndarray) -> np.ndarray:
+        (n0, _, c0), (n1, _, c1) = self._group(m, 0), self._group(m, 1)
+        return (n0 * c0 + n1 * c1) / (n0 + n1)
+
+    def _det(self, m: np.ndarray) -> float:
+        return float(np.linalg.det(self._pooled(m)))
+
+    def cost(self, a, b, na: int, nb: int) -> float:
+        return self._det(a + b) * (na + nb) - self._det(a) * na - self._det(b) * nb
+
+    def stat(self, m, size: int) -> tuple[float, float]:
+        (n0, m0, _), (n1, m1, _), d = self._group(m, 0), self._group(m, 1), self.d
+        t2 = float((m1 - m0) @ np.linalg.pinv(self._pooled(m)) @ (m1 - m0)) * n0 * n1 / (n0 + n1)
+        return t2, t2 * (n0 + n1 - d - 1) / ((n0 + n1 - 2) * d)
+
+
 class Regression:
     """Regions by their subjects' sums (first half) and sums of squares (second half) of one feature. The statistic is r²
     of the subjects' means on a design; a merge costs what it takes from r² times voxels. `design` is S x k, with the
@@ -152,20 +181,57 @@ def agglomerate(moments: np.ndarray, edges: list[tuple[int, int]], objective, st
     return [(i, parent[i], size[i], *objective.stat(stats[i], size[i]), cost_of[i]) for i in range(len(stats))]
 
 
-def trees(leaves: DataFrame, edges: list[tuple[int, int]], objective=None, **how) -> DataFrame:
-    """The merge tree of each permutation; leaves: (perm, node, n0, s0, q0, n1, s1, q1), nodes numbered from 0 in every
-    permutation. edges is the voxels' graph, the same for all and of the grid's size, not the data's."""
+def six_neighbours(points: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The edges between the places of voxels that touch."""
+    at = {p: n for n, p in enumerate(points)}
+    return [(n, m) for (i, j, k), n in at.items() for q in ((i + 1, j, k), (i, j + 1, k), (i, j, k + 1)) if (m := at.get(q)) is not None]
+
+
+def trees(leaves: DataFrame, objective=None, columns: list[str] | None = None, **how) -> DataFrame:
+    """The merge tree of each permutation; leaves: (perm, node, i, j, k, and the objective's columns), nodes numbered from 0 in every
+    permutation. A task finds its voxels' neighbours by itself; what it holds follows the grid."""
     objective = objective or TwoGroups()
-    columns = list(objective.columns)
+    columns = columns or list(objective.columns)
 
     def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node")
+        edges = six_neighbours(list(zip(f["i"].tolist(), f["j"].tolist(), f["k"].tolist(), strict=True)))
         rows = agglomerate(f[columns].to_numpy(float), edges, objective, **how)
         out = pd.DataFrame(rows, columns=["node", "parent", "size", "stat", "f", "cost"])
         out["parent"] = out["parent"].astype("Int32")
         return out.assign(perm=int(key[0]))[["perm", "node", "parent", "size", "stat", "f", "cost"]]
 
-    return leaves.select("perm", "node", *columns).groupBy("perm").applyInPandas(one, TREE)
+    return leaves.select("perm", "node", "i", "j", "k", *columns).groupBy("perm").applyInPandas(one, TREE)
+
+
+def merge_tree(stats: DataFrame, edges: DataFrame, costs, columns: list[str]) -> DataFrame:
+    """(node, parent, size, cost, round): the merge tree of one large run without a kernel. In each round every region's
+    cheapest edge is found (equal costs by the ends), edges that are cheapest for both their ends merge into new regions, and
+    what is left is relabelled; it ends without an edge, so it may be a forest. stats: (node, size, columns); costs(stats,
+    edges) adds `cost`. Each round joins on node numbers and is cut from the lineage before it."""
+    stats, edges = cut(stats.withColumn("node", F.col("node").cast("long"))), cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    born = [stats.select("node", F.col("size").cast("long").alias("size"), F.lit(None).cast("double").alias("cost"), F.lit(0).alias("round"))]
+    up, first, number = [], (stats.agg(F.max("node")).first()[0] or 0) + 1, 0
+    while True:
+        number += 1
+        c = cut(costs(stats, edges))
+        ends = c.select(F.explode(F.array("src", "dst")).alias("node"), F.struct(F.round("cost", 12).alias("cost"), "src", "dst").alias("e"))
+        best = ends.groupBy("node").agg(F.min("e").alias("e"))
+        pairs = best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.*")
+        pairs = cut(pairs.withColumn("parent", F.monotonically_increasing_id() + first))
+        if (top := pairs.agg(F.max("parent")).first()[0]) is None:
+            break
+        first = top + 1
+        children = cut(pairs.select(F.explode(F.array("src", "dst")).alias("node"), "parent"))
+        moved = lambda df, c: df.join(children.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("parent", c)).drop("parent")  # noqa: E731, B023
+        stats = cut(moved(stats, "node").groupBy("node").agg(F.sum("size").alias("size"), *[F.sum(x).alias(x) for x in columns]))
+        made = stats.join(pairs.select(F.col("parent").alias("node"), "cost"), "node")
+        born.append(made.select("node", F.col("size").cast("long").alias("size"), "cost", F.lit(number).alias("round")))
+        up.append(children)
+        e = moved(moved(edges, "src"), "dst").where("src <> dst")
+        edges = cut(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    parents = reduce(DataFrame.union, up) if up else born[0].select("node", F.lit(None).cast("long").alias("parent")).limit(0)
+    return reduce(DataFrame.union, born).join(parents, "node", "left").select("node", "parent", "size", "cost", "round")
 
 
 def merge_rounds(stats: DataFrame, edges: DataFrame, costs, rounds: int, columns: list[str]) -> DataFrame:

@@ -1,9 +1,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from regionframe.jobs.inference import grid_edges, regression_trees
+from regionframe.jobs.inference import regression_trees
 from regionframe.jobs.regress import permutation_map
-from regionframe.operators.agglomerate import Regression, agglomerate
+from regionframe.operators.agglomerate import Regression, agglomerate, six_neighbours
 
 
 def test_regression_trees_of_many_subjects_take_each_as_a_row(spark, tmp_path):
@@ -13,7 +13,7 @@ def test_regression_trees_of_many_subjects_take_each_as_a_row(spark, tmp_path):
     rows = [(i, y[i].tolist(), int(x[i])) for i in range(n)]
     d = str(tmp_path)
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
-    edges, design = grid_edges(spark, d), np.column_stack([np.ones(n), x])
+    edges, design = six_neighbours([(v // 16, v // 4 % 4, v % 4) for v in range(64)]), np.column_stack([np.ones(n), x])
     got = regression_trees(spark, d, 1).toPandas().sort_values(["perm", "node"])
     moved = permutation_map(spark.range(n).select(F.col("id").alias("sbj")), 1).toPandas().sort_values("sbj")["taken"].to_numpy()
     for perm, move in ((0, None), (1, moved)):

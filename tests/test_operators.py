@@ -67,7 +67,6 @@ def test_agglomeration_options():
 
 def test_planted_effect_is_found(spark):
     r = np.random.default_rng(3)
-    edges = [(a, b) for a in range(64) for b in range(a) if sum(abs((a // s) % 4 - (b // s) % 4) for s in (1, 4, 16)) == 1]
     truth = {v for v in range(64) if v // 16 < 2 and v // 4 % 4 < 2 and v % 4 < 2}
     x = r.normal(size=(64, 40))
     label = np.arange(40) % 2
@@ -78,9 +77,9 @@ def test_planted_effect_is_found(spark):
         g = label if perm == 0 else r.permutation(label)
         for v in range(64):
             a, b = x[v, g == 0], x[v, g == 1]
-            rows.append((perm, v, float(len(a)), float(a.sum()), float((a**2).sum()), float(len(b)), float(b.sum()), float((b**2).sum())))
-    leaves = spark.createDataFrame(rows, "perm int, node int, n0 double, s0 double, q0 double, n1 double, s1 double, q1 double")
-    t = trees(leaves, edges)
+            rows.append((perm, v, v // 16, v // 4 % 4, v % 4, float(len(a)), float(a.sum()), float((a**2).sum()), float(len(b)), float(b.sum()), float((b**2).sum())))
+    leaves = spark.createDataFrame(rows, "perm int, node int, i int, j int, k int, n0 double, s0 double, q0 double, n1 double, s1 double, q1 double")
+    t = trees(leaves)
     got = inference(t, 0.05).where("significant").select("node").collect()
     below = {}
     for c in closure(t.where("perm = 0").select("node", "parent")).collect():
@@ -205,3 +204,85 @@ def test_streamed_moments_are_the_batch_s(spark, tmp_path):
     want = {(r.h, r.event_type): (r.n, round(r.s, 6)) for r in e.groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.count("value").alias("n"), F.sum("value").alias("s")).collect()}
     last = max(k[0] for k in want)
     assert got and all(want[k] == v for k, v in got.items()) and all(k in got or (last - k[0]).total_seconds() <= 3 * 3600 for k in want)
+
+
+def test_trees_of_two_features_against_brute_force():
+    """Greedy merges by determinants recomputed from the values themselves; ties and a forest."""
+    from regionframe.operators.agglomerate import TwoGroupsOf, six_neighbours
+
+    points = [(i, j, 0) for i in range(3) for j in range(2)] + [(9, 0, 0), (9, 1, 0)]
+    r = np.random.default_rng(11)
+    x, group = r.normal(size=(len(points), 12, 2)), np.arange(12) % 2
+    x[1] = x[0]  # equal costs
+    rows = []
+    for v in range(len(points)):
+        row = []
+        for g in (0, 1):
+            y = x[v, group == g]
+            row += [len(y), *y.sum(0), *(y.T @ y).ravel()]
+        rows.append(row)
+    edges = six_neighbours(points)
+    got = agglomerate(np.array(rows, float), edges, TwoGroupsOf(2))
+
+    def det(voxels):
+        values, c, n = x[sorted(voxels)], 0, 0
+        for g in (0, 1):
+            y = values[:, group == g].reshape(-1, 2)
+            c, n = c + len(y) * np.cov(y.T, ddof=0), n + len(y)
+        return float(np.linalg.det(c / n)) * len(voxels)
+
+    regions, parent, links = {v: {v} for v in range(len(points))}, {}, {frozenset(e) for e in edges}
+    alive, number = set(regions), len(points)
+    while links:
+        costs = sorted((det(regions[a] | regions[b]) - det(regions[a]) - det(regions[b]), a, b) for a, b in (sorted(e) for e in links))
+        near = [c for c in costs if c[0] < costs[0][0] + 1e-12]
+        _, a, b = min(near, key=lambda c: c[1:])
+        regions[number] = regions[a] | regions[b]
+        parent[a] = parent[b] = number
+        alive = alive - {a, b} | {number}
+        links = {frozenset(number if z in (a, b) else z for z in e) for e in links}
+        links = {e for e in links if len(e) == 2}
+        number += 1
+    assert [g[1] for g in got] == [parent.get(v) for v in range(number)] and sum(g[1] is None for g in got) == 2
+    whole = x[:6].transpose(1, 0, 2)
+    a, b = (whole[group == g].reshape(-1, 2) for g in (0, 1))
+    pooled = (len(a) * np.cov(a.T, ddof=0) + len(b) * np.cov(b.T, ddof=0)) / (len(a) + len(b))
+    d = b.mean(0) - a.mean(0)
+    top = next(g for g in got if g[1] is None and g[2] == 6)
+    assert top[3] == pytest.approx(d @ np.linalg.inv(pooled) @ d * len(a) * len(b) / (len(a) + len(b)))
+
+
+def test_merge_tree_merges_what_is_cheapest_for_both(spark):
+    """The distributed loop on a path of four and one of two: a forest, children below parents, sums of sizes."""
+    from pyspark.sql import functions as F
+
+    from regionframe.operators.agglomerate import merge_tree
+
+    stats = spark.createDataFrame([(i, 1, float(v)) for i, v in enumerate((0, 1, 10, 11.5, 50, 50))], "node int, size int, s double")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "src int, dst int")
+
+    def costs(s, e):
+        side = lambda k: s.select(F.col("node").alias(k), (F.col("s") / F.col("size")).alias(f"m{k}"))
+        return e.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", F.abs(F.col("msrc") - F.col("mdst")).alias("cost"))
+
+    t = {r.node: r for r in merge_tree(stats, edges, costs, ["s"]).collect()}
+    assert t[0].parent == t[1].parent and t[2].parent == t[3].parent and t[4].parent == t[5].parent and t[t[0].parent]["round"] == 1
+    assert t[t[0].parent].parent == t[t[2].parent].parent and t[t[t[0].parent].parent].size == 4 and sum(r.parent is None for r in t.values()) == 2
+    assert all(r.parent is None or r.parent > r.node for r in t.values()) and len(t) == 10
+
+
+def test_error_rates_and_grids_are_checked(tmp_path, spark):
+    from regionframe.jobs.permutation import alpha_allowed
+    from regionframe.sources.volumes import encode_nifti, read_volumes, same_space, write_file
+
+    alpha_allowed(0.05, 19)
+    with pytest.raises(ValueError):
+        alpha_allowed(0.04, 20)
+    eye = np.eye(4)
+    assert same_space(((2, 3), eye), ((2, 3), eye + 1e-10)) and not same_space(((2, 3), eye), ((2, 3), 2 * eye)) and not same_space(((2, 3), eye), ((3, 2), eye))
+    write_file(f"{tmp_path}", "a.nii.gz", encode_nifti(np.ones((2, 2, 2)), eye))
+    write_file(f"{tmp_path}", "b.nii.gz", encode_nifti(np.ones((2, 2, 2)), 3 * eye))
+    files = spark.createDataFrame([("a", "x", "a.nii.gz"), ("b", "x", "b.nii.gz")], "sbj string, feat string, path string")
+    assert read_volumes(spark, files, [f"{tmp_path}/a.nii.gz"]).count() == 8
+    with pytest.raises(Exception, match="another grid"):
+        read_volumes(spark, files, [str(tmp_path)]).collect()
