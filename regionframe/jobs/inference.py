@@ -13,7 +13,7 @@ from regionframe.jobs.graph import _leaf_stats, neighbour_edges, pair_costs
 from regionframe.jobs.permutation import ALPHA, SEEDS, _split, alpha_allowed, permuted_t2
 from regionframe.jobs.regress import permutation_map
 from regionframe.jobs.trees import last_logf, model_of, null_max, rising, scored
-from regionframe.operators.agglomerate import RegressionSums, TwoGroupsOf, agglomerate, merge_rounds, merge_tree, six_neighbours, trees
+from regionframe.operators.agglomerate import RegressionSums, TwoGroupsOf, agglomerate, merge_rounds, six_neighbours, trees
 from regionframe.operators.clusters import grown_mask, min_variance_mask, tfce
 from regionframe.operators.permute import labelled
 from regionframe.operators.regression import subjects
@@ -74,17 +74,6 @@ p as (select *, (n0 * aa0 + n1 * aa1) / (n0 + n1) as aa, (n0 * bb0 + n1 * bb1) /
 select node, size, round((a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab) * n0 * n1 / (n0 + n1), 5) as t2 from p"""
 
 
-def merged_tree(spark, sf_dir):
-    """The tree of the distributed loop, by its rounds: regions made, and the voxels of the largest."""
-    s = _leaf_stats(spark, sf_dir)
-    t = merge_tree(s, neighbour_edges(spark, sf_dir), lambda st, e: pair_costs(st, e), [c for c in s.columns if c not in ("node", "size")])
-    return t.agg(F.count("*").alias("nodes"), F.count_if(F.col("parent").isNull()).alias("roots"), F.max("size").alias("root_size"), F.count_if(F.col("parent") <= F.col("node")).alias("bad"), F.sum(F.when(F.col("round") > 0, 1)).alias("merges"))
-
-
-QUERIES["merged_tree"] = merged_tree
-ORACLES["merged_tree"] = "with v as (select max(len(embedding)) as v from embeddings) select 2 * v - 1 as nodes, cast(1 as bigint) as roots, cast(v as bigint) as root_size, cast(0 as bigint) as bad, cast(v - 1 as bigint) as merges from v"
-
-
 def inference(all_trees: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(node, parent, size, f, saf, kept, significant) of the observed tree, from every permutation's: the null is computed
     once and gives both the size model and the threshold."""

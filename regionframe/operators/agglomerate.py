@@ -214,15 +214,14 @@ def merge_tree(stats: DataFrame, edges: DataFrame, costs, columns: list[str]) ->
     up, first, number = [], (stats.agg(F.max("node")).first()[0] or 0) + 1, 0
     while True:
         number += 1
-        c = cut(costs(stats, edges))
-        ends = c.select(F.explode(F.array("src", "dst")).alias("node"), F.struct(F.round("cost", 12).alias("cost"), "src", "dst").alias("e"))
+        ends = costs(stats, edges).select(F.explode(F.array("src", "dst")).alias("node"), F.struct(F.round("cost", 12).alias("cost"), "src", "dst").alias("e"))
         best = ends.groupBy("node").agg(F.min("e").alias("e"))
         pairs = best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.*")
         pairs = cut(pairs.withColumn("parent", F.monotonically_increasing_id() + first))
         if (top := pairs.agg(F.max("parent")).first()[0]) is None:
             break
         first = top + 1
-        children = cut(pairs.select(F.explode(F.array("src", "dst")).alias("node"), "parent"))
+        children = pairs.select(F.explode(F.array("src", "dst")).alias("node"), "parent")
         moved = lambda df, c: df.join(children.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("parent", c)).drop("parent")  # noqa: E731, B023
         stats = cut(moved(stats, "node").groupBy("node").agg(F.sum("size").alias("size"), *[F.sum(x).alias(x) for x in columns]))
         made = stats.join(pairs.select(F.col("parent").alias("node"), "cost"), "node")
