@@ -210,7 +210,7 @@ rise as (select perm, size, max(logf) over (partition by perm order by size rows
 med as (select size, quantile_cont(logf, 0.5) as mu from rise group by all),
 dev as (select size, mu, avg(case when isfinite(logf) then abs(logf - mu) end) as sd0 from rise join med using (size) group by all),
 model as (select size, mu, max(sd0) over (order by size desc rows unbounded preceding) as sd from dev),
-saf as (select ns.*, (case when f > 0 then log10(f) else cast('-infinity' as double) end - mu) / nullif(sd, 0) as saf from ns join model using (size))"""
+saf as materialized (select ns.*, (case when f > 0 then log10(f) else cast('-infinity' as double) end - mu) / nullif(sd, 0) as saf from ns join model using (size))"""
 
 QUERIES["null_last_per_size"] = lambda spark, sf_dir: last_logf(node_stats(spark, sf_dir)).select("perm", "size", F.round("logf", 6).alias("logf"))
 ORACLES["null_last_per_size"] = f"with {_MODEL_SQL} select perm, size, round(logf, 6) as logf from last"
@@ -282,9 +282,9 @@ def sig_nodes(spark, sf_dir, level: float = 0.25):
 QUERIES["sig_nodes"] = sig_nodes
 #: The cut by steps: in order of saf a node is picked if no picked one is above, below or at it.
 _CUT_SQL = f"""{_MODEL_SQL}, up_ as (select a.ancestor as node, b.ancestor as above from closure a join closure b using (leaf) where b.ancestor > a.ancestor group by all),
-ranked as (select perm, node, row_number() over (partition by perm order by round(saf, 9) desc, node) as r from saf where saf is not null),
-clash as (select p.perm, p.r, q.r as other from ranked p join ranked q using (perm) join up_ u on (u.node = p.node and u.above = q.node) or (u.node = q.node and u.above = p.node))"""
-CUT_SQL = f"""with recursive {_CUT_SQL}, lists as (select perm, r, list(other) as others from clash group by all),
+ranked as materialized (select perm, node, row_number() over (partition by perm order by round(saf, 9) desc, node) as r from saf where saf is not null),
+clash as materialized (select p.perm, p.r, q.r as other from ranked p join ranked q using (perm) join up_ u on (u.node = p.node and u.above = q.node) or (u.node = q.node and u.above = p.node))"""
+CUT_SQL = f"""with recursive {_CUT_SQL}, lists as materialized (select perm, r, list(other) as others from clash group by all),
 pick(perm, r, picked) as (select perm, cast(0 as bigint), cast([] as bigint[]) from (select distinct perm from ranked) union all
   select p.perm, p.r + 1, case when len(list_intersect(p.picked, coalesce(l.others, cast([] as bigint[])))) = 0 then list_append(p.picked, p.r + 1) else p.picked end
   from pick p join ranked n on n.perm = p.perm and n.r = p.r + 1 left join lists l on l.perm = p.perm and l.r = p.r + 1),
