@@ -10,7 +10,8 @@ never all its pairs: the one that shares sketches with the most others, such as
 buckets still hold several classes after the stars are verified, each takes another centre, by an order of its own, and the members of
 other classes than the centre's are verified against that. What is then left in buckets of several classes is joined
 exactly: an alignment matches at most the labelled shingles that both texts have, so two similar texts share one of their
-rarest (prefix filter), and each such pair of different classes is verified. Everything is joined and counted by keys; no
+rarest (prefix filter), and each such pair of different classes is verified. No pair is verified whose parities of labels
+differ in more places than similar texts can. Everything is joined and counted by keys; no
 group but a text's own shingles is gathered.
 """
 
@@ -18,11 +19,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionframe.llm.shared import Stages, staged, table, text_of
@@ -160,9 +163,31 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["version"], pa.array(nodes, pa.binary()), pa.array(sk, pa.list_(pa.int64()))], names=["doc_id", "version", "node", "sketches"])
 
 
+BITS = ["b0", "b1", "b2", "b3"]
+ROWS = "node binary, shingles binary, n int, b0 long, b1 long, b2 long, b3 long"
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of how many labelled shingles it stands for: labels that two texts share cancel, so their
+    bits differ in no more places than the texts have labels of one of them alone."""
+    odd = np.bincount((labelled(h) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b["node"], pa.array([shingles(t.as_py()).astype(np.uint32).tobytes() for t in b["text"]], pa.binary())], names=["node", "shingles"])
+        got = [shingles(t.as_py()).astype(np.uint32) for t in b["text"]]
+        bits = np.array([parities(x.astype(np.uint64)) for x in got], np.int64).reshape(-1, len(BITS))
+        columns = [b["node"], pa.array([x.tobytes() for x in got], pa.binary()), pa.array([len(x) for x in got], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, bits.T)], names=["node", "shingles", "n", *BITS])
+
+
+def alike(one: str, two: str) -> Column:
+    """Whether texts with these prefixes of n and BITS can be similar: those that are have at most n1 + n2 - 2 * least labels
+    of one of them alone."""
+    total = F.col(f"{one}n") + F.col(f"{two}n")
+    apart = reduce(add, [F.bit_count(F.col(f"{one}{x}").bitwiseXOR(F.col(f"{two}{x}"))) for x in BITS])
+    return apart <= total - 2 * F.ceil(total * (SIMILAR / (1 + SIMILAR)) - 1e-9)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +204,12 @@ def verified(pairs: DataFrame, shingle_rows: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(_verify, "a binary, b binary")
 
 
+def screened(pairs: DataFrame, shingle_rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be similar by their lengths and parities, before any shingle is moved."""
+    of = lambda k: shingle_rows.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("n", *BITS)])
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(alike("a_", "b_")).select("a", "b")
+
+
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for node, x in zip(b["node"], b["shingles"], strict=True):
@@ -192,23 +223,31 @@ def rare_pairs(nodes: DataFrame, shingle_rows: DataFrame, stage) -> DataFrame:
     Similar texts of n1 <= n2 labelled shingles have least = SIMILAR / (1 + SIMILAR) * (n1 + n2) in common, so in any one
     order they share a label among the first n - least + 1 of each; the order is rarest first. A label at place p of n
     thus serves for partners of n2 <= (n - p + 1) * (1 + SIMILAR) / SIMILAR - n shingles, its reach. Labels of a single
-    text come first and are never joined. Classes meet before their nodes do, so copies of one text make no pairs.
+    text come first and are never joined. Classes meet before their nodes do, so copies of one text make no pairs; nodes
+    meet only if their parities allow it.
     """
-    labels = stage(nodes.select("node").join(shingle_rows, "node").mapInArrow(_labels, "node binary, n int, label long"), "labels")
+    labels = stage(nodes.select("node").join(shingle_rows.select("node", "shingles"), "node").mapInArrow(_labels, "node binary, n int, label long"), "labels")
     often = stage(labels.groupBy("label").agg(F.count("*").alias("f")).where("f > 1"), "label-counts")
     own = Window.partitionBy("node")
     first = labels.join(often, "label").withColumns({"m": F.count("*").over(own), "nth": F.row_number().over(own.orderBy("f", "label"))}).withColumn("p", F.col("n") - F.col("m") + F.col("nth"))
     reach = (F.col("n") - F.col("p") + 1) * ((1 + SIMILAR) / SIMILAR) - F.col("n") + 1e-6
     first = first.withColumn("reach", reach).where(F.col("reach") >= F.col("n") * SIMILAR).join(nodes, "node")
-    first = stage(first.select("label", "node", "class", "n", "reach"), "rare-labels")
-    short = first.where("reach >= n").select("label", *[F.col(c).alias(f"s_{c}") for c in ("class", "node", "n", "reach")])
-    long = first.select("label", *[F.col(c).alias(f"l_{c}") for c in ("class", "node", "n", "reach")])
-    meet = lambda d, k: stage(d.groupBy("label", f"{k}_class").agg(F.min(f"{k}_n").alias(f"{k}_lo"), F.max(f"{k}_n").alias(f"{k}_hi"), F.max(f"{k}_reach").alias(f"{k}_far")), "label-classes")
-    near = meet(short, "s").join(meet(long, "l"), "label").where("s_class <> l_class and s_far >= l_lo and l_far >= s_lo and s_lo <= l_hi")
-    near = stage(near.select("label", "s_class", "l_class"), "class-pairs")
-    pairs = stage(near.join(short, ["label", "s_class"]), "short-ends").join(long, ["label", "l_class"])
-    pairs = pairs.where("s_reach >= l_n and l_reach >= s_n and (s_n < l_n or s_n = l_n and s_node < l_node)")
-    return pairs.select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b")).distinct()
+    columns = ("class", "node", "n", "reach", *BITS)
+    first = stage(first.select("label", "node", "class", "n", "reach").join(shingle_rows.select("node", *BITS), "node").select("label", *columns), "rare-labels")
+    ends = {k: d.select("label", *[F.col(c).alias(f"{k}_{c}") for c in columns]) for k, d in (("s", first.where("reach >= n")), ("l", first))}
+
+    def meet(k: str) -> DataFrame:
+        of = {"lo": F.min(f"{k}_n"), "hi": F.max(f"{k}_n"), "far": F.max(f"{k}_reach"), "many": F.count("*")}
+        return stage(ends[k].groupBy("label", f"{k}_class").agg(*[c.alias(f"{k}_{x}") for x, c in of.items()]), "label-classes")
+
+    near = meet("s").join(meet("l"), "label").where("s_class <> l_class and s_far >= l_lo and l_far >= s_lo and s_lo <= l_hi")
+    near = stage(near.select("label", "s_class", "l_class", F.expr("s_many <= l_many").alias("s_first")), "class-pairs")
+    # the smaller class of two gives its nodes first, so that few rows look up the many of the larger one
+    by_s = stage(near.where("s_first").join(ends["s"], ["label", "s_class"]), "first-ends").join(ends["l"], ["label", "l_class"])
+    by_l = stage(near.where("not s_first").join(ends["l"], ["label", "l_class"]), "first-ends").join(ends["s"], ["label", "s_class"])
+    similar = alike("s_", "l_") & F.expr("s_reach >= l_n and l_reach >= s_n and (s_n < l_n or s_n = l_n and s_node < l_node)")
+    pairs = [d.where(similar).select(F.least("s_node", "l_node").alias("a"), F.greatest("s_node", "l_node").alias("b")) for d in (by_s, by_l)]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def classes(links: DataFrame, stage=staged) -> DataFrame:
@@ -264,9 +303,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = shared.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "row.*"), "node")
     of = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.version") == F.col("w.version"))
     # rows that repeat a document's id and text give equal shingles: one of them is enough
-    rows = d.alias("d").join(wanted.alias("w"), of).select("w.node", "d.text").mapInArrow(_shingle_rows, "node binary, shingles binary")
+    rows = d.alias("d").join(wanted.alias("w"), of).select("w.node", "d.text").mapInArrow(_shingle_rows, ROWS)
     rows = stage(rows.dropDuplicates(["node"]) if repeated(marks) else rows, "shingles")
-    found = classes(stage(verified(pairs, rows), "links"), stage)
+    found = classes(stage(verified(stage(screened(pairs, rows), "screened"), rows), "links"), stage)
     # Buckets that hold several classes: another centre, and the members of other classes against it
     own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, "b", F.coalesce("least", "b").alias("class"))
     order = F.xxhash64("order", "b")
@@ -274,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centre = stage(centre, "centres")
     more = own.join(centre, key).where(F.col("class") != F.col("a_class")).select(*ends).distinct()
     more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = merged(found, stage(verified(more, rows), "links"), stage)
+    found = merged(found, stage(verified(stage(screened(more, rows), "screened"), rows), "links"), stage)
     # Buckets that still do: their nodes of different classes by an exact join
     own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, F.col("b").alias("node"), F.coalesce("least", "b").alias("class"))
     several = stage(own.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key), "several")
@@ -283,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rest = stage(rare_pairs(left, rows, stage).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
         found = merged(found, stage(verified(rest, rows), "links"), stage)
     found = stage(found, "found")
-    stage.drop("nodes", "sizes", "buckets", "stars", "pairs", "shingles", "links", "centres", "several", "left", "labels", "label-counts", "rare-labels", "label-classes", "class-pairs", "short-ends")
+    stage.drop("nodes", "sizes", "buckets", "stars", "pairs", "shingles", "links", "centres", "several", "left", "labels", "label-counts", "rare-labels", "label-classes", "class-pairs", "first-ends", "screened")
     return marks.select("doc_id", "version", "node").join(found, "node", "left").select("doc_id", "version", F.coalesce("least", "node").alias("class_node"))
 
 

@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from regionframe.llm import neardup
-from regionframe.llm.neardup import matched, near_duplicates, shingles, similarity, without_near_duplicates
+from regionframe.llm.neardup import labelled, matched, near_duplicates, shingles, similarity, without_near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, stay_id int"
 
@@ -34,6 +34,23 @@ def test_banded_alignment_is_the_longest_common_subsequence():
         assert similarity(x, y) == (s if s >= 0.8 else 0)
 
 
+def test_parities_never_part_similar_texts():
+    """Bits differ in no more places than the texts have labels of one of them alone, however often a shingle comes."""
+    r, apart = random.Random(8), 0
+    for _ in range(400):
+        a = [r.randint(0, 150) for _ in range(r.randint(1, 300))]
+        b = [x if r.random() < r.choice([0.5, 0.9, 0.97]) else r.randint(0, 150) for x in a]
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        differ = sum(int(v).bit_count() for v in (neardup.parities(x) ^ neardup.parities(y)).view(np.uint64))
+        assert differ <= len(set(labelled(x).tolist()) ^ set(labelled(y).tolist()))
+        least = int(np.ceil((len(a) + len(b)) * 0.8 / 1.8 - 1e-9))
+        if similarity(x.astype(np.uint32), y.astype(np.uint32)) >= 0.8:
+            assert differ <= len(a) + len(b) - 2 * least
+        else:
+            apart += differ > len(a) + len(b) - 2 * least
+    assert apart > 50
+
+
 def corpus(seed=3):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
