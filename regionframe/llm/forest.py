@@ -10,7 +10,8 @@ some queries are compared with every vector, and as many leaves are visited as f
 Largest inner products become nearest vectors by one more component: every vector is filled up to the largest norm.
 
 Equal vectors are one class, indexed once. Leaves make up cells of some thousand vectors; the vectors of a cell (in parts,
-if there are more) and the queries that visit it (likewise) are one group, so a task holds no more than two parts.
+if there are more) and the queries that visit it (likewise) are one group, so a task holds no more than two parts. The
+first tree's cells give each query a bound, below which the other trees' candidates are not handed on.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from regionframe.llm.shared import Stages, table
 
-CELL, PART_QUERIES = 8192, 4096  # vectors and queries of a group, about
+CELL, PART_QUERIES = 16384, 4096  # vectors and queries of a group, about
 SAMPLE_BYTES = 32 << 20  # of the vectors that the trees are fitted on, at most
 TRIALS = 256  # queries that the number of leaves is measured with, at most
 _ROW = pa.schema([("id", pa.int64()), ("tree", pa.int32()), ("leaf", pa.int32())])
@@ -185,7 +186,7 @@ def _best(q: np.ndarray, v: np.ndarray, scores: np.ndarray, keep: int) -> tuple[
     return row, col, products(q[row], v[col])
 
 
-def _scored(dims: int, keep: int):
+def _scored(dims: int, keep: int, bounded: bool = False):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _FOUND.empty_table()
@@ -209,6 +210,9 @@ def _scored(dims: int, keep: int):
                 who, end = np.flatnonzero(visited[:, n]), starts[n + 1] if n + 1 < len(starts) else len(v)
                 if len(who):
                     scores[who, start:end] = q[who] @ v[start:end].T
+            if bounded:  # what falls short of as many as are wanted, by more than rounding
+                bound = part.column("bound").to_numpy()[:, None]
+                scores[scores < bound - 1e-9 * np.abs(bound)] = -np.inf
             row, col, score = _best(q, v, scores, keep)
             out.append(pa.table([part.column("id").to_numpy()[row], ids[col], score], schema=_FOUND))
         return pa.concat_tables(out)
@@ -293,8 +297,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 4,
     left = placed.join(cells, ["tree", "cell"]).select("id", "tree", "cell", "leaf", one("parts").alias("part"), every("lots").alias("lot")).join(classes.select("id", "v"), "id")
     right = visits.join(cells, ["tree", "cell"]).select("id", "tree", "cell", "leaves", one("lots").alias("lot"), every("parts").alias("part")).join(asked, "id")
     group = ["tree", "cell", "part", "lot"]
-    found = left.groupBy(group).cogroup(right.groupBy(group)).applyInArrow(_scored(forest.dims, k + 1), _FOUND_SQL)
-    found = stage(_merged(found, k), "found")
+    meet = lambda l, r, **how: l.groupBy(group).cogroup(r.groupBy(group)).applyInArrow(_scored(forest.dims, k + 1, **how), _FOUND_SQL)
+    found = stage(_merged(meet(left.where("tree = 0"), right.where("tree = 0")), k), "first")
+    if len(forest.turns) > 1:  # the other trees' cells give what is no worse than what the first tree has given already
+        bounds = found.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bound"))
+        rest = right.where("tree > 0").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        found = stage(_merged(found.unionByName(meet(left.where("tree > 0"), rest, bounded=True)), k), "found")
 
     least = min(k + 1, count)
     short = asked.join(found.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least), "id", "left_anti")
