@@ -1,9 +1,10 @@
 """Source divergence audit by chunk factorization.
 
-Chunks between ASCII white space are counted in each document and added up in its task; each globally distinct chunk is
-tokenized once; its terms are joined back to the chunks' counts, and occurrences and distinct documents are aggregated
-by term. Documents meet a term only where that is open: a chunk found in `least` documents or more proves its terms, so
-only rarer chunks, which list all their documents, take part in counting distinct ones.
+Chunks between ASCII white space are counted in each document and added up over a batch of documents; one shuffle brings the
+counts of a chunk together, where each globally distinct chunk is tokenized once and its terms are joined to its counts;
+occurrences and distinct documents are then aggregated by term. Documents meet a term only where that is open: a chunk
+found in `least` documents or more proves its terms, rarer chunks list their documents, and these are counted for the
+terms that no chunk proves.
 
 What is shuffled is counts by (lang, source, chunk), never a row a document and term. A hot source, language or chunk is
 added up before every shuffle.
@@ -17,88 +18,127 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionframe.llm.shared import Stages, table, text_of
 
-KEPT_CHUNKS = 400_000  # of a task; then they are handed on and counted anew
+TEXT_BYTES = 32 << 20  # of the texts that are counted together, about; a longer one by itself
 CELLS = 1_000_000  # of a block of terms by sources
 SCALE = 1_000_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("occurrences", pa.int64()), ("docs", pa.int64()), ("rows", pa.list_(pa.int64()))])
-_COUNTS_SQL = "lang string, source string, chunk string, occurrences long, docs long, rows array<bigint>"
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("occurrences", pa.int64()), ("docs", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+_COUNTS_SQL = "lang string, source string, chunk string, occurrences long, docs int, low long, high long"
+_TERMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int32()), ("sure", pa.bool_()), ("low", pa.int64()), ("high", pa.int64())])
+_TERMS_SQL = "lang string, source string, term string, count long, docs int, sure boolean, low long, high long"
+
+
+def slices(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of a text column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, end - at)
+        at = end
+
+
+def counted(b: pa.RecordBatch, first_row: int, least: int) -> pa.RecordBatch:
+    """The counts (_COUNTS) of a batch (lang, source, text) whose rows are numbered from first_row on."""
+    groups = [pa.DictionaryArray.from_arrays(*_codes(b.column(c))) for c in ("lang", "source")]
+    group = groups[0].indices.to_numpy().astype(np.int64) * len(groups[1].dictionary) + groups[1].indices.to_numpy()
+    names, group = np.unique(group, return_inverse=True)
+    lists = pc.ascii_split_whitespace(b.column("text"))
+    doc, chunks = pc.list_parent_indices(lists).to_numpy().astype(np.int64), lists.flatten()
+    some = pc.not_equal(chunks, "")
+    doc, chunks = doc[some.to_numpy(zero_copy_only=False)], chunks.filter(some).dictionary_encode()
+    size = max(1, len(chunks.dictionary))
+    # a document's chunks, then the chunks of a group: documents ascend within, so the first and the last are its ends
+    pair, times = np.unique(doc * size + chunks.indices.to_numpy(), return_counts=True)
+    doc, code = pair // size, pair % size
+    key = code * len(names) + group[doc]
+    order = np.argsort(key, kind="stable")
+    key, doc, times = key[order], doc[order], times[order]
+    start = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[start, len(key)])
+    occurrences = np.add.reduceat(times, start) if len(start) else np.zeros(0, np.int64)
+    last = start + many - 1
+    code, at = key[start] // len(names), key[start] % len(names)
+    # the groups themselves, which may have no chunk
+    at, none = np.r_[at, np.arange(len(names))], np.zeros(len(names), np.int64)
+    chunk = pa.concat_arrays([chunks.dictionary.take(pa.array(code)), pa.array([""] * len(names), pa.string())])
+    listed = np.r_[(many < least), none > 0]
+    low, high = (pa.array(np.r_[doc[x] + first_row, none], mask=~listed) for x in (start, last))
+    lang, source = names[at] // len(groups[1].dictionary), names[at] % len(groups[1].dictionary)
+    return pa.record_batch([groups[0].dictionary.take(pa.array(lang)), groups[1].dictionary.take(pa.array(source)), chunk, pa.array(np.r_[occurrences, none]), pa.array(np.minimum(np.r_[many, none], least).astype(np.int32)), low, high], schema=_COUNTS)
+
+
+def _codes(a: pa.Array) -> tuple[pa.Array, pa.Array]:
+    d = a.dictionary_encode()
+    return d.indices, d.dictionary
 
 
 def _count(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(r"[^\x09-\x0D\x20]+").findall
         row = TaskContext.get().partitionId() << 40
-        found: dict[tuple[str, str], dict[str, list]] = {}
-        held = 0
-
-        def told() -> Iterator[pa.RecordBatch]:
-            for (lang, source), chunks in found.items():
-                chunks.setdefault("", [0, 0, []])  # the group itself, which may have no chunk
-                items = list(chunks.items())
-                for at in range(0, len(items), 50_000):
-                    part = items[at : at + 50_000]
-                    n = len(part)
-                    yield pa.record_batch([pa.array([lang] * n), pa.array([source] * n), pa.array([k for k, _ in part]), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64()), pa.array([v[2] if v[1] < least else [] for _, v in part], _COUNTS.field("rows").type)], schema=_COUNTS)
-
         for b in batches:
-            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                row += 1
-                chunks = found.setdefault((lang, source), {})
-                before = len(chunks)
-                for chunk, n in Counter(find(text)).items():
-                    if (entry := chunks.get(chunk)) is None:
-                        chunks[chunk] = [n, 1, [row]]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
-                        if entry[1] < least:
-                            entry[2].append(row)
-                held += len(chunks) - before
-                if held > KEPT_CHUNKS:
-                    yield from told()
-                    found, held = {}, 0
-        yield from told()
+            for part in slices(b, "text", TEXT_BYTES):
+                made = counted(part, row, least)
+                row += part.num_rows
+                for at in range(0, made.num_rows, 100_000):
+                    yield made.slice(at, 100_000)
 
     return run
 
 
 def chunk_counts(docs: DataFrame, least: int = 3) -> DataFrame:
-    """(lang, source, chunk, occurrences, docs, rows): what each task has counted, several rows a chunk; rows numbers the
-    documents where they are fewer than `least`. Every (lang, source) has the empty chunk, which counts nothing."""
+    """(lang, source, chunk, occurrences, docs, low, high): what was counted in some documents, several rows a chunk; docs ends at
+    `least`, and fewer documents than that are listed, being two at most: low and high. Every (lang, source) has the empty
+    chunk, which counts nothing."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return docs.select(empty("lang"), empty("source"), text_of().alias("text")).mapInArrow(_count(least), _COUNTS_SQL)
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by term instead of by chunk; a chunk's rows follow each other, so each is tokenized once. The empty chunk's term is
+    the empty one, which no other chunk has."""
     find, lower = re.compile(TERM).findall, {c: c + 32 for c in range(65, 91)}
-    schema = pa.schema([("chunk", pa.string()), ("term", pa.string()), ("times", pa.int64())])
+    chunk, terms = None, []
     for b in batches:
-        rows = [(c, t, n) for c in b.column("chunk").to_pylist() for t, n in Counter(x.translate(lower) for x in find(c)).items()]
-        yield pa.record_batch([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, times): the terms of each distinct chunk."""
-    return chunks.select("chunk").distinct().mapInArrow(_tokenize, "chunk string, term string, times long")
-
-
-def kept_terms(counts: DataFrame, terms: DataFrame, least: int) -> DataFrame:
-    """(lang, term) of the terms in at least `least` documents of a language."""
-    docs = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    sure = docs.where(F.col("docs") >= least).join(terms, "chunk").select("lang", "term", F.lit(True).alias("sure"), F.lit(None).cast("long").alias("row"))
-    rare = counts.where("docs > 0").join(docs.where(F.col("docs") < least).select("lang", "chunk"), ["lang", "chunk"])
-    rare = rare.select("lang", "chunk", F.explode("rows").alias("row")).join(terms, "chunk").select("lang", "term", F.lit(False).alias("sure"), "row")
-    each = sure.unionByName(rare).groupBy("lang", "term", "row").agg(F.max("sure").alias("sure"))
-    found = each.groupBy("lang", "term").agg(F.max("sure").alias("sure"), F.count("row").alias("docs"))
-    return found.where(F.col("sure") | (F.col("docs") >= least)).select("lang", "term")
+        row, term, times = [], [], []
+        for n, c in enumerate(b.column("chunk").to_pylist()):
+            if c != chunk:
+                found = [""] if not c else [x if x.islower() and x.isascii() else x.translate(lower) for x in find(c)]
+                chunk, terms = c, [(found[0], 1)] if len(found) == 1 else list(Counter(found).items())
+            for t, k in terms:
+                row.append(n)
+                term.append(t)
+                times.append(k)
+        at = pa.array(row, pa.int64())
+        of = lambda c: b.column(c).take(at)  # noqa: E731, B023
+        count = pc.multiply(of("occurrences"), pa.array(times, pa.int64()))
+        yield pa.record_batch([of("lang"), of("source"), pa.array(term, pa.string()), count, of("docs"), of("sure"), of("low"), of("high")], schema=_TERMS)
+
+
+def term_counts(counts: DataFrame, least: int) -> DataFrame:
+    """(lang, source, term, count, docs, sure, low, high) of each chunk's terms: sure where `least` documents of the language have
+    the chunk; docs, low and high as in chunk_counts()."""
+    each = counts.repartition("chunk").groupBy("chunk", "lang", "source")
+    each = each.agg(F.sum("occurrences").alias("occurrences"), F.least(F.sum("docs"), F.lit(least)).cast("int").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    sure = F.sum("docs").over(Window.partitionBy("chunk", "lang")) >= least
+    return each.withColumn("sure", sure).mapInArrow(_tokenize, _TERMS_SQL)
+
+
+def kept_terms(terms: DataFrame, totals: DataFrame, least: int) -> DataFrame:
+    """(lang, term, lang_count) of the terms in at least `least` documents of a language."""
+    open_ = totals.where((~F.col("sure")) & (F.col("docs") >= least)).select("lang", "term")
+    rows = terms.where("not sure").join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("low", "high")).alias("row"))
+    proved = rows.groupBy("lang", "term", "row").agg(F.lit(1).alias("one")).groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    all_ = totals.join(proved.select("lang", "term", F.lit(True).alias("proved")), ["lang", "term"], "left")
+    return all_.where(F.col("sure") | F.col("proved")).select("lang", "term", "lang_count")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -138,7 +178,7 @@ def divergence(docs: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank): how the sources of a language differ in their use of its terms.
 
     docs: (text, lang, source); nulls are the empty string. Terms are runs of ASCII letters and of characters above U+007F,
-    A to Z in lower case. A language keeps the terms that `least` of its documents have; a row is a document, repeated rows
+    A to Z in lower case. A language keeps the terms that `least` (1 to 3) of its documents have; a row is a document, repeated rows
     are documents each, doc_id is not read. A group's share of a kept term is p = 1 + floor(10^9 (count + 1) / (N + V)); V
     counts the kept terms, N the group's occurrences of them; all integers, exactly. Part `pair` has for every two sources
     of a language the sum of floor((p - q)^2 / q) over its kept terms, 0 without one; part `term` the `most` terms of a
@@ -146,31 +186,37 @@ def divergence(docs: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     source that is alone in its language has no pair; an empty table gives no row; other columns are not read. A very long
     text or chunk is counted whole, in the memory of its task.
     """
+    if not 1 <= least <= 3:
+        raise ValueError("least is 1, 2 or 3: a chunk lists no more than two documents")
     stage = Stages(docs.sparkSession, "divergence")
-    counts = stage(chunk_counts(docs, least), "counts")
-    terms = stage(chunk_terms(counts.where("chunk <> ''")), "terms")
-    kept = stage(kept_terms(counts, terms, least), "kept")
-    by_chunk = counts.groupBy("lang", "source", "chunk").agg(F.sum("occurrences").alias("occurrences"))
-    used = by_chunk.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("occurrences") * F.col("times")).alias("count"))
-    used = stage(used.join(kept, ["lang", "term"], "left_semi"), "used")
-
-    totals = used.groupBy("lang", "source").agg(F.sum("count").alias("n"))
+    made = stage(term_counts(chunk_counts(docs, least), least), "terms")
+    groups, terms = made.where("term = ''").select("lang", "source"), made.where("term <> ''")
+    each = terms.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.least(F.sum("docs"), F.lit(least)).cast("int").alias("docs"), F.max("sure").alias("sure"))
+    each = stage(each, "each")
+    totals = stage(each.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs"), F.max("sure").alias("sure")), "totals")
+    kept = stage(kept_terms(terms, totals, least), "kept")
+    groups = stage(groups, "sources")
+    stage.drop("terms", "totals")
+    used = stage(each.select("lang", "source", "term", "count").join(kept, ["lang", "term"]), "used")
+    stage.drop("each")
+
+    sizes = used.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(vocabulary, "lang", "left").fillna(0, ["n", "v"])
+    groups = groups.join(sizes, ["lang", "source"], "left").join(vocabulary, "lang", "left").fillna(0, ["n", "v"])
     groups = stage(groups, "groups")
     langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.count("*").alias("sources"))
+    known = stage(groups.join(langs, "lang"), "known")
 
-    whole = used.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"))
-    shares = used.join(groups, ["lang", "source"]).join(langs, "lang").withColumn("p", _share(F.col("count"), F.col("n"), F.col("v")))
+    shares = used.join(known, ["lang", "source"]).withColumn("p", _share(F.col("count"), F.col("n"), F.col("v")))
     value = _div((F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q"))
-    above = shares.join(whole, ["lang", "term"]).withColumn("q", _share(F.col("lang_count"), F.col("lang_n"), F.col("v"))).where("p > q")
+    above = shares.withColumn("q", _share(F.col("lang_count"), F.col("lang_n"), F.col("v"))).where("p > q")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
     best = ranked(above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), value.alias("value"))).where(F.col("rank") <= most)
 
     blocks = F.ceil(F.col("v") * F.col("sources") / F.lit(CELLS)).cast("int")
     left = shares.where("sources > 1").select("lang", F.pmod(F.xxhash64("term"), blocks.cast("long")).cast("int").alias("block"), "source", "term", "p")
-    right = groups.join(langs, "lang").where("v > 0 and sources > 1").withColumn("p", _share(F.lit(0), F.col("n"), F.col("v")))
+    right = known.where("v > 0 and sources > 1").withColumn("p", _share(F.lit(0), F.col("n"), F.col("v")))
     right = right.select("lang", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "source", "p")
     sums = left.groupBy("lang", "block").cogroup(right.groupBy("lang", "block")).applyInArrow(_pair_sums, "lang string, source string, item string, value long")
     sums = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -41,29 +41,27 @@ def rows():
     return d + d[:3]  # repeated rows are documents
 
 
-@pytest.mark.parametrize(("least", "most", "kept", "cells"), [(3, 200, 400_000, 1_000_000), (3, 4, 5, 20), (1, 200, 400_000, 100), (5, 200, 50, 50)])
-def test_against_brute_force(spark, monkeypatch, least, most, kept, cells):
+@pytest.mark.parametrize(("least", "most", "parts", "cells"), [(3, 200, 4, 1_000_000), (3, 4, 40, 20), (1, 200, 4, 100), (2, 200, 16, 50)])
+def test_against_brute_force(spark, monkeypatch, least, most, parts, cells):
     monkeypatch.setattr(module, "CELLS", cells)
     d = rows()
-    docs = spark.createDataFrame(d, SCHEMA).repartition(4)
-    if kept < 1000:  # tasks import the module themselves, so the limit is a default of theirs; many tasks hand on as often
-        docs = docs.repartition(16)
+    docs = spark.createDataFrame(d, SCHEMA).repartition(parts)
     got = sorted(tuple(r[c] for c in ("lang", "source", "part", "item", "value", "rank")) for r in divergence(docs, least, most).collect())
     assert got == brute(d, least, most)
 
 
-def test_tasks_hand_on_what_they_hold(monkeypatch):
+def test_batches_are_counted_in_slices():
     import pyarrow as pa
 
-    monkeypatch.setattr(module, "KEPT_CHUNKS", 2)
-    monkeypatch.setattr(module.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 1})()))
-    batch = pa.record_batch([pa.array(["l"] * 3), pa.array(["s"] * 3), pa.array(["a b c", "a a", ""])], names=["lang", "source", "text"])
-    got = [tuple(r.values()) for b in module._count(2)([batch]) for r in b.to_pylist()]
-    first = 1 << 40
-    assert got == [("l", "s", "a", 1, 1, [first + 1]), ("l", "s", "b", 1, 1, [first + 1]), ("l", "s", "c", 1, 1, [first + 1]), ("l", "s", "", 0, 0, []), ("l", "s", "a", 2, 1, [first + 2]), ("l", "s", "", 0, 0, [])]
+    batch = pa.record_batch([pa.array(["l", "l", "l", "m"]), pa.array(["s"] * 4), pa.array(["a b  a", " a\x0bb", "a\u00a0b", None])], names=["lang", "source", "text"])
+    assert [x.num_rows for x in module.slices(batch, "text", 6)] == [1, 1, 2] and [x.num_rows for x in module.slices(batch, "text", 1)] == [1, 1, 1, 1]
+    got = sorted(tuple(r.values()) for r in module.counted(batch.set_column(2, "text", batch.column("text").fill_null("")), 10, 3).to_pylist())
+    assert got == [("l", "s", "", 0, 0, None, None), ("l", "s", "a", 3, 2, 10, 11), ("l", "s", "a\u00a0b", 1, 1, 12, 12), ("l", "s", "b", 2, 2, 10, 11), ("m", "s", "", 0, 0, None, None)]
 
 
 def test_nothing(spark):
     assert divergence(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        divergence(spark.createDataFrame([], SCHEMA), 4)
     one = [(1, None, "en", "a", None, None, None, None, None), (2, "w", "en", "b", None, None, None, None, None)]
     assert sorted(map(tuple, divergence(spark.createDataFrame(one, SCHEMA)).collect())) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
