@@ -69,6 +69,19 @@ def accumulate(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return scores
 
 
+def best_of(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the `keep` highest scores of each row; equal scores at the end of them in order of the columns. The
+    selection gives the score that is kept last; what is above it is taken, and of its equals the first ones."""
+    if keep >= scores.shape[1]:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    last = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep, None]
+    above, equal = scores > last, scores == last
+    room = keep - above.sum(1, keepdims=True)
+    many = np.flatnonzero(equal.sum(1) > room[:, 0])  # few rows have ties to settle
+    equal[many] &= np.cumsum(equal[many], axis=1) <= room[many]
+    return np.nonzero(above | equal)
+
+
 def _score(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -84,11 +97,7 @@ def _score(k: int):
                     scores = accumulate(all_q[at : at + QUERIES], c)
                     own = q_ids[:, None] == c_ids[None, :]
                     keep = min(n, k + int(own.sum(1).max(initial=0)))
-                    # of equal scores the smaller id is earlier in the block, so that (score, place) has no ties
-                    key = scores * n + (n - 1 - np.arange(n))
-                    best = np.argpartition(-key, keep - 1, axis=1)[:, :keep] if keep < n else np.tile(np.arange(n), (len(q_ids), 1))
-                    rows = np.repeat(np.arange(len(q_ids)), best.shape[1])
-                    cols = best.ravel()
+                    rows, cols = best_of(scores, keep)
                     ok = ~own[rows, cols]
                     rows, cols = rows[ok], cols[ok]
                     yield pa.record_batch([pa.array(q_ids[rows]), pa.array(c_ids[cols]), pa.array(scores[rows, cols])], schema=schema)

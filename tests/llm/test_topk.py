@@ -42,3 +42,24 @@ def test_few_and_none(spark):
     d = quantised(spark.createDataFrame([(0, [1.0], 0, None, None, None), (1, [1.0], 0, None, None, None)], SCHEMA))
     assert [tuple(r) for r in top_k(d, d.where("vec_id = 0")).collect()] == [(0, 1, 1, 65536)]
     assert top_k(d, d.where("false")).count() == 0 and top_k(d.where("vec_id = 0"), d.where("vec_id = 0")).count() == 0
+
+
+def test_selection_of_large_scores_and_ties():
+    r = np.random.default_rng(3)
+    for top in (3, 2**62):
+        scores = r.integers(-top, top, (40, 300))
+        for keep in (1, 7, 299, 300, 400):
+            rows, cols = topk.best_of(scores, keep)
+            want = [(n, int(c)) for n, row in enumerate(scores) for c in np.lexsort((np.arange(300), [-int(x) for x in row]))[:keep]]
+            assert sorted(zip(rows.tolist(), cols.tolist(), strict=True)) == sorted(want)
+
+
+def test_components_of_fifty_thousand_and_whole_blocks(spark):
+    """Scores near 10^16 in blocks of 4096, and very long vectors."""
+    rows = [(i, [46875.0] * 8 if i % 1000 == 0 else [100.0 * (i % 2500) + (i % 3)] * 8, 1, None, None, None) for i in range(5000)]
+    v = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = sorted(map(tuple, top_k(quantised(v), quantised(v).where("vec_id % 500 = 0")).collect()))
+    assert got == brute(rows, 500, 5) and max(s for *_, s in got) > 2.25e15
+    long = [(i, [float(i + d % 5) for d in range(20_000)], 1, None, None, None) for i in range(4)]
+    v = quantised(spark.createDataFrame(long, SCHEMA))
+    assert sorted(map(tuple, top_k(v, v.where("vec_id = 2"), 3).collect())) == brute(long, 2, 3)[-3:]
