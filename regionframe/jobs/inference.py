@@ -118,24 +118,26 @@ def regression_sums(spark, sf_dir, seeds: int, voxels: int) -> DataFrame:
 
 
 def regression_trees(spark, sf_dir, seeds: int) -> DataFrame:
-    """The merge trees of the regression on bias and covariate: one permutation a task, from sums over every subject. A task
-    holds voxels x voxels cross sums, whatever the number of subjects."""
+    """The merge trees of the regression on bias and covariate by the greedy rule: one permutation a task, from sums over every
+    subject. A task holds voxels x voxels cross sums, whatever the number of subjects; jobs/rounds.py has the form that
+    holds none."""
     voxels = (cube1(spark, sf_dir).agg(F.max("pos")).first()[0] or 0) + 1
     sums = cut(regression_sums(spark, sf_dir, seeds, voxels))
-    products = np.zeros((voxels + 2, voxels + 2))
-    of = sums.where("perm = -1").toPandas()
-    products[of["a"], of["b"]] = of["v"]
-    grid = {r.pos: (r.i, r.j, r.k) for r in cube1(spark, sf_dir).select("pos", "i", "j", "k").distinct().collect()}  # as large as a row of products
-    edges = [(a, b) for a, b in six_neighbours([grid.get(p, (-2 * p - 2, 0, 0)) for p in range(voxels)])]
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+    places = cube1(spark, sf_dir).select(F.col("pos").alias("a"), "i", "j", "k").distinct()
+    own = sums.where("perm >= 0").join(places, "a", "left").select(F.col("perm").alias("deal"), F.col("a").alias("voxel"), F.col("v").alias("with_x"), "i", "j", "k")
+    shared = sums.where("perm = -1").select("a", "b", "v").crossJoin(spark.range(seeds + 1).select(F.col("id").cast("int").alias("perm")))
+
+    def one(key: tuple, f: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        f, products = f.sort_values("voxel"), np.zeros((voxels + 2, voxels + 2))
+        products[p["a"], p["b"]] = p["v"]
+        points = [(-2 * a - 2, 0, 0) if pd.isna(i) else (int(i), int(j), int(k)) for a, i, j, k in zip(f["voxel"], f["i"], f["j"], f["k"], strict=True)]
         objective = RegressionSums(products)
-        rows = agglomerate(objective.leaves(f.sort_values("a")["v"].to_numpy(float)), edges, objective)
+        rows = agglomerate(objective.leaves(f["with_x"].to_numpy(float)), six_neighbours(points), objective)
         out = pd.DataFrame(rows, columns=["node", "parent", "size", "stat", "f", "cost"])
         out["parent"] = out["parent"].astype("Int32")
         return out.assign(perm=int(key[0]))[["perm", "node", "parent", "size", "stat", "f", "cost"]]
 
-    return sums.where("perm >= 0").groupBy("perm").applyInPandas(one, "perm int, node int, parent int, size long, stat double, f double, cost double")
+    return own.groupBy("deal").cogroup(shared.groupBy("perm")).applyInPandas(one, "perm int, node int, parent int, size long, stat double, f double, cost double")
 
 
 QUERIES["region_regress"] = lambda spark, sf_dir: inference(regression_trees(spark, sf_dir, SEEDS))
