@@ -71,7 +71,8 @@ def counted(b: pa.RecordBatch, first_row: int, least: int) -> pa.RecordBatch:
     at, none = np.r_[at, np.arange(len(names))], np.zeros(len(names), np.int64)
     chunk = pa.concat_arrays([chunks.dictionary.take(pa.array(code)), pa.array([""] * len(names), pa.string())])
     listed = np.r_[(many < least), none > 0]
-    low, high = (pa.array(np.r_[doc[x] + first_row, none], mask=~listed) for x in (start, last))
+    two = np.r_[(many > 1) & (many < least), none > 0]
+    low, high = (pa.array(np.r_[doc[x] + first_row, none], mask=~of) for x, of in ((start, listed), (last, two)))
     lang, source = names[at] // len(groups[1].dictionary), names[at] % len(groups[1].dictionary)
     return pa.record_batch([groups[0].dictionary.take(pa.array(lang)), groups[1].dictionary.take(pa.array(source)), chunk, pa.array(np.r_[occurrences, none]), pa.array(np.minimum(np.r_[many, none], least).astype(np.int32)), low, high], schema=_COUNTS)
 
@@ -96,7 +97,7 @@ def _count(least: int):
 
 def chunk_counts(docs: DataFrame, least: int = 3) -> DataFrame:
     """(lang, source, chunk, occurrences, docs, low, high): what was counted in some documents, several rows a chunk; docs ends at
-    `least`, and fewer documents than that are listed, being two at most: low and high. Every (lang, source) has the empty
+    `least`, and fewer documents than that are listed, being two at most: low and, if there are two, high. Every (lang, source) has the empty
     chunk, which counts nothing."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return docs.select(empty("lang"), empty("source"), text_of().alias("text")).mapInArrow(_count(least), _COUNTS_SQL)
@@ -127,15 +128,16 @@ def term_counts(counts: DataFrame, least: int) -> DataFrame:
     """(lang, source, term, count, docs, sure, low, high) of each chunk's terms: sure where `least` documents of the language have
     the chunk; docs, low and high as in chunk_counts()."""
     each = counts.repartition("chunk").groupBy("chunk", "lang", "source")
-    each = each.agg(F.sum("occurrences").alias("occurrences"), F.least(F.sum("docs"), F.lit(least)).cast("int").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+    each = each.agg(F.sum("occurrences").alias("occurrences"), F.least(F.sum("docs"), F.lit(least)).cast("int").alias("docs"), F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"))
     sure = F.sum("docs").over(Window.partitionBy("chunk", "lang")) >= least
-    return each.withColumn("sure", sure).mapInArrow(_tokenize, _TERMS_SQL)
+    listed = {"low": F.when(~F.col("sure"), F.col("low")), "high": F.when(~F.col("sure") & (F.col("high") > F.col("low")), F.col("high"))}
+    return each.withColumn("sure", sure).withColumns(listed).mapInArrow(_tokenize, _TERMS_SQL)
 
 
 def kept_terms(terms: DataFrame, totals: DataFrame, least: int) -> DataFrame:
     """(lang, term, lang_count) of the terms in at least `least` documents of a language."""
     open_ = totals.where((~F.col("sure")) & (F.col("docs") >= least)).select("lang", "term")
-    rows = terms.where("not sure").join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("low", "high")).alias("row"))
+    rows = terms.where("not sure").join(open_, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("low", "high")).alias("row")).where("row is not null")
     proved = rows.groupBy("lang", "term", "row").agg(F.lit(1).alias("one")).groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     all_ = totals.join(proved.select("lang", "term", F.lit(True).alias("proved")), ["lang", "term"], "left")
     return all_.where(F.col("sure") | F.col("proved")).select("lang", "term", "lang_count")
