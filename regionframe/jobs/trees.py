@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import log10_or_neg_inf, safe_div, t2_one
 from regionframe.jobs.permutation import ALPHA, PERM_SQL, SEEDS, _split
+from regionframe.operators.antichain import greedy_cut as greedy_cut_in_rounds
 from regionframe.operators.permute import labelled
 from regionframe.operators.tree import ancestors, closure, greedy_cut
 from regionframe.sources.cube import cube1
@@ -280,6 +281,8 @@ def sig_nodes(spark, sf_dir, level: float = 0.25):
 
 
 QUERIES["sig_nodes"] = sig_nodes
+#: The same cut as cut_greedy, all permutations' trees in shared rounds and none of them in one task.
+QUERIES["cut_rounds"] = lambda spark, sf_dir: greedy_cut_in_rounds(_saf(spark, sf_dir).select("perm", "node", "parent", F.round("saf", 9).alias("saf")), "saf")
 #: The cut by steps: in order of saf a node is picked if no picked one is above, below or at it.
 _CUT_SQL = f"""{_MODEL_SQL}, up_ as (select a.ancestor as node, b.ancestor as above from closure a join closure b using (leaf) where b.ancestor > a.ancestor group by all),
 ranked as materialized (select perm, node, row_number() over (partition by perm order by round(saf, 9) desc, node) as r from saf where saf is not null),
@@ -289,6 +292,6 @@ pick(perm, r, picked) as (select perm, cast(0 as bigint), cast([] as bigint[]) f
   select p.perm, p.r + 1, case when len(list_intersect(p.picked, coalesce(l.others, cast([] as bigint[])))) = 0 then list_append(p.picked, p.r + 1) else p.picked end
   from pick p join ranked n on n.perm = p.perm and n.r = p.r + 1 left join lists l on l.perm = p.perm and l.r = p.r + 1),
 cut_ as (select k.perm, k.node from (select perm, unnest(picked) as r from (select perm, max_by(picked, r) as picked from pick group by perm)) p join ranked k using (perm, r))"""
-ORACLES["cut_greedy"] = f"{CUT_SQL} select perm, node from cut_"
+ORACLES["cut_greedy"] = ORACLES["cut_rounds"] = f"{CUT_SQL} select perm, node from cut_"
 ORACLES["sig_nodes"] = f"""{CUT_SQL}, tops as (select perm, max(saf) as m from saf where perm > 0 group by all)
 select s.node, s.size, round(s.saf, 5) as saf, s.saf >= (select quantile_cont(m, 0.25) from tops) as significant from cut_ join saf s using (perm, node) where perm = 0"""

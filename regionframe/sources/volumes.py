@@ -9,6 +9,7 @@ import gzip
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -79,14 +80,10 @@ def same_space(one: tuple[tuple, np.ndarray], two: tuple[tuple, np.ndarray]) ->
 
 
 def spaces(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, shape, affine) of the files, from their headers."""
+    """(path, shape, affine) of the files, from their headers alone."""
+    from regionframe.sources.datasource import reference_space
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            got = [decode_nifti(bytes(c)) for c in f["content"]]
-            yield pd.DataFrame({"path": f["path"], "shape": [list(v.shape) for v, _ in got], "affine": [a.ravel().tolist() for _, a in got]})
-
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, "path string, shape array<int>, affine array<double>")
+    return reduce(DataFrame.union, [reference_space(spark, p) for p in paths])
 
 
 def read_volumes(spark: SparkSession, files: DataFrame, paths: list[str]) -> DataFrame:
