@@ -152,4 +152,6 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, window: int
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
+    """Every piece of every document, a row each; a null text is its end id alone, repeated rows are packed each, an empty table
+    gives no piece, a very long text fills as many sequences as it needs."""
     return pack(table(spark, sf_dir, "documents"))

@@ -129,6 +129,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, queries_a_block: i
 
 
 def op3_topk(spark, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's five highest scores among all; nulls, repeats, few and no rows as in quantised() and top_k(). A
+    very long vector takes its length times a block's rows; sums beyond 64 bits are not foreseen."""
     from regionframe.llm.shared import table
 
     v = quantised(table(spark, sf_dir, "embeddings"))

@@ -489,4 +489,6 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Every document's tokens; a null text has none, repeated rows are rows, an empty table gives none, a very long text is
+    counted whole, by its chunks."""
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)

@@ -97,4 +97,6 @@ def judged(pages: DataFrame, rules=RULES, max_train: int = 20_000, trees: int =
 
 
 def op8_urls(spark, sf_dir: str) -> DataFrame:
+    """Every page's verdict; a null url has empty parts and is judged by the method, repeated rows alike, a very long url by the
+    same features, an empty table gives no row."""
     return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 6).alias("p_block"))
