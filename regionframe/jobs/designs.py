@@ -70,7 +70,7 @@ def voxel_t2_dependent(spark, sf_dir):
 
 
 QUERIES["voxel_t2_dependent"] = voxel_t2_dependent
-ORACLES["voxel_t2_dependent"] = f"select pos, rank, 0.0 as det, t2, f from ({_t2_sql(2)})"
+ORACLES["voxel_t2_dependent"] = f"select pos, rank, cast(0 as double) as det, t2, f from ({_t2_sql(2)})"
 
 
 def covariates(spark, sf_dir) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import safe_div
 from regionframe.operators.tour import depths, leaves, outermost, roots, subtree_sums, tour
+from regionframe.sources.cut import cut
 from regionframe.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -64,7 +65,7 @@ def forest_biggest_rep(spark, sf_dir):
     tree, values = forest(spark, sf_dir)
     t, d = described(tree, values)
     valid = d.join(values, "node").where(10 * F.col("value") * F.col("leaves") >= TENTHS * F.col("total")).select("node")
-    return outermost(t, valid).where("node = top").select("node")
+    return outermost(t, cut(valid)).where("node = top").select("node")
 
 
 def forest_labels(spark, sf_dir):

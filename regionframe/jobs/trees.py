@@ -292,6 +292,7 @@ pick(perm, r, picked) as (select perm, cast(0 as bigint), cast([] as bigint[]) f
   select p.perm, p.r + 1, case when len(list_intersect(p.picked, coalesce(l.others, cast([] as bigint[])))) = 0 then list_append(p.picked, p.r + 1) else p.picked end
   from pick p join ranked n on n.perm = p.perm and n.r = p.r + 1 left join lists l on l.perm = p.perm and l.r = p.r + 1),
 cut_ as (select k.perm, k.node from (select perm, unnest(picked) as r from (select perm, max_by(picked, r) as picked from pick group by perm)) p join ranked k using (perm, r))"""
-ORACLES["cut_greedy"] = ORACLES["cut_rounds"] = f"{CUT_SQL} select perm, node from cut_"
+ORACLES["cut_greedy"] = f"{CUT_SQL} select perm, node from cut_"
+ORACLES["cut_rounds"] = f"{CUT_SQL} select perm, cast(node as bigint) as node from cut_"
 ORACLES["sig_nodes"] = f"""{CUT_SQL}, tops as (select perm, max(saf) as m from saf where perm > 0 group by all)
 select s.node, s.size, round(s.saf, 5) as saf, s.saf >= (select quantile_cont(m, 0.25) from tops) as significant from cut_ join saf s using (perm, node) where perm = 0"""
