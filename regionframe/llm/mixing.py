@@ -2,9 +2,10 @@
 
 Targets: every source has a share of the whole by its weight, never above three times its size; what is cut off is
 shared again by weight. Each source takes whole epochs, then fits the rest of its budget: documents are counted by exact
-length, a bounded knapsack over those counts says how many of each length to take, and a seeded hash says which. Most of a
-budget is dealt in proportion, so that the knapsack has RESERVE words to fit; where that leaves the sum further from the
-budget than it has to be, the knapsack gets twice as much, and so on up to the whole budget.
+length, a bounded knapsack over those counts says how many of each length to take, and a seeded hash says which. A budget
+is dealt in proportion first; the knapsack then adds and takes back documents, within sums RESERVE from the dealt one.
+Where that leaves the total further from the budget than it has to be, sums twice as far are let in, and so on up to a
+distance that follows from the longest document alone, whatever the budget (see fit()).
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from regionframe.llm.shared import Stages, table
 
 WEIGHTS, MOST = (5, 2, 1), 3
-RESERVE = 1 << 16  # words that the dynamic program fits at first
+RESERVE = 1 << 16  # how far from the dealt sum, in common divisors of the lengths, the dynamic program looks at first
+FURTHEST = 1 << 24  # and at last: its table has two cells of five bytes for each
 
 
 def size_of(text: Column) -> Column:
@@ -47,53 +49,68 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length (ascending, distinct, positive) to take so that their total is as close to the
-    budget as any choice. Totals are multiples of the lengths' common divisor, so a total next to the budget among those
-    is the closest; otherwise the knapsack over all of the budget decides. Of two totals as close the lower one is taken."""
+    budget as any choice.
+
+    All in units of the lengths' common divisor, L the longest length. Dealt in proportion and filled up, the sum is less
+    than L below the budget, so the best total is 0 to 2 L above it. Order what has to be added and taken back so that the
+    running change stays within 0 and 2 L: where it comes to the same value twice, what lies between changes nothing and can
+    be left out. So a best choice needs at most 2 L documents moved, of which the added ones or those taken back are at most
+    L, and no sum further than L * L + 2 L from the dealt one. A total next to the budget ends the search before. Lengths
+    whose L * L + 2 L is above FURTHEST (documents of more than 4,000 divisors) can miss the closest total, if no sum
+    within FURTHEST is next to the budget; then it is the closest within, less than L away.
+    """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    divisor, reserve = int(np.gcd.reduce(lengths)), RESERVE
-    nearest = min(budget % divisor, -budget % divisor)
+    unit = int(np.gcd.reduce(lengths))
+    cells = lengths // unit
+    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    left = budget - int((take * lengths).sum())
+    for i in range(len(lengths) - 1, -1, -1):
+        n = min(int(counts[i] - take[i]), left // int(lengths[i]))
+        take[i] += n
+        left -= n * int(lengths[i])
+    longest = int(cells[-1])
+    nearest, last, far = min(left % unit, -left % unit), min(longest * longest + 2 * longest, FURTHEST), RESERVE
     while True:
-        take = np.zeros(len(lengths), np.int64)
-        left = budget
-        if reserve < budget:
-            take = np.array([int(c) * (budget - reserve) // total for c in counts.tolist()], np.int64)
-            left -= int((take * lengths).sum())
-            for i in range(len(lengths) - 1, -1, -1):
-                if left <= reserve:
-                    break
-                n = min(int(counts[i] - take[i]), (left - reserve) // int(lengths[i]))
-                take[i] += n
-                left -= n * int(lengths[i])
-        take += knapsack(lengths, counts - take, left)
-        if reserve >= budget or abs(int((take * lengths).sum()) - budget) == nearest:
-            return take
-        reserve *= 2
-
-
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """The bounded knapsack: counts of each length whose total is closest to the budget. Bit b of `reach` says that b words
-    can be made; a count is dealt in powers of two, so that few shifts make all its sums. Sums above the budget count too, up
-    to twice of it."""
-    take, reach, every, steps = np.zeros(len(lengths), np.int64), 1, (1 << (2 * budget + 1)) - 1, []
+        far = min(far, last)
+        moved = moves(cells, counts - take, take, left / unit, far)
+        if far == last or abs(int((moved * lengths).sum()) - left) == nearest:
+            return take + moved
+        far *= 2
+
+
+def moves(lengths: np.ndarray, more: np.ndarray, less: np.ndarray, goal: float, far: int) -> np.ndarray:
+    """The bounded knapsack: how many of each length to add (at most `more`) or take back (at most `less`) so that the sum
+    changes by what is closest to `goal` (0 or more), over changes of at most `far`. first[s] is the step that made change s
+    first; the change that it was made from was there before that step, so one number a change leads all the way back. A
+    count is dealt in powers of two, so that few steps make all its sums."""
+    low = min(far, int((less * lengths).sum()))
+    first = np.full(low + min(far, int((more * lengths).sum())) + 1, -1, np.int32)
+    first[low] = 0
+    best, steps = low + math.ceil(goal - 0.5), [(0, 0)]
     for i in range(len(lengths) - 1, -1, -1):
-        n, part = min(int(counts[i]), 2 * budget // int(lengths[i])), 1
-        while n > 0:
-            part = min(part, n)
-            steps.append((i, part, reach))
-            reach |= reach << part * int(lengths[i]) & every
-            n, part = n - part, part * 2
-        if reach >> budget & 1:
-            break
-    below, above = (reach & (1 << (budget + 1)) - 1).bit_length() - 1, reach >> budget
-    over = (above & -above).bit_length() - 1
-    at = budget + over if above and over < budget - below else below
-    for i, part, was in reversed(steps):
-        if not was >> at & 1:
-            take[i] += part
-            at -= part * int(lengths[i])
-    return take
+        for sign, most in ((1, int(more[i])), (-1, int(less[i]))):
+            n, part = min(most, (len(first) - 1) // int(lengths[i])), 1
+            while n > 0 and not (best < len(first) and first[best] >= 0):
+                part = min(part, n)
+                by = part * int(lengths[i])
+                was, now = (first[:-by], first[by:]) if sign > 0 else (first[by:], first[:-by])
+                new = (was >= 0) & (now < 0)
+                now[new] = len(steps)
+                steps.append((i, sign * part))
+                n, part = n - part, part * 2
+    made, at = first >= 0, min(low + math.floor(goal), len(first) - 1)
+    over = at + 1 + (int(np.argmax(made[at + 1 :])) if at + 1 < len(made) else 0)
+    at -= int(np.argmax(made[at::-1]))  # change 0 is made, and not above the goal
+    if over < len(made) and made[over] and over - low - goal < goal - (at - low):
+        at = over
+    out = np.zeros(len(lengths), np.int64)
+    while step := int(first[at]):
+        i, n = steps[step]
+        out[i] += n
+        at -= n * int(lengths[i])
+    return out
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -82,6 +82,39 @@ def test_fit_of_large_budgets():
     assert fit(np.array([70_000, 100_003]), np.array([2, 2]), 240_000).tolist() == [2, 1]
 
 
+def test_memory_follows_the_longest_length_not_the_budget():
+    import tracemalloc
+
+    n = 10**9
+    tracemalloc.start()
+    for budget in (3 * n + n // 2, 3 * n + 1, 7 * n + 5, 7 * n + 10):
+        take = fit(np.array([7, 11]), np.array([n, 1]), budget)
+        total = int(take[0]) * 7 + int(take[1]) * 11
+        best = min(abs(s - budget) for m in (0, 11) for k in (min(n, (budget - m) // 7), min(n, (budget - m) // 7 + 1)) for s in (7 * k + m,))
+        assert abs(total - budget) == best and take[0] <= n and take[1] <= 1
+    # no sum is next to the budget: the search goes to its last distance
+    take = fit(np.array([1500, 1501]), np.array([n, 2]), 1500 * 10**8 + 700)
+    assert abs(int(take @ np.array([1500, 1501])) - (1500 * 10**8 + 700)) == 698
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("reserve", [1, 64])
+def test_fit_of_few_sums_is_closest(monkeypatch, reserve):
+    """Long lengths, few of them: hardly any sum is next to a budget."""
+    monkeypatch.setattr(mixing, "RESERVE", reserve)
+    r = random.Random(5)
+    for _ in range(80):
+        lengths = np.array(sorted(r.sample(range(20, 60), r.randint(1, 3))), np.int64)
+        counts = np.array([r.choice([1, 2, 30]) for _ in lengths], np.int64)
+        budget = r.randint(0, int((lengths * counts).sum()))
+        take, sums = fit(lengths, counts, budget), {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        assert (take >= 0).all() and (take <= counts).all()
+        assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
 def test_empty_and_repeated(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     d = spark.createDataFrame([(1, "a b c", "en", "s", 5, 0, ""), (1, "a b c", "en", "s", 5, 0, ""), (None, None, None, None, None, None, None)], SCHEMA)
