@@ -279,7 +279,8 @@ def merged(found: DataFrame, links: DataFrame, stage) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, class_node) of each row; rows of one class have the same class_node.
+    """(doc_id, version, class_node, links) of each row; rows of one class have the same class_node. links counts the other
+    texts that the row's text was found similar to: the pairs verified, which connect the classes, not every similar pair.
 
     Needs doc_id and text; other columns are left out. Texts with the same words in the same order are one class whatever
     their case, spacing and punctuation; texts without a word are, if they are equal, a null one counting as empty. Texts
@@ -305,7 +306,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # rows that repeat a document's id and text give equal shingles: one of them is enough
     rows = d.alias("d").join(wanted.alias("w"), of).select("w.node", "d.text").mapInArrow(_shingle_rows, ROWS)
     rows = stage(rows.dropDuplicates(["node"]) if repeated(marks) else rows, "shingles")
-    found = classes(stage(verified(stage(screened(pairs, rows), "screened"), rows), "links"), stage)
+    links = [stage(verified(stage(screened(pairs, rows), "screened"), rows), "links")]
+    found = classes(links[0], stage)
     # Buckets that hold several classes: another centre, and the members of other classes against it
     own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, "b", F.coalesce("least", "b").alias("class"))
     order = F.xxhash64("order", "b")
@@ -313,17 +315,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     centre = stage(centre, "centres")
     more = own.join(centre, key).where(F.col("class") != F.col("a_class")).select(*ends).distinct()
     more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    found = merged(found, stage(verified(stage(screened(more, rows), "screened"), rows), "links"), stage)
+    links.append(stage(verified(stage(screened(more, rows), "screened"), rows), "links"))
+    found = merged(found, links[-1], stage)
     # Buckets that still do: their nodes of different classes by an exact join
     own = shared.select(*key, "b").join(found.withColumnRenamed("node", "b"), "b", "left").select(*key, F.col("b").alias("node"), F.coalesce("least", "b").alias("class"))
     several = stage(own.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select(*key), "several")
     left = stage(own.join(several, key).select("node", "class").distinct(), "left")
     if left.head(1):
         rest = stage(rare_pairs(left, rows, stage).join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
-        found = merged(found, stage(verified(rest, rows), "links"), stage)
-    found = stage(found, "found")
+        links.append(stage(verified(rest, rows), "links"))
+        found = merged(found, links[-1], stage)
+    ends_of = [d.select(F.col(c).alias("node")) for d in links for c in "ab"]
+    found = stage(found.join(reduce(DataFrame.union, ends_of).groupBy("node").agg(F.count("*").alias("links")), "node"), "found")
     stage.drop("nodes", "sizes", "buckets", "stars", "pairs", "shingles", "links", "centres", "several", "left", "labels", "label-counts", "rare-labels", "label-classes", "class-pairs", "first-ends", "screened")
-    return marks.select("doc_id", "version", "node").join(found, "node", "left").select("doc_id", "version", F.coalesce("least", "node").alias("class_node"))
+    return marks.select("doc_id", "version", "node").join(found, "node", "left").select("doc_id", "version", F.coalesce("least", "node").alias("class_node"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def version_of():
@@ -337,10 +342,11 @@ def repeated(marks: DataFrame) -> bool:
 
 
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id of the document's class."""
+    """(doc_id, class_id, class_size, n_links): class_id is the least doc_id of the document's class, n_links its text's verified
+    links to other texts; cases as in near_duplicates()."""
     found = staged(near_duplicates(table(spark, sf_dir, "documents")), "classes")
     ids = staged(found.groupBy("class_node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-ids")
-    return found.join(ids, "class_node").select("doc_id", "class_id", "class_size")
+    return found.join(ids, "class_node").select("doc_id", "class_id", "class_size", F.col("links").alias("n_links"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -105,6 +105,14 @@ def test_classes_against_brute_force(spark):
     assert {r.doc_id: least[bytes(r.class_node)] for r in got} == want
     kept = without_near_duplicates(d)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    # links are between different texts: none where a class has one, enough to connect it where it has more
+    words = {k: tuple(neardup.WORD.findall((t or "").lower())) or (t or "",) for k, t, *_ in rows}
+    links = {}
+    for r in got:
+        assert links.setdefault(want[r.doc_id], {}).setdefault(words[r.doc_id], r.links) == r.links
+    for of in links.values():
+        assert all(min(1, len(of) - 1) <= n < len(of) for n in of.values()) and sum(of.values()) >= 2 * (len(of) - 1) and sum(of.values()) % 2 == 0
+    assert max(len(of) for of in links.values()) > 3
 
 
 def test_near_copies_among_pages_of_one_template(spark):
