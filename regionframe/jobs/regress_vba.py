@@ -10,6 +10,7 @@ from regionframe.functions.linalg import safe_div
 from regionframe.jobs.inference import enhanced
 from regionframe.jobs.permutation import ALPHA, SEEDS, alpha_allowed
 from regionframe.jobs.regress import permutation_map
+from regionframe.operators.enhance import enhanced as enhanced_in_blocks
 from regionframe.operators.regression import subjects
 from regionframe.sources.cube import CUBE1_SQL, cube1
 from regionframe.sources.cut import cut
@@ -78,16 +79,32 @@ def regress_tfce(spark, sf_dir):
 
 
 QUERIES["regress_tfce"] = regress_tfce
-#: Components at a threshold by labels that sink along edges: on this grid no path is longer than the rounds.
-ORACLES["regress_tfce"] = f"""with recursive {PERM_R2_SQL}, top as (select perm, max(r2) / 100 as step from pr where perm <= 3 group by all),
+
+
+def _tfce_sql(seeds: int) -> str:
+    """Components at a threshold by labels that sink along edges: on this grid no path is longer than the rounds."""
+    return f"""with recursive {PERM_R2_SQL}, top as (select perm, max(r2) / 100 as step from pr where perm <= {seeds} group by all),
 lv as materialized (select p.perm, s.n, s.n * t.step as level, t.step, p.i, p.j, p.k, cast(p.i * 16 + p.j * 4 + p.k as int) as v from pr p join top t using (perm), unnest(range(1, 101)) s(n) where p.r2 >= s.n * t.step - 1e-12),
 ed as materialized (select a.perm, a.n, a.v as a, b.v as b from lv a join lv b on a.perm = b.perm and a.n = b.n and abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) <= 1),
 sink(perm, n, v, label, r) as (select perm, n, v, v, 0 from lv union all
   select s.perm, s.n, e.a, min(s.label), s.r + 1 from sink s join ed e on e.perm = s.perm and e.n = s.n and e.b = s.v where s.r < 32 group by s.perm, s.n, e.a, s.r),
 lab as (select perm, n, v, label from sink where r = 32), sz as (select perm, n, label, count(*) as size from lab group by all),
 en as (select lv.perm, lv.v, sum(sqrt(sz.size) * lv.level * lv.level * lv.step) as tfce from lv join lab using (perm, n, v) join sz using (perm, n, label) group by all),
-full_ as (select pr.perm, i, j, k, r2, coalesce(tfce, 0) as tfce from pr left join en on en.perm = pr.perm and en.v = i * 16 + j * 4 + k)
-select perm, i, j, k, round(r2, 7) as r2, round(tfce, 8) as tfce from full_ where perm <= 3"""
+full_ as (select pr.perm, i, j, k, r2, coalesce(tfce, 0) as tfce from pr left join en on en.perm = pr.perm and en.v = i * 16 + j * 4 + k)"""
+
+
+_TFCE_SELECT = "select perm, i, j, k, round(r2, 7) as r2, round(tfce, 8) as tfce from full_"
+ORACLES["regress_tfce"] = f"{_tfce_sql(3)} {_TFCE_SELECT} where perm <= 3"
+
+
+def regress_tfce_blocks(spark, sf_dir):
+    """As regress_tfce, with the grid cut into eight blocks."""
+    e = enhanced_in_blocks(permuted_r2(spark, sf_dir, 3), "r2", edge=2)
+    return e.select("perm", *IJK, F.round("r2", 7).alias("r2"), F.round("tfce", 8).alias("tfce"))
+
+
+QUERIES["regress_tfce_blocks"] = regress_tfce_blocks
+ORACLES["regress_tfce_blocks"] = ORACLES["regress_tfce"]
 
 
 def regress_tfce_p(spark, sf_dir):
@@ -99,6 +116,8 @@ def regress_tfce_p(spark, sf_dir):
 
 
 QUERIES["regress_tfce_p"] = regress_tfce_p
+ORACLES["regress_tfce_p"] = f"""{_tfce_sql(SEEDS)}, tm as (select perm, max(tfce) as m from full_ where perm between 1 and {SEEDS} group by all)
+select i, j, k, round(tfce, 8) as tfce, round((1 + (select count(*) from tm where m > full_.tfce)) / (select count(*) + 1 from tm), 6) as p from full_ where perm = 0"""
 
 
 def null_histogram(spark, sf_dir, bins: int = 10):
