@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regionframe.jobs.trees import DYADIC_SQL, dyadic
+from regionframe.operators.granularity import labels_at, spaced
 from regionframe.sources.cube import CUBE1_SQL, cube1
 from regionframe.sources.cut import shared_dir
 from regionframe.sources.datasource import reference_space, register
@@ -63,9 +65,23 @@ def track_points(spark, sf_dir):
     return at.select(*[place(c, a).alias(n) for a, (c, n) in enumerate(zip("xyz", IJK, strict=True))]).groupBy(*IJK).agg(F.count("*").alias("vertices"))
 
 
-QUERIES |= {"mask_volume_file": mask_volume_file, "slab_volume": slab_volume, "track_points": track_points}
+def granularity_volume_file(spark, sf_dir, volumes: int = 5):
+    """Each voxel's region when 1 to all regions are left, in geometric steps, as one file of volumes in a row; read back."""
+    places = cube1(spark, sf_dir).select(F.col("pos").alias("leaf"), *IJK).distinct()
+    regions = spaced(voxels := places.count(), volumes)
+    labels = labels_at(dyadic(spark, sf_dir).select("node", "parent"), regions, voxels).join(places, "leaf")
+    rows = labels.select(F.lit("labels").alias("name"), *IJK, "t", F.col("label").cast("double").alias("x"))
+    folder = written(rows, "volume", shape=f"4,4,4,{len(regions)}")
+    return spark.read.format("volume").load(folder).select(*IJK, "t", F.col("x").cast("long").alias("label"))
+
+
+QUERIES |= {"granularity_volume_file": granularity_volume_file, "mask_volume_file": mask_volume_file, "slab_volume": slab_volume, "track_points": track_points}
 ORACLES["mask_volume_file"] = f"with {CUBE1_SQL} select i, j, k from cube1 group by all having avg(x) > 0"
 ORACLES["slab_volume"] = f"with {CUBE1_SQL} select i, j, k, cast(sum(round(x * 65536)) as bigint) as x, cast(3 as bigint) as slabs from cube1 group by all"
 ORACLES["track_points"] = """with e as (select vec_id, p // 3 as vertex, p % 3 as axis, cast(floor((cast(embedding[p + 1] as double) + 1) * 8) as int) as v from embeddings, unnest(range(0, 63)) r(p)),
 t as (select max(v) filter (axis = 0) as i, max(v) filter (axis = 1) as j, max(v) filter (axis = 2) as k from e group by vec_id, vertex)
 select i, j, k, count(*) as vertices from t group by all"""
+ORACLES["granularity_volume_file"] = f"""with {DYADIC_SQL},
+w as (select cast(t as int) as t, 64 - cast(round(power(64, t / 4)) as bigint) as step from unnest(range(0, 5)) r(t))
+select cast(leaf // 16 as int) as i, cast(leaf // 4 % 4 as int) as j, cast(leaf % 4 as int) as k, t, cast(node + 1 as bigint) as label
+from closure join tree on tree.node = closure.ancestor, w where greatest(0, node - 63) <= step and (parent is null or parent - 63 > step)"""

@@ -230,7 +230,8 @@ class FileWriter(DataSourceArrowWriter):
 
 
 class VolumeWriter(FileWriter):
-    """Options: shape ("4,4,4"), affine (twelve or sixteen numbers), mask (true: one byte a voxel, whether x is not 0)."""
+    """Options: shape ("4,4,4", or "4,4,4,9" for rows with a place t as well), affine (twelve or sixteen numbers), mask (true: one
+    byte a voxel, whether x is not 0). A task holds a file's volume."""
 
     columns = ("i", "j", "k", "x")
 
@@ -238,11 +239,12 @@ class VolumeWriter(FileWriter):
         self.packed = options.get("compressed", "true").lower() == "true"
         self.ending = ".nii.gz" if self.packed else ".nii"
         self.shape = tuple(int(n) for n in options["shape"].split(","))
+        self.columns = (*"ijkt"[: len(self.shape)], "x")
         super().__init__(options, overwrite)
 
     def encode(self, rows: dict[str, np.ndarray]) -> bytes:
         volume = np.zeros(self.shape)
-        volume[rows["i"], rows["j"], rows["k"]] = np.nan_to_num(rows["x"].astype(float))
+        volume[tuple(rows[c] for c in self.columns[:-1])] = np.nan_to_num(rows["x"].astype(float))
         affine = self.options.get("affine")
         data = encode_nifti(volume != 0 if self.options.get("mask", "false").lower() == "true" else volume, None if affine is None else np.array(affine.split(","), float)[:12].reshape(3, 4))
         return data if self.packed else gzip.decompress(data)
