@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.jobs.graph import _leaf_stats, neighbour_edges, pair_costs
-from regionframe.jobs.permutation import ALPHA, SEEDS, _split, alpha_allowed, permuted_t2
+from regionframe.jobs.permutation import ALPHA, SEEDS, _split, alpha_allowed, permuted_t2, with_p
 from regionframe.jobs.regress import permutation_map
 from regionframe.jobs.trees import last_logf, model_of, null_max, rising, scored
 from regionframe.operators.agglomerate import RegressionSums, TwoGroupsOf, agglomerate, merge_rounds, six_neighbours, trees
@@ -167,8 +167,7 @@ def tfce_map(spark, sf_dir):
     """The observed voxels' enhanced t², and their family-wise p under the permutations' largest."""
     e = cut(enhanced(permuted_t2(spark, sf_dir)))
     null = e.where("perm > 0").groupBy("perm").agg(F.max("tfce").alias("top")).agg(F.collect_list("top").alias("tops"))
-    p = (1 + F.size(F.filter("tops", lambda t: t > F.col("tfce")))) / (F.size("tops") + 1)
-    return e.where("perm = 0").crossJoin(F.broadcast(null)).select("i", "j", "k", F.round("t2", 6).alias("t2"), F.round("tfce", 4).alias("tfce"), F.round(p, 6).alias("p"))
+    return with_p(e.where("perm = 0").crossJoin(F.broadcast(null)), "tfce", "tops").select("i", "j", "k", F.round("t2", 6).alias("t2"), F.round("tfce", 4).alias("tfce"), "p")
 
 
 QUERIES["tfce_map"] = tfce_map

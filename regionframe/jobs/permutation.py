@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import t2_one
@@ -21,6 +22,12 @@ def alpha_allowed(alpha: float, seeds: int) -> None:
         raise ValueError(f"an error rate of {alpha} needs {round(1 / alpha) - 1} permutations or more, not {seeds}")
 
 
+def with_p(d: DataFrame, value: str, maxima: str = "maxima") -> DataFrame:
+    """d with p, the family-wise p of its value: one and the larger of maxima (an array), over one more than their number. A column
+    of its own: in a select that also rounds the value under its name, a lambda would read the rounded one."""
+    return d.withColumn("p", F.round((1 + F.size(F.filter(maxima, lambda m: m > F.col(value)))) / (F.size(maxima) + 1), 6))
+
+
 def _split(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sbj"), (F.col("label") >= 5).cast("int").alias("grp"))
 
@@ -95,8 +102,7 @@ def voxel_pvalue(spark, sf_dir):
     t = cut(permuted_t2(spark, sf_dir))
     null = t.where("perm > 0").groupBy("perm").agg(F.max("t2").alias("max_t2"))
     maxima = null.agg(F.collect_list("max_t2").alias("maxima"))  # one value a seed
-    p = (1 + F.size(F.filter("maxima", lambda m: m > F.col("t2")))) / (F.size("maxima") + 1)
-    return t.where("perm = 0").crossJoin(F.broadcast(maxima)).select("i", "j", "k", F.round(p, 6).alias("p"))
+    return with_p(t.where("perm = 0").crossJoin(F.broadcast(maxima)), "t2").select("i", "j", "k", "p")
 
 
 QUERIES["voxel_pvalue"] = voxel_pvalue

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from regionframe.functions.linalg import safe_div
 from regionframe.jobs.inference import enhanced
-from regionframe.jobs.permutation import ALPHA, SEEDS, alpha_allowed
+from regionframe.jobs.permutation import ALPHA, SEEDS, alpha_allowed, with_p
 from regionframe.jobs.regress import permutation_map
 from regionframe.operators.enhance import enhanced as enhanced_in_blocks
 from regionframe.operators.regression import subjects
@@ -63,8 +63,7 @@ def regress_vba_mask(spark, sf_dir):
     """Voxels whose observed r² reaches the threshold of a 60 % error rate, so that some may, with their family-wise p."""
     images = cut(permuted_r2(spark, sf_dir))
     null = _max(images).agg(F.percentile("max_r2", F.lit(0.4)).alias("threshold"), F.collect_list("max_r2").alias("maxima"))  # one value a seed
-    p = (1 + F.size(F.filter("maxima", lambda m: m > F.col("r2")))) / (F.size("maxima") + 1)
-    return images.where("perm = 0").crossJoin(F.broadcast(null)).where("r2 >= threshold").select(*IJK, F.round("r2", 7).alias("r2"), F.round(p, 6).alias("p"))
+    return with_p(images.where("perm = 0").crossJoin(F.broadcast(null)).where("r2 >= threshold"), "r2").select(*IJK, F.round("r2", 7).alias("r2"), "p")
 
 
 QUERIES["regress_vba_mask"] = regress_vba_mask
@@ -111,8 +110,7 @@ def regress_tfce_p(spark, sf_dir):
     """The observed voxels' family-wise p under the permutations' largest enhanced r²."""
     e = cut(enhanced(permuted_r2(spark, sf_dir).withColumnRenamed("r2", "t2")))
     null = e.where("perm > 0").groupBy("perm").agg(F.max("tfce").alias("top")).agg(F.collect_list("top").alias("tops"))
-    p = (1 + F.size(F.filter("tops", lambda t: t > F.col("tfce")))) / (F.size("tops") + 1)
-    return e.where("perm = 0").crossJoin(F.broadcast(null)).select(*IJK, F.round("tfce", 8).alias("tfce"), F.round(p, 6).alias("p"))
+    return with_p(e.where("perm = 0").crossJoin(F.broadcast(null)), "tfce", "tops").select(*IJK, F.round("tfce", 8).alias("tfce"), "p")
 
 
 QUERIES["regress_tfce_p"] = regress_tfce_p
