@@ -1,8 +1,10 @@
 """Euler tours of merge trees, so that a subtree is a range and its aggregates are differences of running sums.
 
-A tour enters and leaves every node once: 2 V arcs in one list. A node's place is found by list ranking with pointer jumping:
-each round every arc takes on what the arcs ahead of it know, so that four times as much is known, and rounds grow with the
-log of V whatever the tree's depth; no row is made for a node and an ancestor. Running sums are taken in blocks of places:
+A tour enters and leaves every node once: 2 V arcs in one list. A node's place is found by list ranking. Nodes with near
+numbers share a house, leaves with their parents; a task follows a house's arcs to where they leave it, and only arcs at
+which the list enters a house go on to pointer jumping: each round every such arc takes on what the arcs ahead of it know,
+so that four times as much is known, and rounds grow with the log of their number whatever the tree's depth; no row is made
+for a node and an ancestor. Running sums are taken in blocks of places:
 within the blocks in all tasks, and over one row a block.
 
 A tree is rows (keys, node, parent) of node numbers from 0 on; null parents are roots, there may be many, a tree for each
@@ -14,24 +16,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionframe.sources.cut import Written
 
 BLOCK = 4096
+HOUSE = 1 << 17  # node numbers whose arcs one task follows at once
 
 
-def arcs(tree: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, parent, arc, next): arc 2 v enters node v, arc 2 v + 1 leaves it; next is null at the list's end."""
+def ordered(tree: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, node, parent, child, sibling): each node's first child and the child or root that follows it."""
     t = tree.select(*keys, F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
     order = Window.partitionBy(*keys, "parent").orderBy("node")
-    t = t.withColumn("sibling", F.lead("node").over(order))
-    child = t.where("parent is not null").groupBy(*keys, F.col("parent").alias("node")).agg(F.min("node").alias("child"))
-    t = t.join(child, [*keys, "node"], "left")
-    enter = F.struct((2 * F.col("node")).alias("arc"), F.coalesce(2 * F.col("child"), 2 * F.col("node") + 1).alias("next"))
-    leave = F.struct((2 * F.col("node") + 1).alias("arc"), F.coalesce(2 * F.col("sibling"), 2 * F.col("parent") + 1).alias("next"))
-    return t.select(*keys, "parent", F.explode(F.array(enter, leave)).alias("a")).select(*keys, "parent", "a.arc", "a.next")
+    t = t.withColumns({"sibling": F.lead("node").over(order), "place": F.row_number().over(order)})
+    child = t.where("parent is not null and place = 1").select(*keys, F.col("parent").alias("node"), F.col("node").alias("child"))
+    return t.drop("place").join(child, [*keys, "node"], "left").select(*keys, "node", "parent", "child", "sibling")
+
+
+def housed(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """nodes with `house`: HOUSE node numbers, those of leaves their parents', so that a list runs far within a house. Leaves
+    of a house with too many of them are housed by their own numbers."""
+    home = F.floor(F.when(F.col("child").isNull(), F.coalesce("parent", "node")).otherwise(F.col("node")) / HOUSE).cast("long")
+    d = nodes.withColumn("home", home)
+    full = d.groupBy(*keys, "home").agg(F.count("*").alias("held")).where(F.col("held") > 4 * HOUSE).drop("held")
+    d = d.join(F.broadcast(full.withColumn("full", F.lit(True))), [*keys, "home"], "left")
+    own = F.when(F.col("full") & F.col("child").isNull(), F.floor(F.col("node") / HOUSE).cast("long"))
+    return d.withColumn("house", F.struct("home", own.alias("own"))).drop("home", "full")
+
+
+def _followed(t: pa.Table) -> pa.Table:
+    """For both arcs of a house's nodes: the steps to the first arc outside the house, and that arc; null at the list's end.
+    Pointers double within the house."""
+    node, parent, child, sibling = (t[c].combine_chunks().fill_null(-1).to_numpy() for c in ("node", "parent", "child", "sibling"))
+    arc = np.concatenate([2 * node, 2 * node + 1])
+    out = np.concatenate([np.where(child >= 0, 2 * child, 2 * node + 1), np.where(sibling >= 0, 2 * sibling, np.where(parent >= 0, 2 * parent + 1, -1))])
+    order = np.argsort(arc)
+    at = np.minimum(np.searchsorted(arc, out, sorter=order), len(arc) - 1)
+    to, steps = np.where(arc[order[at]] == out, order[at], -1), (out >= 0).astype(np.int64)
+    while len(inside := np.flatnonzero(to >= 0)):
+        ahead = to[inside]
+        more, then, there = steps[ahead], to[ahead], out[ahead]
+        steps[inside] += more
+        to[inside] = then
+        out[inside] = there
+    for name, part in (("enter", slice(0, len(node))), ("leave", slice(len(node), None))):
+        t = t.append_column(f"{name}_steps", pa.array(steps[part])).append_column(f"{name}_out", pa.array(out[part], mask=out[part] < 0))
+    return t.drop_columns(["child", "sibling", "house"])
 
 
 def tour(tree: DataFrame, keys: Sequence[str] = (), written: Written | None = None) -> DataFrame:
@@ -39,23 +72,32 @@ def tour(tree: DataFrame, keys: Sequence[str] = (), written: Written | None = No
     subtree of v if first(v) <= first(u) <= last(v)."""
     written = written or Written(tree.sparkSession, "tour")
     keys = list(keys)
-    state = written(arcs(tree, keys).withColumn("steps", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long")), "arcs")
-    sizes = written(state.groupBy(*keys).agg(F.count("*").alias("size")), "sizes")
-    longest, known = sizes.agg(F.max("size")).first()[0] or 0, 1
+    nodes = housed(written(ordered(tree, keys), "ordered"), keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.select(*keys, "node", "parent").schema)
+    local = written(nodes.groupBy(*keys, "house").applyInArrow(_followed, f"{kinds}, enter_steps long, enter_out long, leave_steps long, leave_out long"), "local")
+    written.drop("ordered")
+    sizes = written(local.groupBy(*keys).agg((2 * F.count("*")).alias("size")), "sizes")
+    # Between houses the list is one of the arcs at which it enters a house
+    outs = lambda: local.select(*keys, F.explode(F.array_distinct(F.array("enter_out", "leave_out"))).alias("arc")).where("arc is not null").distinct()
+    heads = written(outs(), "outs").withColumns({"node": F.floor(F.col("arc") / 2).cast("long"), "odd": F.col("arc") % 2 == 1})
+    pick = lambda c: F.when(F.col("odd"), F.col(f"leave_{c}")).otherwise(F.col(f"enter_{c}"))
+    state = written(local.join(heads, [*keys, "node"]).select(*keys, "arc", pick("out").alias("next"), pick("steps").alias("steps")), "arcs")
+    written.drop("outs")
+    longest, known = state.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0, 1
     while known < longest:
         ahead = state
-        for _ in range(3):  # an arc and the three that it sees one after another each know `known` steps
+        for _ in range(3):  # an arc and the three that it sees one after another each know `known` arcs
             far = state.select(*keys, F.col("arc").alias("next"), F.col("next").alias("then"), F.col("steps").alias("more"))
-            ahead = ahead.join(far, [*keys, "next"], "left").select(*keys, "parent", "arc", F.col("then").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+            ahead = ahead.join(far, [*keys, "next"], "left").select(*keys, "arc", F.col("then").alias("next"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
         state = written(ahead, "arcs")
         written.only_last("arcs")
         known *= 4
-    place = F.col("size") - 1 - F.col("steps")
-    end = lambda odd: F.max(F.when(F.col("arc") % 2 == odd, place))
-    ranked = state.join(sizes, keys) if keys else state.crossJoin(sizes)
-    out = ranked.groupBy(*keys, F.floor(F.col("arc") / 2).cast("long").alias("node")).agg(F.max("parent").alias("parent"), end(0).alias("first"), end(1).alias("last"))
-    out = written(out, "tour")
-    written.drop("arcs", "sizes")
+    ranked = local.join(sizes, keys) if keys else local.crossJoin(sizes)
+    for name, place in (("enter", "first"), ("leave", "last")):
+        rest = state.select(*keys, F.col("arc").alias(f"{name}_out"), F.col("steps").alias("rest"))
+        ranked = ranked.join(rest, [*keys, f"{name}_out"], "left").withColumn(place, F.col("size") - 1 - F.col(f"{name}_steps") - F.coalesce("rest", F.lit(0))).drop("rest")
+    out = written(ranked.select(*keys, "node", "parent", "first", "last"), "tour")
+    written.drop("arcs", "sizes", "local")
     return out
 
 

@@ -69,3 +69,32 @@ def test_rows_follow_the_nodes(spark):
 def test_nothing(spark):
     t = tour(spark.createDataFrame([], "node int, parent int"))
     assert t.count() == 0 and roots(t).count() == 0
+
+
+@pytest.mark.parametrize("house", [1, 4, 13])
+def test_lists_through_many_houses(spark, monkeypatch, house):
+    monkeypatch.setattr(module, "HOUSE", house)
+    s = shapes()
+    rows = [(name, n, p) for name, parent in s.items() for n, p in enumerate(parent)]
+    t = tour(spark.createDataFrame(rows, "tree string, node int, parent int").repartition(3), ["tree"])
+    want = {(name, n): v for name, p in s.items() for n, v in brute(p)[0].items()}
+    assert {(r.tree, r.node): (r.first, r.last) for r in t.collect()} == want
+
+
+def test_pointer_jumping_takes_the_arcs_between_houses_alone(spark, monkeypatch):
+    """A chain of merges, as deep as it is wide: rows of the rounds follow the houses, not the nodes."""
+    rows, seen = module.Written.__call__, []
+
+    def counted(self, df, name):
+        out = rows(self, df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(module.Written, "__call__", counted)
+    monkeypatch.setattr(module, "HOUSE", 500)
+    n = 5000
+    leaf = spark.range(n).select(F.col("id").alias("node"), (n + F.greatest(F.col("id") - 1, F.lit(0))).alias("parent"))
+    inner = spark.range(n - 1).select((n + F.col("id")).alias("node"), F.when(F.col("id") < n - 2, n + F.col("id") + 1).alias("parent"))
+    t = tour(leaf.union(inner))
+    assert t.agg(F.count_distinct("first"), F.count_distinct("last"), F.max("last")).first()[:] == (2 * n - 1, 2 * n - 1, 4 * n - 3)
+    assert max(k for name, k in seen if name == "arcs") <= 3 * n // 500
