@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,15 +25,36 @@ AFFINE = np.array([[2.0, 0, 0, -10], [0, 2, 0, 5], [0, 0, 2, 0], [0, 0, 0, 1]])
 
 
 def write_volumes(cells: DataFrame, shape: tuple[int, int, int], affine: np.ndarray, folder: str) -> DataFrame:
-    """(name, path): one file for each name of cells (name, i, j, k, x), in a task of its own; what a task holds follows the
-    grid. Voxels without a row, or with a null value, are 0."""
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        volume = np.zeros(shape)
-        volume[f["i"], f["j"], f["k"]] = f["x"].fillna(0.0)
-        return pd.DataFrame({"name": [key[0]], "path": [write_file(folder, f"{key[0]}.nii.gz", encode_nifti(volume, affine))]})
-
-    return cut(cells.select("name", *IJK, F.col("x").cast("double").alias("x")).groupBy("name").applyInPandas(one, "name string, path string"))
+    """(name, path): one file for each name of cells (name, i, j, k, x); a task writes one after another, and what it holds
+    follows the grid. All cores write, however few bytes the images have. Voxels without a row, or with a null value, are 0."""
+
+    def written(name: str | None, volume: np.ndarray) -> tuple[str | None, str]:
+        return name, write_file(folder, f"{name}.nii.gz", encode_nifti(volume, affine))
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by name: the image at hand is whole where another name begins."""
+        hand, kind = None, pa.schema([("name", pa.string()), ("path", pa.string())])
+        for b in batches:
+            names, x, done = b["name"].to_numpy(zero_copy_only=False), b["x"].fill_null(0.0).to_numpy(), []
+            ijk = [b[c].to_numpy() for c in IJK]
+            starts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if hand is None or hand[0] != names[lo]:
+                    if hand is not None:
+                        done.append(written(*hand))
+                    hand = (names[lo], np.zeros(shape))
+                hand[1][tuple(c[lo:hi] for c in ijk)] = x[lo:hi]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], schema=kind)
+        if hand is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()) for c in written(*hand)], schema=kind)
+
+    spark = cells.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = cells.select(F.col("name").cast("string").alias("name"), *IJK, F.col("x").cast("double").alias("x")).repartition(tasks, "name")
+    return cut(d.sortWithinPartitions("name").mapInArrow(files, "name string, path string"))
 
 
 def _folder(spark) -> str:

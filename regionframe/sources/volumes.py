@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 #: The format's codes of voxel types.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 HEADER = 348
+BATCH_VOXELS = 1 << 18  # voxels that a reading task hands on at once
 
 
 def decode_nifti(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -93,18 +94,25 @@ def read_volumes(spark: SparkSession, files: DataFrame, paths: list[str]) -> Dat
     got = spaces(spark, [first]).first()
     space = (tuple(got.shape), np.array(got.affine).reshape(4, 4))
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                v, affine = decode_nifti(bytes(content))
-                if not same_space(space, (v.shape, affine)):
-                    raise ValueError(f"{path} has another grid than {first}")
-                i, j, k = np.indices(v.shape[:3])
-                yield pd.DataFrame({"path": path, "i": i.ravel(), "j": j.ravel(), "k": k.ravel(), "x": v.ravel()})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, known = [c.ravel().astype(np.int32) for c in np.indices(space[0])], set()
+        step = max(1, BATCH_VOXELS // max(1, len(grid[0])))
+        for b in batches:
+            for at in range(0, len(b), step):
+                part, values = b.slice(at, step), []
+                for path, content in zip(part["path"], part["content"], strict=True):
+                    v, affine = decode_nifti(content.as_buffer())
+                    if (own := (v.shape, affine.tobytes())) not in known:
+                        if not same_space(space, (v.shape, affine)):
+                            raise ValueError(f"{path} has another grid than {first}")
+                        known.add(own)
+                    values.append(v.ravel())
+                name = part["name"].take(pa.array(np.repeat(np.arange(len(part)), len(grid[0]))))
+                yield pa.RecordBatch.from_arrays([name, *[pa.array(np.tile(c, len(part))) for c in grid], pa.array(np.concatenate(values))], names=["name", "i", "j", "k", "x"])
 
-    cells = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(rows, "path string, i int, j int, k int, x double")
     name = F.element_at(F.split("path", "/"), -1).alias("name")
-    return cells.select(name, "i", "j", "k", "x").join(files.select("sbj", "feat", name), "name").select("sbj", "feat", "i", "j", "k", "x")
+    cells = spark.read.format("binaryFile").load(paths).select("path", name, "content").mapInArrow(rows, "name string, i int, j int, k int, x double")
+    return cells.join(files.select("sbj", "feat", name), "name").select("sbj", "feat", "i", "j", "k", "x")
 
 
 def cube_of(volumes: DataFrame, feats: list[str]) -> DataFrame:
